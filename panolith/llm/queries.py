@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panolith.llm import bpe, exact_dedup, language_id, packing, sharding, simhash
+from panolith.llm import bpe, chat, exact_dedup, language_id, packing, sharding, simhash, topk
 from panolith.llm.tables import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    awkward = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(awkward).alias("text"))
+    out = chat.format_chats(rows.unionByName(probe))
+    read = out.select("conv_id", "valid", chat.read_back(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("learnt"), F.length("formatted").cast("long").alias("formatted_chars"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told, 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars", "valid")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -35,6 +45,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_VOCABULARY)
 
 
+def op8_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     models = language_id.Models(language_id.training_sample(docs))
@@ -51,13 +65,58 @@ FROM (
   FROM documents)
 """
 
+_BROKEN = "replace(text, '\\', '\\\\')"
+for _c in chat.TEMPLATE.controls:
+    _BROKEN = f"replace({_BROKEN}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+_MARKS = " ".join(f"WHEN '{k}' THEN {len(t.open) + len(t.close)}" for k, t in chat.TEMPLATE.turns.items())
+_OTHER = sum(map(len, chat.TEMPLATE.other))
+
+OP2_SQL = f"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+parts AS (
+  SELECT *, CASE WHEN role IN ('system', 'user', 'assistant') THEN role[1:1] ELSE 'x' END AS letter,
+         {len(chat.TEMPLATE.between)} + length({_BROKEN})
+         + CASE role {_MARKS} ELSE {_OTHER} + length({_BROKEN.replace("(text,", "(role,")}) END AS chars
+  FROM rows),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS told,
+         coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learnt,
+         string_agg(letter, '' ORDER BY turn, role, text) AS letters,
+         CAST(sum(chars) AS BIGINT) AS formatted_chars
+  FROM parts GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(learnt) AS BIGINT) AS loss_chars,
+       sha256(learnt) AS loss_sha256, formatted_chars, regexp_full_match(letters, 's?(ua)+') AS valid
+FROM whole
+"""
+
+OP8_SQL = """
+WITH ready AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM ready q JOIN ready c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+  FROM scored)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_chat": op2_chat,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_sharding": op4_sharding,
     "op5_bpe": op5_bpe,
     "op6_packing": op6_packing,
+    "op8_maxscore": op8_maxscore,
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_maxscore": OP8_SQL}
