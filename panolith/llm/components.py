@@ -60,16 +60,17 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("child", "parent").cast("decimal(38,0)"))).first())
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, native: bool = False) -> DataFrame:
     """node, component (the least node reachable) for every node of ``edges`` (two long columns).
 
-    Nodes without an edge to another node are left out. Raises if ``rounds`` do not suffice;
+    ``native`` leaves out the local contraction, the only step in Python. Nodes without an edge to another node are left out. Raises if ``rounds`` do not suffice;
     rounds grow with the logarithm of the longest path.
     """
     spark = edges.sparkSession
+    contracted = (lambda x: x) if native else _contracted
     a, b = edges.columns
-    first = edges.select(F.col(a).cast("long").alias("child"), F.col(b).cast("long").alias("parent")).where("child <> parent")
-    now, path = spill(_contracted(first).distinct(), "edges")
+    first = edges.select(F.greatest(F.col(a), F.col(b)).cast("long").alias("child"), F.least(F.col(a), F.col(b)).cast("long").alias("parent")).where("child <> parent")
+    now, path = spill(contracted(first).distinct(), "edges")
     state = _state(now)
     for _ in range(rounds):
         if not state[0]:
@@ -82,7 +83,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least2, least2_path = spill(large.groupBy("child").agg(F.min("parent").alias("least")), "least")
         others = large.join(least2, "child").where("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent"))
         small = least2.select("child", F.col("least").alias("parent")).unionByName(others)
-        after, after_path = spill(_contracted(small).distinct(), "edges")
+        after, after_path = spill(contracted(small).distinct(), "edges")
         forget(spark, path, least_path, large_path, least2_path)
         was, state = state, _state(after)
         now, path = after, after_path
