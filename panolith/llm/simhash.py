@@ -14,7 +14,7 @@ neighbour, and a bucket there is never larger than the number of such neighbours
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import ceil
 
@@ -131,8 +131,13 @@ def _exceeds(count: np.ndarray, radius: int) -> np.ndarray:
     return above
 
 
-def bucket_links(sizes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links within each bucket; ``fps`` holds the buckets on end."""
+def bucket_links(sizes: np.ndarray, fps: np.ndarray, radius: int, nodes: np.ndarray | None = None, same: Callable | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links within each bucket; ``fps`` holds the buckets on end.
+
+    Links join ``nodes`` (the fingerprints themselves by default) and hold only where ``same``
+    says so of the places of both.
+    """
+    nodes = fps.view(np.int64) if nodes is None else nodes
     out: list[tuple[int, int]] = []
     end = np.cumsum(sizes)
     lo = 0
@@ -160,8 +165,11 @@ def bucket_links(sizes: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[
         row, col = np.nonzero(bits)
         a, b = query[row], at[target[row], col]
         ok = b > a
-        signed = part.view(np.int64)
-        out += star_forest(zip(signed[a[ok]].tolist(), signed[b[ok]].tolist())).items()
+        a, b = a[ok] + base, b[ok] + base
+        if same is not None:
+            ok = same(a, b)
+            a, b = a[ok], b[ok]
+        out += star_forest(zip(nodes[a].tolist(), nodes[b].tolist())).items()
         lo = hi
     return out
 
@@ -237,19 +245,131 @@ def _component_of(prints: DataFrame, radius: int, hot: int) -> DataFrame:
     return spill(joined.join(least, "component").select("fp", "component_id"), "classes")[0]
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, radius: int = 3, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, small_rows: int = 1 << 20) -> DataFrame:
+# ---------------------------------------------------------------------------------------
+# Near copies of documents: two fingerprints, one to meet by and one to judge by.
+
+TABLES, KEY_BITS = 24, 20
+MEET_RADIUS = 8
+JUDGE_WORDS = 4  # longs of the second fingerprint
+
+
+def judge_radius(similarity: float, bits: int = 64 * JUDGE_WORDS) -> int:
+    """Differing bits to expect at a Jaccard similarity: the angle between two equal-sized sets."""
+    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
+
+
+def key_masks(tables: int, bits: int, seed: int = 7) -> list[int]:
+    """Sampled bit positions of each table, the same in every run."""
+    rng = np.random.default_rng(seed)
+    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+
+
+def copy_prints(docs: DataFrame, words: int, text: str, uid: str) -> DataFrame:
+    """uid, f (set of different words, 64 bits), g0..g3 (word shingles, 256 bits)."""
+    seeds = (1, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for texts in slices(batch.column(1).to_pylist(), 1 << 20):
+                sets, halves = [], [[] for _ in seeds]
+                for t in texts:
+                    ws = t.encode("utf-8", "surrogatepass").lower().split()
+                    sets.append(b"".join([xxhash.xxh64_digest(w, 42) for w in set(ws)]))
+                    flat = b" ".join(ws)
+                    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
+                    if len(gaps) < words:
+                        spans = [flat]
+                    else:
+                        starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(flat)][words - 1 :]
+                        spans = [flat[a:b] for a, b in zip(starts, ends)]
+                    for half, seed in zip(halves, seeds):
+                        half.append(b"".join([xxhash.xxh3_128_digest(x, seed) for x in spans]))
+                columns = [majority(sets)]
+                for half in halves:
+                    split = [np.frombuffer(h, ">u8").reshape(-1, 2) for h in half]
+                    columns += [majority([np.ascontiguousarray(x[:, i]).tobytes() for x in split]) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *[pa.array(c.view(np.int64)) for c in columns]], names=["uid", "f", "g0", "g1", "g2", "g3"])
+                at += len(texts)
+
+    return docs.select(F.col(uid).alias("uid"), F.col(text).alias("text")).mapInArrow(run, "uid long, f long, g0 long, g1 long, g2 long, g3 long")
+
+
+def _copy_links(meet: int, judge: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            sizes = np.diff(lists.offsets.to_numpy())
+            rows = lists.flatten()
+            node, f, *g = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(2 + JUDGE_WORDS))
+            g = np.column_stack(g).view(np.uint64)
+
+            def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+                return np.bitwise_count(g[a] ^ g[b]).sum(1) <= judge  # noqa: B023
+
+            got = bucket_links(sizes, f.view(np.uint64), meet, node, same)
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _meeting(rows: DataFrame, hot: int) -> DataFrame:
+    """Buckets (lists of rows) of at most about ``hot`` rows that share a sampled key.
+
+    A crowded key is split by further sampled bits, four ways; what is crowded still is dealt
+    in chunks by hash, each with the key's first row, so that all of it is compared with that one.
+    """
+    item = F.struct("node", "f", *[f"g{i}" for i in range(JUDGE_WORDS)]).alias("item")
+    masks, more = key_masks(TABLES, KEY_BITS), key_masks(4, 12, seed=8)
+    keyed = rows.select(item, F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("f").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])).alias("key")).select("item", "key.t", "key.k")
+    lists = []
+    for level in (0, 1):
+        crowded, _ = spill(keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("item.node").alias("head")).where(F.col("n") > hot), "crowded")
+        n = crowded.count()
+        if not n:
+            break
+        few = F.broadcast(crowded) if n <= SMALL_ROWS else crowded
+        lists.append(keyed.join(few, ["t", "k"], "left_anti"))
+        keyed = keyed.join(few.select("t", "k", "n", "head"), ["t", "k"])
+        if level == 0:
+            finer = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col("item.f").bitwiseAND(F.lit(_signed(m))).alias("x")) for j, m in enumerate(more)]))
+            keyed = keyed.withColumn("finer", finer).select("item", (F.col("t") * 4 + F.col("finer.j")).alias("t"), F.xxhash64("k", "finer.x").alias("k"))
+        else:
+            chunks = F.ceil(F.col("n") / hot).cast("int")
+            own = F.array(F.pmod(F.xxhash64("item.node"), chunks).cast("int"))
+            every = F.when(F.col("item.node") == F.col("head"), F.sequence(F.lit(0), chunks - 1)).otherwise(own)
+            keyed = keyed.withColumn("chunk", F.explode(every)).select("item", "t", F.xxhash64("k", "chunk").alias("k"))
+    lists.append(keyed)
+    out = None
+    for part in lists:
+        buckets = part.groupBy("t", "k").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1).select("items")
+        out = buckets if out is None else out.unionByName(buckets)
+    return out
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, meet: int = MEET_RADIUS, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, small_rows: int = 1 << 20) -> DataFrame:
     """The documents that stay, with all their columns: of each component the first by doc_id.
 
-    Rows without a word are kept: they have nothing to be a copy of.
+    Documents meet by a SimHash of their different words (sampled bits of it, then bit-sliced
+    comparison within ``meet`` bits) and are copies if a second, 256-bit SimHash of their word
+    shingles differs in no more bits than the similarity lets expect. Rows without a word, or
+    with a null text, are kept: they have nothing to be a copy of. Ids may be null (last) or
+    repeat; of rows alike in all of it exactly one stays.
     """
     columns = docs.columns
     keyed = docs.withColumn("__uid", F.monotonically_increasing_id())
-    prints, _ = spill(fingerprints(keyed.where(F.col(text).rlike("[^\\x20\\x09-\\x0D]")), words, text, "__uid").withColumnRenamed("doc_id", "uid"), "prints")
-    classes = _component_of(prints.withColumnRenamed("uid", "doc_id"), radius, hot)
-    owned, _ = spill(prints.join(classes, "fp").select("uid", F.col("component_id").alias("component")), "owned")
+    some = keyed.where(F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
+    prints, _ = spill(copy_prints(some, words, text, "__uid"), "prints")
+    parts = ["f", *[f"g{i}" for i in range(JUDGE_WORDS)]]
+    nodes, _ = spill(prints.groupBy(parts).agg(F.min("uid").alias("node"), F.count("*").alias("n")), "nodes")
+    links = _meeting(nodes, hot).mapInArrow(_copy_links(meet, judge_radius(similarity)), "a long, b long")
+    linked, _ = spill(connected_components(links), "linked")
+    joined = nodes.join(linked, "node", "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select(*parts, F.coalesce("component", "node").alias("component"))
+    grouped, _ = spill(joined, "grouped")
+    owned, _ = spill(prints.join(grouped, parts).select("uid", "component"), "owned")
     ids = keyed.select(F.col("__uid").alias("uid"), F.col(doc_id).cast("long").alias("id"))
-    ranked, _ = spill(owned.join(ids, "uid"), "ranked")
-    first, _ = spill(ranked.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("keep")).select(F.col("keep.uid").alias("uid")), "kept")
+    ranked = owned.join(ids, "uid").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("keep"))
+    first, _ = spill(ranked.select(F.col("keep.uid").alias("uid")), "kept")
     lost, _ = spill(owned.join(first, "uid", "left_anti").select(F.col("uid").alias("__uid")), "lost")
     few = F.broadcast(lost) if lost.count() <= small_rows else lost
     return keyed.join(few, "__uid", "left_anti").select(columns)
