@@ -254,8 +254,10 @@ JUDGE_WORDS = 4  # longs of the second fingerprint
 
 
 def judge_radius(similarity: float, bits: int = 64 * JUDGE_WORDS) -> int:
-    """Differing bits to expect at a Jaccard similarity: the angle between two equal-sized sets."""
-    return int(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 0.5)
+    """Differing bits to expect at a Jaccard similarity (the angle between two equal-sized sets),
+    and one standard deviation more, so that most pairs at the similarity itself are found."""
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * p + np.sqrt(bits * p * (1 - p)))
 
 
 def key_masks(tables: int, bits: int, seed: int = 7) -> list[int]:
