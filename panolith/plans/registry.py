@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from panolith.plans import (  # noqa: F401  (importing registers)
+    queries_catalog,
+    queries_functions,
+)
+from panolith.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
