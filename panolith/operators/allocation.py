@@ -22,20 +22,37 @@ def water_fill(counts: DataFrame, budget_: DataFrame, alpha: float | None = None
     """class_id, train_count, alloc, budget: units go one by one to the class of least effective count.
 
     A class takes at most int(alpha * count) and ``g_max`` units; a budget beyond all caps
-    stays unspent. Unit j of a class has effective count count + j, so the first B units by
-    (effective count, class) are those that the one-by-one rule deals out. Rows: at most the
-    caps, which the budget bounds.
+    stays unspent. Dealing one by one fills all classes to one level, so the level is found by
+    halving, and the units that do not make up a whole level go by class id. Nothing is as
+    large as the budget: the work is some sixty sums over one row per class.
     """
     whole = counts.crossJoin(F.broadcast(budget_))
-    cap = F.col("budget")
+    cap = F.greatest(F.lit(0).cast("long"), F.col("budget"))
     if alpha is not None:
         cap = F.least(cap, F.floor(F.col("train_count") * F.lit(float(alpha))))
     if g_max is not None:
-        cap = F.least(cap, F.lit(g_max))
-    units = whole.withColumn("cap", cap).where("cap > 0").select("class_id", "train_count", "budget", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cap") - 1)).alias("j"))
-    dealt = units.withColumn("r", F.row_number().over(W.orderBy(F.col("train_count") + F.col("j"), "class_id"))).where("r <= budget")
-    got = dealt.groupBy("class_id").agg(F.count("*").alias("n"))
-    return whole.join(got, "class_id", "left").select("class_id", "train_count", F.coalesce("n", F.lit(0)).cast("long").alias("alloc"), "budget")
+        cap = F.least(cap, F.lit(g_max).cast("long"))
+    one = whole.withColumn("cap", cap).agg(F.collect_list(F.struct("class_id", "train_count", "cap")).alias("classes"), F.max("budget").alias("budget"))
+    zero = F.lit(0).cast("long")
+
+    def taken(c, level):
+        return F.least(c["cap"], F.greatest(level - c["train_count"], zero))
+
+    def spent(level):
+        return F.aggregate("classes", zero, lambda acc, c: acc + taken(c, level))
+
+    def halve(state, _):
+        middle = F.floor((state["low"] + state["high"] + 1) / 2)
+        fits = spent(middle) <= F.col("budget")
+        return F.struct(F.when(fits, middle).otherwise(state["low"]).alias("low"), F.when(fits, state["high"]).otherwise(middle - 1).alias("high"))
+
+    top = F.aggregate("classes", zero, lambda acc, c: F.greatest(acc, c["train_count"] + c["cap"]))
+    level = F.aggregate(F.sequence(F.lit(1), F.lit(52)), F.struct(zero.alias("low"), top.alias("high")), halve)["low"]
+    leveled = one.withColumn("level", level).withColumn("left", F.col("budget") - spent(F.col("level")))
+    rows = leveled.select("budget", "level", "left", F.explode("classes").alias("c")).withColumn("base", taken(F.col("c"), F.col("level")))
+    more = (F.col("c.train_count") <= F.col("level")) & (F.col("base") < F.col("c.cap"))
+    nth = F.row_number().over(W.partitionBy(more).orderBy("c.class_id"))
+    return rows.select("c.class_id", "c.train_count", (F.col("base") + F.when(more & (nth <= F.col("left")), 1).otherwise(0)).cast("long").alias("alloc"), F.greatest("budget", zero).alias("budget"))
 
 
 def build_allocation(train_objects: DataFrame, subset: DataFrame, k: float = 0.5, alpha: float | None = 3.0, g_max: int | None = None) -> DataFrame:

@@ -5,5 +5,6 @@ from __future__ import annotations
 from panolith.plans import (  # noqa: F401  (importing registers)
     queries_catalog,
     queries_functions,
+    queries_tiles,
 )
 from panolith.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
