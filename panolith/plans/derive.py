@@ -68,11 +68,11 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
     """pid, cat, ord, conf, cx, cy, w, h: jittered objects, some missing, some of a wrong class, with tied confidences."""
-    h = F.pmod(F.col("ord") * 31 + run * 7919, F.lit(1000003))
-    moved = objects(spark, sf_dir).withColumn("h", h).where(h % 10 >= 2)
-    dx, dy = F.col("h") % 7 - 3, F.floor(F.col("h") / 7) % 7 - 3
-    shifted = moved.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy, "cat": F.when(F.col("h") % 20 == 5, (F.col("cat") + 1) % CLASSES).otherwise(F.col("cat"))})
-    return normalised(shifted).select("pid", "cat", "ord", ((F.col("h") % 100) / 100.0).alias("conf"), "cx", "cy", "w", "h")
+    draw = F.pmod(F.col("ord") * 31 + run * 7919, F.lit(1000003))
+    moved = objects(spark, sf_dir).withColumn("draw", draw).where("draw % 10 >= 2")
+    dx, dy = F.col("draw") % 7 - 3, F.floor(F.col("draw") / 7) % 7 - 3
+    shifted = moved.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy, "cat": F.when(F.col("draw") % 20 == 5, (F.col("cat") + 1) % CLASSES).otherwise(F.col("cat"))})
+    return normalised(shifted).select("pid", "cat", "ord", ((F.col("draw") % 100) / 100.0).alias("conf"), "cx", "cy", "w", "h")
 
 
 def dets_sql(run: int = 0, name: str = "dets") -> str:

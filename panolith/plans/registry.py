@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from panolith.plans import (  # noqa: F401  (importing registers)
     queries_catalog,
+    queries_detect,
     queries_functions,
     queries_tiles,
 )
