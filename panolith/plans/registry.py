@@ -6,6 +6,7 @@ from panolith.plans import (  # noqa: F401  (importing registers)
     queries_catalog,
     queries_detect,
     queries_functions,
+    queries_runs,
     queries_tiles,
 )
 from panolith.plans.register import ORACLE_SQL, QUERIES  # noqa: F401
