@@ -1,0 +1,250 @@
+"""Pixel kernels on numpy arrays (height, width, 3, unsigned bytes), and their use as column functions.
+
+Models (detectors, inpainting, segmentation, classifiers) are plugged in as callables.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def paint_out(image: np.ndarray, box: tuple[float, float, float, float]) -> np.ndarray:
+    """Fills a box with its own mean; the near corner is cut off, the far one rounded."""
+    out = image.copy()
+    x1, y1, x2, y2 = max(0, int(box[0])), max(0, int(box[1])), round(box[2]), round(box[3])
+    part = out[y1:y2, x1:x2]
+    if part.size:
+        part[:] = part.reshape(-1, part.shape[-1]).mean(0).astype(np.uint8)
+    return out
+
+
+def feather_alpha(height: int, width: int) -> np.ndarray:
+    """A ramp from the border inwards over a tenth of the shorter side, one pixel at least."""
+    ramp = max(1.0, min(height, width) / 10)
+    y, x = np.arange(height), np.arange(width)
+    edge = np.minimum(np.minimum(y, height - 1 - y)[:, None], np.minimum(x, width - 1 - x)[None, :])
+    return np.clip((edge + 1) / ramp, 0, 1).astype(np.float32)
+
+
+def shape_alpha(shape: str, height: int, width: int) -> np.ndarray:
+    """1 inside a circle, triangle or rectangle that fills the box."""
+    y, x = np.mgrid[0:height, 0:width]
+    u, v = (x + 0.5) / width, (y + 0.5) / height
+    if shape == "circle":
+        inside = (u - 0.5) ** 2 + (v - 0.5) ** 2 <= 0.25
+    elif shape == "triangle":
+        inside = np.abs(u - 0.5) <= v / 2
+    else:
+        inside = np.ones((height, width), bool)
+    return inside.astype(np.float32)
+
+
+def perturb(image: np.ndarray, rng: np.random.Generator, noise: float = 0.5, fog: float = 0.3) -> np.ndarray:
+    """Gain and bias, gamma, then noise and fog with their chances; draws come in this order."""
+    x = image.astype(np.float32) / 255
+    x = np.clip(x * rng.uniform(0.7, 1.3) + rng.uniform(-0.1, 0.1), 0, 1) ** rng.uniform(0.7, 1.4)
+    if rng.random() < noise:
+        x = x + rng.normal(0, 0.03, x.shape)
+    if rng.random() < fog:
+        a = rng.uniform(0.1, 0.4)
+        x = x * (1 - a) + a
+    return (np.clip(x, 0, 1) * 255).astype(np.uint8)
+
+
+def perturb_background(image: np.ndarray, boxes: list[tuple[int, int, int, int]], rng: np.random.Generator) -> np.ndarray:
+    """The same, with the pixels of all boxes kept; no boxes: the whole image."""
+    out = perturb(image, rng)
+    for x1, y1, x2, y2 in boxes:
+        out[y1:y2, x1:x2] = image[y1:y2, x1:x2]
+    return out
+
+
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear."""
+    h, w = image.shape[:2]
+    y, x = (np.arange(height) + 0.5) * h / height - 0.5, (np.arange(width) + 0.5) * w / width - 0.5
+    y0, x0 = np.clip(np.floor(y).astype(int), 0, h - 1), np.clip(np.floor(x).astype(int), 0, w - 1)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx = np.clip(y - y0, 0, 1)[:, None, None], np.clip(x - x0, 0, 1)[None, :, None]
+    a = image.reshape(h, w, -1).astype(np.float32)
+    out = a[y0][:, x0] * (1 - fy) * (1 - fx) + a[y0][:, x1] * (1 - fy) * fx + a[y1][:, x0] * fy * (1 - fx) + a[y1][:, x1] * fy * fx
+    return out.reshape(height, width, *image.shape[2:]).round().astype(image.dtype)
+
+
+def paste(tile: np.ndarray, crop: np.ndarray, x: int, y: int, height: int, width: int, alpha: np.ndarray | None = None) -> np.ndarray:
+    """A crop resized and blended into a tile, clamped to its borders."""
+    x, y = min(max(0, x), tile.shape[1] - width), min(max(0, y), tile.shape[0] - height)
+    a = (feather_alpha(height, width) if alpha is None else alpha)[..., None]
+    out = tile.copy()
+    area = out[y : y + height, x : x + width].astype(np.float32)
+    out[y : y + height, x : x + width] = (area * (1 - a) + resize(crop, height, width) * a).astype(np.uint8)
+    return out
+
+
+def grey(image: np.ndarray) -> np.ndarray:
+    return image.astype(np.float32) @ np.array([0.299, 0.587, 0.114], np.float32) if image.ndim == 3 else image.astype(np.float32)
+
+
+def lapvar(image: np.ndarray) -> float:
+    """Variance of the Laplacian, a measure of sharpness."""
+    g = np.pad(grey(image), 1, mode="edge")
+    return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
+
+
+def degrade(image: np.ndarray, side: int) -> np.ndarray:
+    """Down to ``side`` pixels and back, which takes detail that a camera would not have seen."""
+    h, w = image.shape[:2]
+    k = side / max(h, w)
+    return image if k >= 1 else resize(resize(image, max(1, round(h * k)), max(1, round(w * k))), h, w)
+
+
+def largest_component(mask: np.ndarray) -> np.ndarray:
+    """The largest 4-connected region."""
+    labels = np.where(mask > 0, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    while True:
+        p = np.pad(labels, 1)
+        top = np.where(labels > 0, np.max([p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:], labels], axis=0), 0)
+        if (top == labels).all():
+            break
+        labels = top
+    values, counts = np.unique(labels[labels > 0], return_counts=True)
+    return labels == values[counts.argmax()] if len(values) else np.zeros(mask.shape, bool)
+
+
+def fill_holes(mask: np.ndarray) -> np.ndarray:
+    """Background that does not reach the border becomes mask."""
+    outside = np.zeros(np.add(mask.shape, 2), bool)
+    free = np.pad(~mask, 1, constant_values=True)
+    outside[0, :] = outside[-1, :] = outside[:, 0] = outside[:, -1] = True
+    while True:
+        grown = outside.copy()
+        grown[1:] |= outside[:-1]
+        grown[:-1] |= outside[1:]
+        grown[:, 1:] |= outside[:, :-1]
+        grown[:, :-1] |= outside[:, 1:]
+        grown &= free
+        grown |= outside & free
+        if (grown == (outside & free)).all():
+            return ~grown[1:-1, 1:-1]
+        outside = grown
+
+
+def filter_mask(mask: np.ndarray, least_area: float = 0.20, least_solidity: float = 0.80) -> dict:
+    """Largest region with its holes filled, and whether it is large and solid enough.
+
+    Solidity is the area over that of the smallest box around it that fits in eight directions.
+    """
+    whole = fill_holes(largest_component(mask))
+    area = float(whole.mean())
+    if not whole.any():
+        return {"mask": whole, "area_ratio": 0.0, "solidity": 0.0, "status": "reject", "reason": "empty"}
+    y, x = np.nonzero(whole)
+    gy, gx = np.mgrid[0 : whole.shape[0], 0 : whole.shape[1]]
+    hull = np.ones(whole.shape, bool)
+    for a, b in ((1, 0), (0, 1), (1, 1), (1, -1)):
+        s, g = a * x + b * y, a * gx + b * gy
+        hull &= (g >= s.min()) & (g <= s.max())
+    solidity = float(whole.sum() / hull.sum())
+    reason = "small" if area < least_area else "ragged" if solidity < least_solidity else ""
+    return {"mask": whole, "area_ratio": area, "solidity": solidity, "status": "reject" if reason else "ok", "reason": reason}
+
+
+def phash(image: np.ndarray) -> int:
+    """64 bits of the low frequencies of a 32 x 32 grey version against their median, as a signed integer."""
+    n = 32
+    g = resize(grey(image)[..., None].astype(np.float32), n, n)[..., 0].astype(np.float64)
+    k = np.arange(n)
+    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
+    low = (basis @ g @ basis.T)[:8, :8].ravel()
+    bits = low > np.median(low)
+    value = int.from_bytes(np.packbits(bits).tobytes(), "big")
+    return value - (1 << 64) if value >> 63 else value
+
+
+def to_square(image: np.ndarray, box: tuple[int, int, int, int], side: int) -> np.ndarray:
+    x1, y1, x2, y2 = box
+    return resize(image[y1:y2, x1:x2], side, side)
+
+
+def contact_sheet(images: list[np.ndarray], columns: int, side: int) -> np.ndarray:
+    rows = -(-len(images) // columns)
+    sheet = np.zeros((rows * side, columns * side, 3), np.uint8)
+    for i, im in enumerate(images):
+        y, x = i // columns * side, i % columns * side
+        sheet[y : y + side, x : x + side] = resize(im, side, side)
+    return sheet
+
+
+def best_of(candidates: list, score: Callable[[object], tuple[float, bool]]) -> object:
+    """The first candidate that the verifier accepts, else the one it finds likeliest; never none."""
+    best = None
+    for c in candidates:
+        p, accepted = score(c)
+        if accepted:
+            return c
+        if best is None or p > best[0]:
+            best = (p, c)
+    return best[1]
+
+
+def regenerate(make: Callable[[int], np.ndarray], sound: Callable[[np.ndarray], bool], tries: int = 3) -> tuple[np.ndarray, int, bool]:
+    """Calls ``make`` until the result is sound; returns it, the tries and whether it was."""
+    for i in range(tries):
+        out = make(i)
+        if sound(out):
+            return out, i + 1, True
+    return out, tries, False
+
+
+def image_hash(content: Column, height: Column, width: Column) -> Column:
+    """phash of raw RGB bytes as a column."""
+
+    @F.pandas_udf("long")
+    def run(data: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([None if d is None else phash(np.frombuffer(d, np.uint8).reshape(a, b, 3)) for d, a, b in zip(data, h, w)], dtype="Int64")
+
+    return run(content, height, width)
+
+
+#: Generators of synthetic tiles by arm: (tile, labels, rng) -> tile.
+ARMS: dict[str, Callable] = {
+    "real_duplicate": lambda tile, boxes, rng: tile,
+    "bg_photometric": perturb_background,
+    "photometric_full": lambda tile, boxes, rng: perturb_background(tile, [], rng),
+}
+
+
+def generate(tiles: DataFrame, arm: str, seed: int = 42) -> DataFrame:
+    """tile, height, width, content with the content remade by an arm; one random stream per tile name."""
+    import zlib
+
+    kernel = ARMS[arm]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            made = []
+            for r in part.itertuples():
+                image = np.frombuffer(r.content, np.uint8).reshape(r.height, r.width, 3)
+                made.append(kernel(image, [tuple(b) for b in r.boxes], np.random.default_rng([seed, zlib.crc32(r.tile.encode())])).tobytes())
+            yield part.assign(content=made)[["tile", "height", "width", "content"]]
+
+    return tiles.select("tile", "height", "width", "content", "boxes").mapInPandas(run, "tile string, height int, width int, content binary")
+
+
+def predict_by_panorama(tiles: DataFrame, load: Callable[[], Callable[[list[bytes]], list[list[tuple]]]]) -> DataFrame:
+    """pid, x_off, y_off, cat, ord, conf, cx, cy, w, h from a model that is loaded once a task."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        names = ["pid", "x_off", "y_off", "cat", "ord", "conf", "cx", "cy", "w", "h"]
+        for part in parts:
+            found = model(part["content"].tolist())
+            rows = [(r.pid, r.x_off, r.y_off, int(d[0]), i, *map(float, d[1:])) for r, ds in zip(part.itertuples(), found) for i, d in enumerate(ds)]
+            yield pd.DataFrame(rows, columns=names)
+
+    return tiles.select("pid", "x_off", "y_off", "content").mapInPandas(run, "pid long, x_off int, y_off int, cat long, ord long, conf double, cx double, cy double, w double, h double")

@@ -28,7 +28,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.select(
         (F.col("l_orderkey") % PANORAMAS).alias("pid"), cat.alias("cat"), class_name(cat).alias("name"), side.alias("side"),
         ((F.col("l_partkey") * 37) % 1940).cast("double").alias("x1"), ((F.col("l_orderkey") * 53 + F.col("l_linenumber") * 97) % 1940).cast("double").alias("y1"),
-        (((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")).alias("ord"),
+        ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("ord"),
     )
     return rows.select("pid", "cat", "name", "x1", "y1", (F.col("x1") + F.col("side")).alias("x2"), (F.col("y1") + F.col("side")).alias("y2"), "ord")
 
@@ -38,7 +38,7 @@ OBJECTS = """objects AS (
   FROM (SELECT l_orderkey % 1000 AS pid, CAST(floor(sqrt((l_partkey * 7919 + l_suppkey * 31) % 625)) AS BIGINT) AS cat,
                8 + 2 * l_quantity AS side, CAST((l_partkey * 37) % 1940 AS DOUBLE) AS x1,
                CAST((l_orderkey * 53 + l_linenumber * 97) % 1940 AS DOUBLE) AS y1,
-               ((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey AS ord
+               (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS ord
         FROM lineitem))"""
 
 
@@ -68,7 +68,7 @@ def ground_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def detections(spark: SparkSession, sf_dir: str, run: int = 0) -> DataFrame:
     """pid, cat, ord, conf, cx, cy, w, h: jittered objects, some missing, some of a wrong class, with tied confidences."""
-    draw = F.pmod(F.col("ord") * 31 + run * 7919, F.lit(1000003))
+    draw = F.pmod(F.col("ord") % 1000003 * 31 + run * 7919, F.lit(1000003))
     moved = objects(spark, sf_dir).withColumn("draw", draw).where("draw % 10 >= 2")
     dx, dy = F.col("draw") % 7 - 3, F.floor(F.col("draw") / 7) % 7 - 3
     shifted = moved.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy, "cat": F.when(F.col("draw") % 20 == 5, (F.col("cat") + 1) % CLASSES).otherwise(F.col("cat"))})
@@ -80,7 +80,7 @@ def dets_sql(run: int = 0, name: str = "dets") -> str:
   SELECT pid, CASE WHEN hh % 20 = 5 THEN (cat + 1) % 25 ELSE cat END AS cat, ord, CAST(hh % 100 AS DOUBLE) / 100.0 AS conf,
          (x1 + dx + x2 + dx) / 2 / 2048 AS cx, (y1 + dy + y2 + dy) / 2 / 2048 AS cy, (x2 - x1) / 2048 AS w, (y2 - y1) / 2048 AS h
   FROM (SELECT *, hh % 7 - 3 AS dx, (hh // 7) % 7 - 3 AS dy
-        FROM (SELECT *, (ord * 31 + {run * 7919}) % 1000003 AS hh FROM objects)) WHERE hh % 10 >= 2)"""
+        FROM (SELECT *, (ord % 1000003 * 31 + {run * 7919}) % 1000003 AS hh FROM objects)) WHERE hh % 10 >= 2)"""
 
 
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:

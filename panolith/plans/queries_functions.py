@@ -82,9 +82,9 @@ def visibility_in_a_tile(spark, d):
     return o.select("ord", F.round("vf", 6).alias("vf"), G.visibility_class(F.col("vf"), inside).alias("plain"), G.visibility_class(F.col("vf"), inside, other=True).alias("with_other"))
 
 
-@query(f"""{O}, {D.GTS} SELECT ord, (512 + cx * 640) / 2048 AS cx, (1024 + cy * 640) / 2048 AS cy, w * 640 / 2048 AS w, h * 640 / 2048 AS h,
+@query(f"""{O} SELECT ord, (512 + cx * 640) / 2048 AS cx, (1024 + cy * 640) / 2048 AS cy, w * 640 / 2048 AS w, h * 640 / 2048 AS h,
   (512 + ix1) / 2048 AS ix1, (1024 + iy1) / 2048 AS iy1, greatest(0, least(640, round_even((cx - w / 2) * 640, 0)))::INTEGER AS px1, greatest(0, least(480, round_even((cy + h / 2) * 480, 0)))::INTEGER AS py2
-  FROM gts JOIN (SELECT ord, pid, cat, x1 AS ix1, y1 AS iy1 FROM objects) USING (ord, pid, cat)""")
+  FROM (SELECT ord, (x1 + x2) / 2 / 2048 AS cx, (y1 + y2) / 2 / 2048 AS cy, (x2 - x1) / 2048 AS w, (y2 - y1) / 2048 AS h, x1 AS ix1, y1 AS iy1 FROM objects)""")
 def tile_to_panorama(spark, d):
     o = D.normalised(D.objects(spark, d))
     box, px = F.struct("cx", "cy", "w", "h"), F.struct("x1", "y1", "x2", "y2")
