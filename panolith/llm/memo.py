@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable
 
 
+def calm_collector() -> None:
+    """Let the cycle collector look less often: workers hold large dicts of plain strings, which
+    have no cycles and which each full collection would walk."""
+    gc.set_threshold(100_000, 50, 100)
+
+
 class Memo:
     """Two generations of at most ``room`` entries: what is used again survives, the rest goes.
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panolith.llm.bpe import slices
-from panolith.llm.memo import Memo
+from panolith.llm.memo import Memo, calm_collector
 from panolith.session import spill
 
 CAPACITY = 4096
@@ -31,6 +31,14 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")  # white space to str.split(), not to the
 ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 
 
+STOPS = frozenset(".,;:!?")
+
+
+def _plain(word: str) -> bool:
+    """Only letters that are composed, stay one letter in lower case and make one word."""
+    return word.isalpha() and max(word) < "\u0130"
+
+
 class WordTokenizer:
     """Ids of the tokenizers library, kept for pieces between white space that come again.
 
@@ -46,19 +54,46 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.specials = bool(self.library.get_added_tokens_decoder())
+        vocab = self.library.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
         self.memo = Memo(self._pieces, room)
-        self.words = Memo(self._by_library, room)
+        self.words = Memo(self._words, room)
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Plain words go through the library many at a time, told apart by the ids that end words."""
+        plain = [w for w in words if _plain(w)]
+        out: dict[str, bytes] = {}
+        for at in range(0, len(plain), 2048):
+            part = plain[at : at + 2048]
+            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(part):
+                raise ValueError("the vocabulary does not mark the ends of words")
+            packed = ids.tobytes()
+            out.update(zip(part, [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._by_library(rest)))
+        return [out[w] for w in words]
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        found = [[p.lower()] if p.isascii() and p.isalpha() else ASCII_WORDS.findall(p.lower()) if p.isascii() and "<|" not in p else [p] for p in pieces]
+        found = [self._split(p) for p in pieces]
         wanted: set[str] = set()
         for f in found:
             wanted.update(f)
         memo = self.words.fill(wanted)
-        return [b"".join([memo[w] for w in f]) for f in found]
+        return [memo[f[0]] if len(f) == 1 else b"".join([memo[w] for w in f]) for f in found]
+
+    @staticmethod
+    def _split(piece: str) -> list[str]:
+        if _plain(piece):
+            return [piece.lower()]
+        if piece[-1] in STOPS and _plain(piece[:-1]):
+            return [piece[:-1].lower(), piece[-1]]
+        return ASCII_WORDS.findall(piece.lower()) if piece.isascii() and "<|" not in piece else [piece]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
@@ -94,6 +129,7 @@ def tokenize_pieces(docs: DataFrame, vocabulary: str, end_id: int = 1, capacity:
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        calm_collector()
         encoder = word_tokenizer(vocabulary)
         for batch in batches:
             at = 0
