@@ -9,14 +9,15 @@ training documents; the label of a scored document is not looked at), and
     P_k(word)   = (1 - e_k) * c_k(word) / N_k + e_k * sum over segmentations of prod p_k(piece) * p_k(stop)
 
 with e_k the Good-Turing mass of unseen words (hapaxes / N_k). Piece probabilities come from
-all different training words of the class, each once, which is what a new word resembles: first as the
-library cuts them, then re-estimated over all segmentations. The inner sum is a forward
+the hapaxes of the class, which is what a new word resembles: first as the library cuts them,
+then re-estimated over all segmentations. The inner sum is a forward
 recursion in log space. The end of a document is a token like any word, so the score is the
 marginal log probability of the whole text.
 
 Counts are distributed. The most frequent words (at most ``hot_words``, by a threshold on the
 count histogram) are broadcast; every other word of a document shuffles to the table of
-counts, and the parts meet again by row. No corpus count is dropped.
+training words, each scored once, and the parts meet again by row. Words not in it, which only
+held-out documents have, are scored by their pieces. No corpus count is dropped.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panolith.llm.bpe import slices
-from panolith.llm.memo import Memo
+from panolith.llm.memo import Memo, calm_collector
 from panolith.session import spill
 
 ALPHA = 0.1
@@ -167,7 +168,7 @@ def word_counts(train: DataFrame, classes: int) -> DataFrame:
 
 
 def piece_counts(counts: DataFrame, path: str, classes: int, log_p: np.ndarray | None = None, log_stop: np.ndarray | None = None) -> np.ndarray:
-    """(classes, pieces + 1) counts over the different words of each class, and the number of words.
+    """(classes, pieces + 1) counts over the words each class has once, and the number of them.
 
     Without probabilities words count as the library cuts them, otherwise over all segmentations.
     """
@@ -178,7 +179,7 @@ def piece_counts(counts: DataFrame, path: str, classes: int, log_p: np.ndarray |
         lattice = Lattice(vocab, log_p, log_stop) if log_p is not None else None
         for batch in batches:
             words = batch.column(0).to_pylist()
-            seen = np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) > 0 for k in range(classes)])
+            seen = np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) == 1 for k in range(classes)])
             total[:, -1] += seen.sum(0)
             if lattice:
                 for w, row in zip(words, seen):
@@ -230,10 +231,12 @@ def score_documents(docs: DataFrame, pieces: str, folds: int = 10, hot_words: in
     which = F.lit(len(labels))
     for i, name in enumerate(labels):
         which = F.when(F.col("label") == name, i).otherwise(which)
-    counts, _ = spill(word_counts(train.select("text", which.cast("int").alias("k")), size), "counts")
     ends = np.zeros(size)
     for r in train.groupBy(which.alias("k")).count().collect():
         ends[r["k"]] = r["count"]
+    if labels and not ends[-1]:  # every document has one of the labels
+        size, ends = size - 1, ends[:-1]
+    counts, _ = spill(word_counts(train.select("text", which.cast("int").alias("k")), size), "counts")
     sums = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), *[F.coalesce(F.sum(x), F.lit(0)) for k in range(size) for x in (f"c{k}", F.when(F.col(f"c{k}") == 1, 1))]).first()
     words, tokens = sums[0], sums[1]
     n, distinct = tokens + int(ends.sum()), words + bool(ends.sum())
@@ -260,29 +263,24 @@ def score_documents(docs: DataFrame, pieces: str, folds: int = 10, hot_words: in
             "end": np.log10(np.where(ends > 0, (1 - unseen) * ends / np.maximum(n_k, 1), unseen)),
             "prior": np.log10((ends + 1e-3) / (ends + 1e-3).sum()),
         }
+    names = ["base", *[f"s{k}" for k in range(size)]]
+    scored, _ = spill(_score_words(counts, pieces, model, size), "scored")
     hot, table = [], np.zeros((0, size + 1))
     if least is not None:
-        found = _hot_rows(counts.where(bin_of >= least).select("w", *columns), pieces, model, size).toPandas()  # at most ``hot_words`` rows
-        hot, table = [bytes(w) for w in found["w"]], found.drop(columns="w").to_numpy(float)
+        found = scored.where(bin_of >= least).select("w", *names).toPandas()  # at most ``hot_words`` rows
+        hot, table = [bytes(w) for w in found["w"]], found[names].to_numpy(float)
     model |= {"hot": hot, "table": table}
-    rows, _ = spill(_split_rows(lean, pieces, model, size), "tokens")
-    joined = rows.join(counts.select("w", F.lit(0).alias("kind"), "c", *columns), ["kind", "w"], "left")
-    c = F.coalesce(F.col("c"), F.lit(0))
-    rare, times = F.col("kind") == 0, F.col("n_tokens")
-
-    def mixed(k: int):
-        unit = F.coalesce(F.col(f"c{k}"), F.lit(0)) * F.lit(float(model["share"][k]))
-        by_pieces = F.col(f"s{k}")
-        # log10(unit + 10 ** by_pieces), also where a very long word's power underflows
-        return F.when(~rare, by_pieces).when(unit > 0, times * F.log10(unit + F.pow(F.lit(10.0), by_pieces))).otherwise(times * by_pieces).alias(f"s{k}")
-
-    parts = joined.select(
-        "rid", "doc_id", "held_out",
-        F.when(rare, F.lit(0)).otherwise(times).alias("n_tokens"),
-        F.when(rare, F.when(c > 0, times).otherwise(F.lit(0))).otherwise(F.col("n_known")).alias("n_known"),
-        F.when(rare, times * (F.log10(c + F.lit(ALPHA)) - F.lit(model["base_over"]))).otherwise(F.col("base_score")).alias("base_score"),
-        *[mixed(k) for k in range(size)],
-    )
+    rows, _ = spill(_split_rows(lean, model, size), "tokens")
+    rare, whole_rows = rows.where("kind = 0").select("rid", "held_out", "w", "n_tokens"), rows.where("kind = 1")
+    times = F.col("n_tokens")
+    known_columns = ["rid", times.alias("n_known"), *[(times * F.col(x)).alias(x) for x in names]]
+    in_train = rare.where("NOT held_out").join(scored, "w").select(known_columns)
+    held, _ = spill(rare.where("held_out").join(scored, "w", "left"), "held")
+    seen = held.where("c IS NOT NULL").select(known_columns)
+    new = _new_words(held.where("c IS NULL").select("rid", "w", "n_tokens"), pieces, model, size)
+    parts = whole_rows.select("rid", "doc_id", "held_out", "n_tokens", "n_known", F.col("base").alias("base_score"), *names[1:])
+    for p in (in_train, seen, new):
+        parts = parts.unionByName(p.withColumnRenamed("base", "base_score"), allowMissingColumns=True)
     whole = parts.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), *[F.sum(x).alias(x) for x in ("n_tokens", "n_known", "base_score", *[f"s{k}" for k in range(size)])])
     top = F.greatest(*[F.col(f"s{k}") for k in range(size)]) if size > 1 else F.col("s0")
     summed = F.lit(0.0)
@@ -298,69 +296,84 @@ def _by_pieces(pieces: str, model: dict):
     return lambda ws: [[x / scale + y for x, y in zip(lattice.log_words(w), less)] for w in ws]
 
 
-def _hot_rows(hot: DataFrame, pieces: str, model: dict, size: int) -> DataFrame:
-    """For each frequent word its base score and its score in each class."""
+def _score_words(counts: DataFrame, pieces: str, model: dict, size: int) -> DataFrame:
+    """For each training word its count, its base score and its score in each class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _by_pieces(pieces, model)
         for batch in batches:
-            c = np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(size)]).astype(float)
-            spelled = 10.0 ** np.array(score(batch.column(0).to_pylist())).reshape(-1, size)
-            columns = [np.log10(c.sum(1) + ALPHA) - model["base_over"], *np.log10(c * model["share"] + spelled).T]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], names=["w", "base", *[f"s{k}" for k in range(size)]])
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
+                c = np.column_stack([part.column(1 + k).to_numpy(zero_copy_only=False) for k in range(size)]).astype(float)
+                by_pieces = np.array(score(part.column(0).to_pylist())).reshape(-1, size)
+                with np.errstate(divide="ignore"):
+                    mixed = np.where(c > 0, np.log10(c * model["share"] + 10.0**by_pieces), by_pieces)
+                columns = [np.log10(c.sum(1) + ALPHA) - model["base_over"], *mixed.T]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1 + size), *map(pa.array, columns)], names=["w", "c", "base", *[f"s{k}" for k in range(size)]])
 
-    return hot.repartition(32, "w").mapInArrow(run, "w binary, base double" + "".join(f", s{k} double" for k in range(size)))
+    wanted = counts.select("w", *[f"c{k}" for k in range(size)], "c")
+    return wanted.mapInArrow(run, "w binary, c long, base double" + "".join(f", s{k} double" for k in range(size)))
 
 
-def _split_rows(lean: DataFrame, pieces: str, model: dict, size: int) -> DataFrame:
-    """For each document a row of kind 1 with its sums over frequent words and the end, and for
-    each other word one of kind 0 with its count and its log10 share by pieces in each class."""
-    shared = lean.sparkSession.sparkContext.broadcast(model)
+def _new_words(rows: DataFrame, pieces: str, model: dict, size: int) -> DataFrame:
+    """Scores of words that no training document has, by row."""
+    lean = {k: v for k, v in model.items() if k not in ("hot", "table")}
 
-    def load():
-        m = shared.value
-        if m["key"] not in _READY:
-            _READY.clear()
-            _READY[m["key"]] = ({w: i for i, w in enumerate(m["hot"])}, m["table"], Memo(_by_pieces(pieces, m), 150_000))
-        return m, *_READY[m["key"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(_by_pieces(pieces, lean), 100_000)
+        base = math.log10(ALPHA) - lean["base_over"]
+        for batch in batches:
+            words = batch.column(1).to_pylist()
+            held = memo.fill(words)
+            n = batch.column(2).to_numpy(zero_copy_only=False).astype(float)
+            each = np.array([held[w] for w in words]).reshape(-1, size) * n[:, None]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.zeros(len(n), np.int64)), pa.array(base * n), *map(pa.array, each.T)], names=["rid", "n_known", "base", *[f"s{k}" for k in range(size)]])
+
+    return rows.mapInArrow(run, "rid long, n_known long, base double" + "".join(f", s{k} double" for k in range(size)))
+
+
+def _split_rows(lean: DataFrame, model: dict, size: int) -> DataFrame:
+    """For each document a row of kind 1 with its sums over frequent words and the end, and for
+    each other word one of kind 0 with its count."""
+    shared = lean.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k not in ("log_p", "log_stop")})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        m, index, table, memo = load()
+        m = shared.value
+        if m["key"] not in _READY:
+            _READY.clear()
+            _READY[m["key"]] = {w: i for i, w in enumerate(m["hot"])}
+        index, table = _READY[m["key"]], m["table"]
+        calm_collector()
         after = np.append(math.log10(m["ends"] + ALPHA) - m["base_over"], m["end"] + m["prior"])
         rid = (TaskContext.get().partitionId() << 40) - 1
         for batch in batches:
             ids, out = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             at = 0
             for texts in slices(batch.column(1).to_pylist()):
-                columns: list[list] = [[] for _ in range(8 + size)]
-                rare: list[tuple[int, Counter]] = []
+                columns: list[list] = [[] for _ in range(7)]
+                sums: list[np.ndarray] = []
                 for t in texts:
                     rid += 1
                     words = words_of(t)
                     found = [index.get(w, -1) for w in words]
                     hit = np.array(found, np.int64)
                     hit = hit[hit >= 0]
-                    sums = table[hit].sum(0) + after
-                    for col, v in zip(columns, (rid, 1, str(rid).encode(), ids[at], out[at], len(words) + 1, len(hit) + (m["ends"] > 0), *sums)):
-                        col.append(v)
-                    rare.append((rid, Counter([w for w, f in zip(words, found) if f < 0])))
-                    at += 1
-                wanted: set[bytes] = set()
-                for _, ws in rare:
-                    wanted.update(ws)
-                scores = memo.fill(wanted)
-                for r, ws in rare:
-                    k = len(ws)
-                    each = [scores[w] for w in ws]
-                    for col, vs in zip(columns, ([r] * k, [0] * k, ws.keys(), [None] * k, [None] * k, ws.values(), [None] * k, [None] * k, *[[e[i] for e in each] for i in range(size)])):
+                    rare = Counter([w for w, f in zip(words, found) if f < 0]) if len(hit) < len(words) else {}
+                    k = len(rare)
+                    for col, vs in zip(columns, ([rid] * (k + 1), [0] * k + [1], [*rare, None], [None] * k + [ids[at]], [out[at]] * (k + 1), [*rare.values(), len(words) + 1], [None] * k + [len(hit) + (m["ends"] > 0)])):
                         col.extend(vs)
-                types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.float64()] * (1 + size))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["rid", "kind", "w", "doc_id", "held_out", "n_tokens", "n_known", "base_score", *[f"s{k}" for k in range(size)]])
+                    sums.append(table[hit].sum(0) + after)
+                    at += 1
+                kind = np.array(columns[1], np.int32)
+                full = np.zeros((len(kind), size + 1))
+                full[kind == 1] = np.array(sums)
+                types = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(columns, types)], *[pa.array(x, mask=kind == 0) for x in full.T]], names=["rid", "kind", "w", "doc_id", "held_out", "n_tokens", "n_known", "base", *[f"s{k}" for k in range(size)]])
 
-    schema = "rid long, kind int, w binary, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
+    schema = "rid long, kind int, w binary, doc_id long, held_out boolean, n_tokens long, n_known long, base double"
     return lean.select("doc_id", "text", "held_out").mapInArrow(run, schema + "".join(f", s{k} double" for k in range(size)))
 
 
-_READY: dict[str, tuple] = {}
+_READY: dict[str, dict] = {}
