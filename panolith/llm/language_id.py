@@ -49,6 +49,8 @@ class Models:
                 seen.update(t.lower())
         self.alphabet = [c for c, _ in sorted(((c, n) for c, n in seen.items() if c.isalpha()), key=lambda x: (-x[1], x[0]))[:alphabet]]
         self._table = None
+        if not self.langs:  # nothing to learn from: all is rejected
+            return
         kept = {k: [t for i, t in enumerate(ts) if i % 5] or ts for k, ts in texts.items()}
         self._train(kept)
         self.mean, self.reach = np.zeros(len(self.langs)), np.zeros(len(self.langs))
