@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panolith.llm.bpe import slices
@@ -246,129 +247,134 @@ def _component_of(prints: DataFrame, radius: int, hot: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------
-# Near copies of documents: two fingerprints, one to meet by and one to judge by.
+# Near copies of documents: an exact join of shingle sets.
 
-TABLES, KEY_BITS = 24, 20
-MEET_RADIUS = 8
-JUDGE_WORDS = 4  # longs of the second fingerprint
+COMMON = 1 << 17  # common shingles that are put last
+SAMPLE_DOCS = 20_000
+AT_ONCE = 1 << 23  # (pair, shingle) rows that are compared without thinning by stars first
 
 
-def judge_radius(similarity: float, bits: int = 64 * JUDGE_WORDS) -> int:
-    """Differing bits to expect at a Jaccard similarity (the angle between two equal-sized sets),
-    and one standard deviation more, so that most pairs at the similarity itself are found."""
-    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(bits * p + np.sqrt(bits * p * (1 - p)))
+def _shingle_set(text: str, words: int) -> np.ndarray:
+    return np.unique(np.frombuffer(shingle_hashes(text, words), ">u8").astype(np.uint64))
 
 
-def key_masks(tables: int, bits: int, seed: int = 7) -> list[int]:
-    """Sampled bit positions of each table, the same in every run."""
-    rng = np.random.default_rng(seed)
-    return [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-
-
-def copy_prints(docs: DataFrame, words: int, text: str, uid: str) -> DataFrame:
-    """uid, f (set of different words, 64 bits), g0..g3 (word shingles, 256 bits)."""
-    seeds = (1, 2)
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """uid, s: the different shingle hashes of ``docs`` (uid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
             for texts in slices(batch.column(1).to_pylist(), 1 << 20):
-                sets, halves = [], [[] for _ in seeds]
-                for t in texts:
-                    ws = t.encode("utf-8", "surrogatepass").lower().split()
-                    sets.append(b"".join([xxhash.xxh64_digest(w, 42) for w in set(ws)]))
-                    flat = b" ".join(ws)
-                    gaps = np.flatnonzero(np.frombuffer(flat, np.uint8) == 32)
-                    if len(gaps) < words:
-                        spans = [flat]
-                    else:
-                        starts, ends = [0, *(gaps + 1).tolist()], [*gaps.tolist(), len(flat)][words - 1 :]
-                        spans = [flat[a:b] for a, b in zip(starts, ends)]
-                    for half, seed in zip(halves, seeds):
-                        half.append(b"".join([xxhash.xxh3_128_digest(x, seed) for x in spans]))
-                columns = [majority(sets)]
-                for half in halves:
-                    split = [np.frombuffer(h, ">u8").reshape(-1, 2) for h in half]
-                    columns += [majority([np.ascontiguousarray(x[:, i]).tobytes() for x in split]) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *[pa.array(c.view(np.int64)) for c in columns]], names=["uid", "f", "g0", "g1", "g2", "g3"])
+                sets = [_shingle_set(t, words).view(np.int64) for t in texts]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["uid", "s"])
                 at += len(texts)
 
-    return docs.select(F.col(uid).alias("uid"), F.col(text).alias("text")).mapInArrow(run, "uid long, f long, g0 long, g1 long, g2 long, g3 long")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, s array<long>")
+
 
+def _common(docs: DataFrame, words: int) -> np.ndarray:
+    """Shingles of at least three documents of a sample, the rarer first; only the order of
+    shingles hangs on it, which decides the work and not the result."""
+    n = docs.count()
+    share = docs if n <= SAMPLE_DOCS else docs.where(F.pmod(F.xxhash64("uid"), F.lit(1_000_000)) < 1_000_000 * SAMPLE_DOCS // n)
+    found = shingle_sets(share, words).select(F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    return np.array([r.h for r in found.orderBy(F.desc("n"), "h").limit(COMMON).collect()][::-1], np.int64).view(np.uint64)
+
+
+def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
+    """uid, n (different shingles), k0, k1 (128 bits of the set), p (its first shingles).
+
+    Sets of a Jaccard similarity of ``least`` share at least ceil(least n) shingles of each, so
+    in any order of all shingles they share one among the first n - ceil(least n) + 1 of both.
+    """
+    by_value = np.argsort(common)
+    values = common[by_value]
+
+    def ordered(s: np.ndarray) -> np.ndarray:
+        if not len(values):
+            return s
+        at = np.minimum(np.searchsorted(values, s), len(values) - 1)
+        known = values[at] == s
+        return np.concatenate([s[~known], s[known][np.argsort(by_value[at[known]])]])
 
-def _copy_links(meet: int, judge: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(0)
-            sizes = np.diff(lists.offsets.to_numpy())
-            rows = lists.flatten()
-            node, f, *g = (rows.field(i).to_numpy(zero_copy_only=False) for i in range(2 + JUDGE_WORDS))
-            g = np.column_stack(g).view(np.uint64)
+            at = 0
+            for texts in slices(batch.column(1).to_pylist(), 1 << 20):
+                sets = [_shingle_set(t, words) for t in texts]
+                keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
+                first = [ordered(s)[: len(s) - ceil(least * len(s) - 1e-9) + 1].view(np.int64) for s in sets]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=["uid", "n", "k0", "k1", "p"])
+                at += len(texts)
 
-            def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-                return np.bitwise_count(g[a] ^ g[b]).sum(1) <= judge  # noqa: B023
+    return docs.select("uid", "text").mapInArrow(run, "uid long, n long, k0 long, k1 long, p array<long>")
 
-            got = bucket_links(sizes, f.view(np.uint64), meet, node, same)
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], names=["a", "b"])
 
-    return run
+def _possible(least: float) -> str:
+    """Whether sets x and y, of which this is the first common shingle, can be so similar."""
+    return f"least(x.n - x.i, y.n - y.i) >= (x.n + y.n) * {least / (1 + least)!r}D - 1e-6D"
 
 
-def _meeting(rows: DataFrame, hot: int) -> DataFrame:
-    """Buckets (lists of rows) of at most about ``hot`` rows that share a sampled key.
+def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose shingle sets have that Jaccard similarity, as a table of its own."""
+    pairs, _ = spill(pairs.distinct(), "copy-pairs")
+    need, _ = spill(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "copy-need")
+    few = F.broadcast(need) if need.count() <= SMALL_ROWS else need
+    sets, _ = spill(shingle_sets(docs.join(few, "uid", "left_semi"), words), "copy-sets")
+    both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return spill(both.where(common * (1 + least) >= least * (F.size("x") + F.size("y")) - 1e-6).select("a", "b"), "copy-links")[0]
 
-    A crowded key is split by further sampled bits, four ways; what is crowded still is dealt
-    in chunks by hash, each with the key's first row, so that all of it is compared with that one.
-    """
-    item = F.struct("node", "f", *[f"g{i}" for i in range(JUDGE_WORDS)]).alias("item")
-    masks, more = key_masks(TABLES, KEY_BITS), key_masks(4, 12, seed=8)
-    keyed = rows.select(item, F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("f").bitwiseAND(F.lit(_signed(m))).alias("k")) for i, m in enumerate(masks)])).alias("key")).select("item", "key.t", "key.k")
-    lists = []
-    for level in (0, 1):
-        crowded, _ = spill(keyed.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("item.node").alias("head")).where(F.col("n") > hot), "crowded")
-        n = crowded.count()
-        if not n:
-            break
-        few = F.broadcast(crowded) if n <= SMALL_ROWS else crowded
-        lists.append(keyed.join(few, ["t", "k"], "left_anti"))
-        keyed = keyed.join(few.select("t", "k", "n", "head"), ["t", "k"])
-        if level == 0:
-            finer = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.col("item.f").bitwiseAND(F.lit(_signed(m))).alias("x")) for j, m in enumerate(more)]))
-            keyed = keyed.withColumn("finer", finer).select("item", (F.col("t") * 4 + F.col("finer.j")).alias("t"), F.xxhash64("k", "finer.x").alias("k"))
-        else:
-            chunks = F.ceil(F.col("n") / hot).cast("int")
-            own = F.array(F.pmod(F.xxhash64("item.node"), chunks).cast("int"))
-            every = F.when(F.col("item.node") == F.col("head"), F.sequence(F.lit(0), chunks - 1)).otherwise(own)
-            keyed = keyed.withColumn("chunk", F.explode(every)).select("item", "t", F.xxhash64("k", "chunk").alias("k"))
-    lists.append(keyed)
-    out = None
-    for part in lists:
-        buckets = part.groupBy("t", "k").agg(F.collect_list("item").alias("items")).where(F.size("items") > 1).select("items")
-        out = buckets if out is None else out.unionByName(buckets)
-    return out
 
+def copy_links(postings: DataFrame, docs: DataFrame, words: int, least: float, at_once: int) -> DataFrame:
+    """Links (a, b) that connect every two documents so similar, directly or by others.
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, meet: int = MEET_RADIUS, text: str = "text", doc_id: str = "doc_id", hot: int = HOT, small_rows: int = 1 << 20) -> DataFrame:
+    ``postings`` has h, uid, n, i (place of h in the order). Only pairs connected already are
+    left out: while there are more than ``at_once`` rows of pairs, each shingle's documents are
+    first held against one of them. What no star connects is compared in full.
+    """
+    every = F.count("*").over(W.partitionBy("h"))
+    shared, _ = spill(postings.withColumn("m", every).where("m > 1").drop("m").withColumn("c", F.col("uid")), "copy-shared")
+    links, was, turn = None, None, 0
+    while True:
+        per = shared.groupBy("h", "c").agg(F.count("*").cast("double").alias("m")).groupBy("h").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("m"))
+        rows = (per.agg(F.sum("m")).first()[0] or 0) / 2
+        stars = rows > at_once and (was is None or rows < 0.9 * was)
+        if stars:
+            head = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), "uid", "n", "i", "c")).alias("y")).select("h", "y.*").drop("o")
+            rule = "x.h = y.h AND x.c <> y.c"
+        else:
+            head, rule = shared, "x.h = y.h AND x.uid < y.uid AND x.c <> y.c"
+        pairs = shared.alias("x").join(head.alias("y"), F.expr(f"{rule} AND {_possible(least)}")).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+        found = _verified(pairs, docs, words, least)
+        links = found if links is None else links.unionByName(found)
+        if not stars:
+            return links
+        component, _ = spill(connected_components(links), "copy-components")
+        shared, _ = spill(shared.drop("c").join(component.withColumnRenamed("node", "uid"), "uid", "left").select("h", "uid", "n", "i", F.coalesce("component", "uid").alias("c")), "copy-shared")
+        was, turn = rows, turn + 1
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", small_rows: int = 1 << 20, at_once: int = AT_ONCE) -> DataFrame:
     """The documents that stay, with all their columns: of each component the first by doc_id.
 
-    Documents meet by a SimHash of their different words (sampled bits of it, then bit-sliced
-    comparison within ``meet`` bits) and are copies if a second, 256-bit SimHash of their word
-    shingles differs in no more bits than the similarity lets expect. Rows without a word, or
+    Copies are two documents whose sets of word shingles have a Jaccard similarity of
+    ``similarity`` at least; all such pairs are found and no others. Rows without a word, or
     with a null text, are kept: they have nothing to be a copy of. Ids may be null (last) or
     repeat; of rows alike in all of it exactly one stays.
     """
     columns = docs.columns
     keyed = docs.withColumn("__uid", F.monotonically_increasing_id())
-    some = keyed.where(F.col(text).rlike("[^\\x20\\x09-\\x0D]"))
-    prints, _ = spill(copy_prints(some, words, text, "__uid"), "prints")
-    parts = ["f", *[f"g{i}" for i in range(JUDGE_WORDS)]]
-    nodes, _ = spill(prints.groupBy(parts).agg(F.min("uid").alias("node"), F.count("*").alias("n")), "nodes")
-    links = _meeting(nodes, hot).mapInArrow(_copy_links(meet, judge_radius(similarity)), "a long, b long")
-    linked, _ = spill(connected_components(links), "linked")
-    joined = nodes.join(linked, "node", "left").where(F.col("component").isNotNull() | (F.col("n") > 1)).select(*parts, F.coalesce("component", "node").alias("component"))
+    some = keyed.where(F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(F.col("__uid").alias("uid"), F.col(text).alias("text"))
+    prints, _ = spill(prefixes(some, words, similarity, _common(some, words)), "prints")
+    nodes, _ = spill(prints.groupBy("k0", "k1").agg(F.min("uid").alias("node"), F.count("*").alias("rows")), "nodes")
+    heads = prints.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
+    postings = heads.select("uid", "n", F.posexplode("p").alias("i", "h"))
+    linked, _ = spill(connected_components(copy_links(postings, some, words, similarity, at_once)), "linked")
+    joined = nodes.join(linked, "node", "left").where(F.col("component").isNotNull() | (F.col("rows") > 1)).select("k0", "k1", F.coalesce("component", "node").alias("component"))
     grouped, _ = spill(joined, "grouped")
-    owned, _ = spill(prints.join(grouped, parts).select("uid", "component"), "owned")
+    owned, _ = spill(prints.join(grouped, ["k0", "k1"]).select("uid", "component"), "owned")
     ids = keyed.select(F.col("__uid").alias("uid"), F.col(doc_id).cast("long").alias("id"))
     ranked = owned.join(ids, "uid").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("keep"))
     first, _ = spill(ranked.select(F.col("keep.uid").alias("uid")), "kept")

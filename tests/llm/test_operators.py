@@ -88,6 +88,25 @@ def test_near_copies(spark, odd, empty):
     assert kept.columns == odd.columns and simhash.drop_near_copies(empty).count() == 0
 
 
+@pytest.mark.parametrize("at_once", [simhash.AT_ONCE])
+def test_near_copies_are_those_of_brute_force(spark, at_once):
+    rng = random.Random(4)
+    rows, sets = [], []
+    for family in range(12):
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.choice([6, 60, 200]))]
+        for _ in range(12):
+            new, block = [*words], [f"b{rng.randint(0, 10**6)}" for _ in range(int(len(words) * rng.choice([0, 0.1, 0.2, 0.24, 0.28, 0.4])))]
+            new[3:3] = block
+            for at in rng.sample(range(len(new)), rng.randint(0, len(new) // 40)):
+                new[at] = f"x{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(new)))
+            sets.append({tuple(new[i : i + 5]) for i in range(len(new) - 4)})
+    alike = [(a, b) for b in range(len(sets)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9]
+    lost = components.star_forest(iter(alike))
+    got = {r.doc_id for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), at_once=at_once).collect()}
+    assert got == set(range(len(rows))) - set(lost) and len(lost) > 10
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
