@@ -88,7 +88,7 @@ def test_near_copies(spark, odd, empty):
     assert kept.columns == odd.columns and simhash.drop_near_copies(empty).count() == 0
 
 
-@pytest.mark.parametrize("at_once", [simhash.AT_ONCE])
+@pytest.mark.parametrize("at_once", [simhash.AT_ONCE, 0])
 def test_near_copies_are_those_of_brute_force(spark, at_once):
     rng = random.Random(4)
     rows, sets = [], []
