@@ -293,6 +293,28 @@ def test_lines(spark, odd, empty):
     assert line_dedup.line_groups(empty).count() == 0
 
 
+def line_similarity(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return 1 - row[-1] / max(len(a), len(b))
+
+
+def test_lines_of_one_fingerprint_are_all_compared(spark):
+    rng = random.Random(0)
+    lines = []
+    for _ in range(8):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(16)]
+        lines += [" ".join(words[i:] + words[:i]) for i in range(3)]  # neighbours are similar, the ends are not
+    alike = [(a, b) for b in range(len(lines)) for a in range(b) if line_similarity(lines[a], lines[b]) >= 0.8]
+    want = components.star_forest(iter(alike))
+    assert len(want) == 16 and len(alike) == 16
+    rows = line_dedup.line_groups(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.first_doc_id for r in rows} == {i: want.get(i, i) for i in range(len(lines))}
+
+
 def test_line_pairs_where_keys_are_crowded(spark):
     rng = random.Random(5)
     base = rng.getrandbits(63)
