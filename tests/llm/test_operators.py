@@ -315,6 +315,14 @@ def test_lines_of_one_fingerprint_are_all_compared(spark):
     assert {r.doc_id: r.first_doc_id for r in rows} == {i: want.get(i, i) for i in range(len(lines))}
 
 
+def test_long_lines_are_held_to_the_same_rule(spark):
+    words = [f"w{random.Random(i).randint(0, 10**6)}" for i in range(500)]
+    other = [w if i % 20 else "x" + w[1:] for i, w in enumerate(words)]
+    a, b = " ".join(words), " ".join(other)
+    r = spark.createDataFrame([(a, b)], "a string, b string").select(line_dedup.similar(F.col("a"), F.col("b"), 0.8).alias("ok")).first()
+    assert len(a) > 2000 and line_similarity(a, b) > 0.95 and r.ok
+
+
 def test_line_pairs_where_keys_are_crowded(spark):
     rng = random.Random(5)
     base = rng.getrandbits(63)
