@@ -31,9 +31,9 @@ def _subset(o):
 
 
 def _splits(spark, d):
-    o = D.objects(spark, d).where("pid < 500")
     h = D.hashes(spark, d)
     images = h.select(F.col("id").alias("pid"))
+    o = D.objects(spark, d).join(images, "pid", "left_semi")
     return splits.make_splits(h, images, o, _subset(D.objects(spark, d)), min_test=5), o
 
 
