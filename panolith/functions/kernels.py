@@ -24,35 +24,65 @@ def paint_out(image: np.ndarray, box: tuple[float, float, float, float]) -> np.n
 
 
 def feather_alpha(height: int, width: int) -> np.ndarray:
-    """A ramp from the border inwards over a tenth of the shorter side, one pixel at least."""
-    ramp = max(1.0, min(height, width) / 10)
-    y, x = np.arange(height), np.arange(width)
-    edge = np.minimum(np.minimum(y, height - 1 - y)[:, None], np.minimum(x, width - 1 - x)[None, :])
-    return np.clip((edge + 1) / ramp, 0, 1).astype(np.float32)
+    """1 inside; over a tenth of the shorter side (one pixel at least) the border fades out in even steps."""
+    steps = max(1, min(height, width) // 10)
 
+    def side(n: int) -> np.ndarray:
+        place = np.arange(n)
+        return np.minimum(1, (np.minimum(place, n - 1 - place) + 1) / (steps + 1)).astype(np.float32)
 
-def shape_alpha(shape: str, height: int, width: int) -> np.ndarray:
-    """1 inside a circle, triangle or rectangle that fills the box."""
+    return np.minimum.outer(side(height), side(width))
+
+
+#: Steps to the next pixel and to the one across, of a chamfer distance over 3 x 3 neighbours.
+CHAMFER = (0.955, 1.3693)
+
+
+def feather_mask(mask: np.ndarray, feather: float = 2) -> np.ndarray:
+    """The mask fading inwards: distance to the nearest pixel outside, over ``feather``, at most 1.
+
+    What lies beyond the image does not count as outside.
+    """
+    inside = np.asarray(mask) > 0
+    if feather <= 0 or not inside.any():
+        return inside.astype(np.float32)
+    far = feather + 1.0
+    distance = np.where(inside, far, 0.0)
+    for _ in range(int(np.ceil(feather / CHAMFER[0]))):
+        p = np.pad(distance, 1, constant_values=far)
+        h, w = inside.shape
+        for dy in (0, 1, 2):
+            for dx in (0, 1, 2):
+                if (dy, dx) != (1, 1):
+                    distance = np.minimum(distance, p[dy : dy + h, dx : dx + w] + CHAMFER[dy != 1 and dx != 1])
+    return np.clip(distance / feather, 0, 1).astype(np.float32)
+
+
+def shape_alpha(shape: str, height: int, width: int, feather: float = 2) -> np.ndarray:
+    """The silhouette of a circle (an ellipse in an oblong box), triangle or rectangle that fills the box, fading inwards."""
+    height, width = max(1, int(height)), max(1, int(width))
     y, x = np.mgrid[0:height, 0:width]
-    u, v = (x + 0.5) / width, (y + 0.5) / height
-    if shape == "circle":
-        inside = (u - 0.5) ** 2 + (v - 0.5) ** 2 <= 0.25
+    if shape == "rectangle":
+        inside = np.ones((height, width), bool)
     elif shape == "triangle":
-        inside = np.abs(u - 0.5) <= v / 2
+        share, top = y / max(1, height - 1), width // 2
+        inside = (x >= np.round(top * (1 - share))) & (x <= np.round(top + (width - 1 - top) * share))
     else:
-        inside = np.ones((height, width), bool)
-    return inside.astype(np.float32)
+        ry, rx = max(1, height // 2 - 1), max(1, width // 2 - 1)
+        inside = ((y - height // 2) / ry) ** 2 + ((x - width // 2) / rx) ** 2 <= 1
+    return feather_mask(inside if inside.any() else np.ones((height, width), bool), feather)
 
 
 def perturb(image: np.ndarray, rng: np.random.Generator, noise: float = 0.5, fog: float = 0.3) -> np.ndarray:
     """Gain and bias, gamma, then noise and fog with their chances; draws come in this order."""
     x = image.astype(np.float32) / 255
-    x = np.clip(x * rng.uniform(0.7, 1.3) + rng.uniform(-0.1, 0.1), 0, 1) ** rng.uniform(0.7, 1.4)
+    x = np.clip(x * rng.uniform(0.7, 1.3) + rng.uniform(-0.1, 0.1), 0, 1) ** rng.uniform(0.7, 1.5)
     if rng.random() < noise:
-        x = x + rng.normal(0, 0.03, x.shape)
+        deviation = rng.uniform(0.01, 0.05)
+        x = x + rng.normal(0, deviation, x.shape)
     if rng.random() < fog:
         a = rng.uniform(0.1, 0.4)
-        x = x * (1 - a) + a
+        x = x * (1 - a) + 0.6 * a
     return (np.clip(x, 0, 1) * 255).astype(np.uint8)
 
 
@@ -64,21 +94,72 @@ def perturb_background(image: np.ndarray, boxes: list[tuple[int, int, int, int]]
     return out
 
 
+def perturb_outside_signs(image: np.ndarray, boxes: list[tuple[int, int, int, int]], rng: np.random.Generator, shapes: list[str] | None = None, mask: np.ndarray | None = None) -> np.ndarray:
+    """The same, with only the silhouettes of the signs kept.
+
+    A segmentation mask (of its box, over 127 is sign) serves where the tile has one sign; else
+    the silhouette is that of the sign's shape.
+    """
+    out, keep = perturb(image, rng), np.zeros(image.shape[:2], bool)
+    for i, (x1, y1, x2, y2) in enumerate(boxes):
+        if x2 > x1 and y2 > y1:
+            if mask is not None and len(boxes) == 1:
+                inside = resample(mask, y2 - y1, x2 - x1, "nearest") > 127
+            else:
+                inside = shape_alpha(shapes[i] if shapes else "circle", y2 - y1, x2 - x1, 0) > 0
+            keep[y1:y2, x1:x2] |= inside
+    out[keep] = image[keep]
+    return out
+
+
+def _kernel(name: str, x: np.ndarray) -> np.ndarray:
+    x = np.abs(x)
+    if name == "lanczos":
+        return np.where(x < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+    if name == "cubic":  # with a = -0.5
+        return np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0.0))
+    if name == "area":
+        return (x <= 0.5).astype(float)
+    return np.maximum(0.0, 1 - x)
+
+
+def _weights(size: int, wanted: int, name: str) -> np.ndarray:
+    """(wanted, size): the share of each old pixel in each new one; kernels widen when sizes shrink."""
+    centre = (np.arange(wanted) + 0.5) * size / wanted
+    if name == "nearest":
+        out = np.zeros((wanted, size))
+        out[np.arange(wanted), np.minimum(centre.astype(int), size - 1)] = 1
+        return out
+    if name == "area" and wanted <= size:  # exact overlap of intervals
+        edge = np.arange(wanted + 1) * size / wanted
+        old = np.arange(size)
+        share = np.clip(np.minimum(edge[1:, None], old + 1) - np.maximum(edge[:-1, None], old), 0, None)
+    else:
+        scale = max(1.0, size / wanted)
+        share = _kernel("linear" if name == "area" else name, (np.arange(size)[None, :] + 0.5 - centre[:, None]) / scale)
+    return share / share.sum(1, keepdims=True)
+
+
+def resample(image: np.ndarray, height: int, width: int, name: str = "cubic") -> np.ndarray:
+    """Resizing by a kernel: nearest, linear, area, cubic or lanczos; bytes are rounded after each direction."""
+    whole = image.dtype == np.uint8
+
+    def tidy(x: np.ndarray) -> np.ndarray:
+        return np.clip(np.round(x), 0, 255) if whole else x
+
+    a = image.reshape(image.shape[0], image.shape[1], -1).astype(np.float64)
+    a = tidy(np.einsum("wx,yxc->ywc", _weights(a.shape[1], width, name), a, optimize=True))
+    a = tidy(np.einsum("hy,ywc->hwc", _weights(a.shape[0], height, name), a, optimize=True))
+    return a.reshape(height, width, *image.shape[2:]).astype(image.dtype)
+
+
 def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear."""
-    h, w = image.shape[:2]
-    y, x = (np.arange(height) + 0.5) * h / height - 0.5, (np.arange(width) + 0.5) * w / width - 0.5
-    y0, x0 = np.clip(np.floor(y).astype(int), 0, h - 1), np.clip(np.floor(x).astype(int), 0, w - 1)
-    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
-    fy, fx = np.clip(y - y0, 0, 1)[:, None, None], np.clip(x - x0, 0, 1)[None, :, None]
-    a = image.reshape(h, w, -1).astype(np.float32)
-    out = a[y0][:, x0] * (1 - fy) * (1 - fx) + a[y0][:, x1] * (1 - fy) * fx + a[y1][:, x0] * fy * (1 - fx) + a[y1][:, x1] * fy * fx
-    return out.reshape(height, width, *image.shape[2:]).round().astype(image.dtype)
+    return resample(image, height, width, "cubic")
 
 
 def paste(tile: np.ndarray, crop: np.ndarray, x: int, y: int, height: int, width: int, alpha: np.ndarray | None = None) -> np.ndarray:
     """A crop resized and blended into a tile, clamped to its borders."""
-    x, y = min(max(0, x), tile.shape[1] - width), min(max(0, y), tile.shape[0] - height)
+    x, y = max(0, min(x, tile.shape[1] - width)), max(0, min(y, tile.shape[0] - height))
     a = (feather_alpha(height, width) if alpha is None else alpha)[..., None]
     out = tile.copy()
     area = out[y : y + height, x : x + width].astype(np.float32)
@@ -86,29 +167,129 @@ def paste(tile: np.ndarray, crop: np.ndarray, x: int, y: int, height: int, width
     return out
 
 
+def box_iou(a: tuple, b: tuple) -> float:
+    """IoU of two boxes (cx, cy, w, h)."""
+    w = min(a[0] + a[2] / 2, b[0] + b[2] / 2) - max(a[0] - a[2] / 2, b[0] - b[2] / 2)
+    h = min(a[1] + a[3] / 2, b[1] + b[3] / 2) - max(a[1] - a[3] / 2, b[1] - b[3] / 2)
+    inter = max(0.0, w) * max(0.0, h)
+    union = a[2] * a[3] + b[2] * b[3] - inter
+    return inter / union if union > 0 else 0.0
+
+
+def copy_paste(recipient: np.ndarray, labels: list[tuple], crop: np.ndarray, class_id: int, place: tuple, shape: str | None = None, mask: np.ndarray | None = None, most: float = 0.3) -> tuple[np.ndarray, list[tuple]] | None:
+    """A sign pasted into a tile at ``place`` (cx, cy, w, h), and the labels (class, cx, cy, w, h) that then hold.
+
+    Labels that the paste covers by an IoU over ``most`` go. The blend is a soft box, or with
+    ``mask`` or ``shape`` a silhouette: the mask (over 127 is sign) where there is a non-empty
+    one, else that of the shape. None for an empty crop.
+    """
+    if not crop.size:
+        return None
+    height, width = recipient.shape[:2]
+    cx, cy, w, h = place
+    tw, th = max(1, round(w * width)), max(1, round(h * height))
+    x = max(0, min(width - tw, round(cx * width - tw / 2)))
+    y = max(0, min(height - th, round(cy * height - th / 2)))
+    if mask is not None and (mask > 127).any():
+        alpha = feather_mask(resample(mask, th, tw, "nearest") > 127)
+    else:
+        alpha = shape_alpha(shape, th, tw) if shape else None
+    box = ((x + tw / 2) / width, (y + th / 2) / height, tw / width, th / height)
+    kept = [tuple(label) for label in labels if box_iou(label[1:5], box) <= most]
+    return paste(recipient, crop, x, y, th, tw, alpha), [*kept, (class_id, *box)]
+
+
 def grey(image: np.ndarray) -> np.ndarray:
     return image.astype(np.float32) @ np.array([0.299, 0.587, 0.114], np.float32) if image.ndim == 3 else image.astype(np.float32)
 
 
 def lapvar(image: np.ndarray) -> float:
-    """Variance of the Laplacian, a measure of sharpness."""
-    g = np.pad(grey(image), 1, mode="edge")
+    """Variance of the Laplacian of the grey image, a measure of sharpness; borders are mirrored."""
+    g = np.round(grey(image))
+    g = np.pad(g, [(1, 1) if n > 1 else (0, 0) for n in g.shape], mode="reflect")
+    g = np.pad(g, [(1, 1) if n == 1 else (0, 0) for n in g.shape], mode="edge")
     return float((g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]).var())
 
 
-def degrade(image: np.ndarray, side: int) -> np.ndarray:
-    """Down to ``side`` pixels and back, which takes detail that a camera would not have seen."""
-    h, w = image.shape[:2]
-    k = side / max(h, w)
-    return image if k >= 1 else resize(resize(image, max(1, round(h * k)), max(1, round(w * k))), h, w)
+def gaussian_blur(image: np.ndarray, sigma: float) -> np.ndarray:
+    if sigma <= 0:
+        return image
+    reach = max(1, round(4 * sigma))
+    taps = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    taps /= taps.sum()
+    out = image.astype(np.float64)
+    for axis in (0, 1):
+        n = out.shape[axis]
+        at = np.abs(np.arange(-reach, n + reach))  # mirrored
+        at = np.where(at >= n, 2 * (n - 1) - at, at).clip(0, n - 1)
+        p = np.take(out, at, axis)
+        out = sum(t * np.take(p, np.arange(i, i + n), axis) for i, t in enumerate(taps))
+    return np.clip(np.round(out), 0, 255).astype(np.uint8)
+
+
+#: The quantisation tables of the JPEG standard, annex K, for luminance and chrominance.
+LUMINANCE = """16 11 10 16 24 40 51 61 12 12 14 19 26 58 60 55 14 13 16 24 40 57 69 56 14 17 22 29 51 87 80 62
+18 22 37 56 68 109 103 77 24 35 55 64 81 104 113 92 49 64 78 87 103 121 120 101 72 92 95 98 112 100 103 99"""
+CHROMINANCE = """17 18 24 47 99 99 99 99 18 21 26 66 99 99 99 99 24 26 56 99 99 99 99 99 47 66 99 99 99 99 99 99
+99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99 99"""
+
+
+def _cosines(n: int) -> np.ndarray:
+    """The orthonormal cosine transform of n places."""
+    k = np.arange(n)
+    out = np.sqrt(2 / n) * np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
+    out[0] /= np.sqrt(2)
+    return out
+
+
+def jpeg_loss(image: np.ndarray, quality: int) -> np.ndarray:
+    """What a JPEG of this quality leaves of an image: half colour resolution, quantised 8 x 8 cosine blocks."""
+    quality = min(100, max(1, int(quality)))
+    scale = 5000 // quality if quality < 50 else 200 - 2 * quality
+    height, width = image.shape[:2]
+    r, g, b = (image[..., i].astype(np.float64) for i in range(3))
+    planes = [0.299 * r + 0.587 * g + 0.114 * b, 128 - 0.168736 * r - 0.331264 * g + 0.5 * b, 128 + 0.5 * r - 0.418688 * g - 0.081312 * b]
+    basis, out = _cosines(8), []
+    for i, (plane, table) in enumerate(zip(planes, (LUMINANCE, CHROMINANCE, CHROMINANCE))):
+        q = np.clip((np.array(table.split(), int).reshape(8, 8) * scale + 50) // 100, 1, 255)
+        if i:
+            plane = resample(np.pad(plane, ((0, height % 2), (0, width % 2)), mode="edge"), -(-height // 2), -(-width // 2), "area")
+        h, w = plane.shape
+        p = np.pad(plane, ((0, -h % 8), (0, -w % 8)), mode="edge") - 128
+        blocks = p.reshape(p.shape[0] // 8, 8, p.shape[1] // 8, 8).transpose(0, 2, 1, 3)
+        kept = np.round(basis @ blocks @ basis.T / q) * q
+        plane = ((basis.T @ kept @ basis).transpose(0, 2, 1, 3).reshape(p.shape) + 128)[:h, :w]
+        out.append(plane if not i else np.repeat(np.repeat(plane, 2, 0), 2, 1)[:height, :width])
+    y, cb, cr = out[0], out[1] - 128, out[2] - 128
+    rgb = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], -1)
+    return np.clip(np.round(rgb), 0, 255).astype(np.uint8)
+
+
+def degrade(image: np.ndarray, side: int, rng: np.random.Generator, blur: tuple = (0.35, 0.85), noise: tuple = (1.5, 4.0), quality: tuple = (45, 80)) -> np.ndarray:
+    """A clean sign as a camera would have seen it at ``side`` pixels (four at least): shrunk by
+    area, blurred, with noise, through a JPEG; draws come in this order."""
+    side = max(4, int(side))
+    small = gaussian_blur(resample(image, side, side, "area"), rng.uniform(*blur))
+    deviation = rng.uniform(*noise)
+    if deviation > 0:
+        small = np.clip(small + rng.normal(0, deviation, small.shape), 0, 255).astype(np.uint8)
+    return jpeg_loss(small, int(rng.uniform(*quality)))
+
+
+def draw_real_box(pool: list[tuple], rng: np.random.Generator) -> tuple:
+    """The box of a drawn instance (tile, box) of a class; raises where the class has none."""
+    if not pool:
+        raise ValueError("a class without real instances")
+    return tuple(pool[int(rng.integers(len(pool)))][1])
 
 
 def largest_component(mask: np.ndarray) -> np.ndarray:
-    """The largest 4-connected region."""
+    """The largest region; corners connect."""
     labels = np.where(mask > 0, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
     while True:
         p = np.pad(labels, 1)
-        top = np.where(labels > 0, np.max([p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:], labels], axis=0), 0)
+        h, w = labels.shape
+        top = np.where(labels > 0, np.max([p[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0), 0)
         if (top == labels).all():
             break
         labels = top
@@ -134,35 +315,56 @@ def fill_holes(mask: np.ndarray) -> np.ndarray:
         outside = grown
 
 
+def hull_area(mask: np.ndarray) -> int:
+    """Pixels whose centre lies in the convex hull of the mask's pixels, taken as the middles of their sides."""
+    y, x = np.nonzero(mask)
+    points: set[tuple[float, float]] = set()
+    for row in np.unique(y).tolist():
+        own = x[y == row]
+        for column, beyond in ((int(own.min()), -0.5), (int(own.max()), 0.5)):
+            points |= {(column + beyond, row), (column, row - 0.5), (column, row + 0.5)}
+    ordered = sorted(points)
+
+    def chain(ps: list) -> list:
+        out: list = []
+        for p in ps:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    corners = chain(ordered) + chain(ordered[::-1])
+    gy, gx = np.mgrid[0 : mask.shape[0], 0 : mask.shape[1]]
+    inside = np.ones(mask.shape, bool)
+    for (ax, ay), (bx, by) in zip(corners, corners[1:] + corners[:1]):
+        inside &= (bx - ax) * (gy - ay) - (by - ay) * (gx - ax) >= -1e-9
+    return int(inside.sum())
+
+
 def filter_mask(mask: np.ndarray, least_area: float = 0.20, least_solidity: float = 0.80) -> dict:
     """Largest region with its holes filled, and whether it is large and solid enough.
 
-    Solidity is the area over that of the smallest box around it that fits in eight directions.
+    Solidity is the region's area over that of its convex hull.
     """
     whole = fill_holes(largest_component(mask))
-    area = float(whole.mean())
     if not whole.any():
-        return {"mask": whole, "area_ratio": 0.0, "solidity": 0.0, "status": "reject", "reason": "empty"}
-    y, x = np.nonzero(whole)
-    gy, gx = np.mgrid[0 : whole.shape[0], 0 : whole.shape[1]]
-    hull = np.ones(whole.shape, bool)
-    for a, b in ((1, 0), (0, 1), (1, 1), (1, -1)):
-        s, g = a * x + b * y, a * gx + b * gy
-        hull &= (g >= s.min()) & (g <= s.max())
-    solidity = float(whole.sum() / hull.sum())
-    reason = "small" if area < least_area else "ragged" if solidity < least_solidity else ""
-    return {"mask": whole, "area_ratio": area, "solidity": solidity, "status": "reject" if reason else "ok", "reason": reason}
+        return {"mask": whole, "area_ratio": 0.0, "solidity": 0.0, "status": "rejected", "reason": "empty"}
+    area, solidity = float(whole.mean()), float(whole.sum() / hull_area(whole))
+    reason = ""
+    if area < least_area:
+        reason = f"area_small({area:.3f}<{least_area})"
+    elif solidity < least_solidity:
+        reason = f"low_solidity({solidity:.3f}<{least_solidity})"
+    return {"mask": whole, "area_ratio": round(area, 4), "solidity": round(solidity, 3), "status": "rejected" if reason else "ok", "reason": reason}
 
 
 def phash(image: np.ndarray) -> int:
-    """64 bits of the low frequencies of a 32 x 32 grey version against their median, as a signed integer."""
-    n = 32
-    g = resize(grey(image)[..., None].astype(np.float32), n, n)[..., 0].astype(np.float64)
-    k = np.arange(n)
-    basis = np.cos(np.pi * (2 * k[None, :] + 1) * k[:, None] / (2 * n))
-    low = (basis @ g @ basis.T)[:8, :8].ravel()
-    bits = low > np.median(low)
-    value = int.from_bytes(np.packbits(bits).tobytes(), "big")
+    """64 bits of the low frequencies of a grey version, 256 then 32 pixels a side, against their median, as a signed integer."""
+    square = resample(image, 256, 256, "lanczos")
+    g = (square.astype(np.int64) @ np.array([19595, 38470, 7471]) + (1 << 15) >> 16).astype(np.uint8) if image.ndim == 3 else square
+    basis = _cosines(32)
+    low = np.round((basis @ resample(g, 32, 32, "lanczos").astype(np.float64) @ basis.T)[:8, :8].ravel(), 6)
+    value = int.from_bytes(np.packbits(low > np.median(low)).tobytes(), "big")
     return value - (1 << 64) if value >> 63 else value
 
 
@@ -211,18 +413,49 @@ def image_hash(content: Column, height: Column, width: Column) -> Column:
     return run(content, height, width)
 
 
-#: Generators of synthetic tiles by arm: (tile, labels, rng) -> tile.
+def preview(image: np.ndarray, boxes: list[tuple[int, int, int, int]], colour: tuple = (255, 0, 0)) -> np.ndarray:
+    """The image with the outline of each box, for quality sheets."""
+    out = image.copy()
+    for x1, y1, x2, y2 in boxes:
+        out[[y1, max(y1, y2 - 1)], x1:x2] = colour
+        out[y1:y2, [x1, max(x1, x2 - 1)]] = colour
+    return out
+
+
+def ssim(a: np.ndarray, b: np.ndarray, side: int = 8) -> float:
+    """Mean structural similarity of two grey images over blocks of ``side`` pixels."""
+    x, y = grey(a).astype(np.float64), grey(b).astype(np.float64)
+    h, w = x.shape[0] // side * side, x.shape[1] // side * side
+
+    def blocks(p: np.ndarray) -> np.ndarray:
+        return p[:h, :w].reshape(h // side, side, w // side, side).transpose(0, 2, 1, 3).reshape(-1, side * side)
+
+    p, q = blocks(x), blocks(y)
+    mp, mq = p.mean(1), q.mean(1)
+    both = ((p - mp[:, None]) * (q - mq[:, None])).mean(1)
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    return float(((2 * mp * mq + c1) * (2 * both + c2) / ((mp**2 + mq**2 + c1) * (p.var(1) + q.var(1) + c2))).mean())
+
+
+#: Arms that remake a tile in place: (tile, boxes, rng) -> tile.
 ARMS: dict[str, Callable] = {
     "real_duplicate": lambda tile, boxes, rng: tile,
     "bg_photometric": perturb_background,
+    "bg_photometric_mask": perturb_outside_signs,
     "photometric_full": lambda tile, boxes, rng: perturb_background(tile, [], rng),
 }
+#: Arms that paste a sign into another tile: whether by its silhouette.
+PASTES = {"copy_paste": False, "copy_paste_mask": True}
 
 
-def generate(tiles: DataFrame, arm: str, seed: int = 42) -> DataFrame:
-    """tile, height, width, content with the content remade by an arm; one random stream per tile name."""
+def _stream(seed: int, name: str) -> np.random.Generator:
     import zlib
 
+    return np.random.default_rng([seed, zlib.crc32(name.encode())])
+
+
+def generate(tiles: DataFrame, arm: str, seed: int = 42) -> DataFrame:
+    """tile, height, width, content with the content remade by an arm; one random stream per tile name."""
     kernel = ARMS[arm]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,12 +463,68 @@ def generate(tiles: DataFrame, arm: str, seed: int = 42) -> DataFrame:
             made = []
             for r in part.itertuples():
                 image = np.frombuffer(r.content, np.uint8).reshape(r.height, r.width, 3)
-                made.append(kernel(image, [tuple(b) for b in r.boxes], np.random.default_rng([seed, zlib.crc32(r.tile.encode())])).tobytes())
+                made.append(kernel(image, [tuple(b) for b in r.boxes], _stream(seed, r.tile)).tobytes())
             yield part.assign(content=made)[["tile", "height", "width", "content"]]
 
     return tiles.select("tile", "height", "width", "content", "boxes").mapInPandas(run, "tile string, height int, width int, content binary")
 
 
+LABEL = "struct<class_id:bigint,cx:double,cy:double,w:double,h:double>"
+
+
+def generate_pastes(pairs: DataFrame, arm: str) -> DataFrame:
+    """ord, height, width, content, labels of tiles that a sign was pasted into.
+
+    ``pairs``: ord, class_id, shape, place (cx, cy, w, h), the recipient's height, width,
+    content and labels, the source's s_height, s_width, s_content, its box s_box in pixels, and
+    mask (binary of the box's size, or null). Rows whose source box is empty give nothing.
+    """
+    silhouette = PASTES[arm]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                x1, y1, x2, y2 = r.s_box
+                crop = np.frombuffer(r.s_content, np.uint8).reshape(r.s_height, r.s_width, 3)[y1:y2, x1:x2]
+                mask = np.frombuffer(r.mask, np.uint8).reshape(y2 - y1, x2 - x1) if silhouette and r.mask is not None else None
+                labels = [tuple(x[k] for k in ("class_id", "cx", "cy", "w", "h")) for x in r.labels]
+                made = copy_paste(np.frombuffer(r.content, np.uint8).reshape(r.height, r.width, 3), labels, crop, r.class_id, tuple(r.place), r.shape if silhouette else None, mask)
+                if made:
+                    rows.append((r.ord, r.height, r.width, made[0].tobytes(), [dict(zip(("class_id", "cx", "cy", "w", "h"), x)) for x in made[1]]))
+            yield pd.DataFrame(rows, columns=["ord", "height", "width", "content", "labels"])
+
+    wanted = pairs.select("ord", "class_id", "shape", "place", "height", "width", "content", "labels", "s_height", "s_width", "s_content", "s_box", "mask")
+    return wanted.mapInPandas(run, f"ord long, height int, width int, content binary, labels array<{LABEL}>")
+
+
+def cut_tiles(panoramas: DataFrame, tiles: DataFrame) -> DataFrame:
+    """tile, pid, x_off, y_off, size, content: each listed tile cut from its panorama, ignored boxes painted out.
+
+    ``panoramas``: pid, height, width (as recorded), content (raw RGB). ``tiles``: pid, x_off,
+    y_off, size, ignores (array of x1, y1, x2, y2 in tile pixels; may be null). Raises where an
+    image does not have the recorded size, for boxes would be scaled wrongly.
+    """
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            rows = []
+            for r in part.itertuples():
+                if len(r.content) != r.height * r.width * 3:
+                    raise ValueError(f"panorama {r.pid} is not of the recorded size {r.width} x {r.height}")
+                whole = np.frombuffer(r.content, np.uint8).reshape(r.height, r.width, 3)
+                for t in r.cuts:
+                    crop = whole[t["y_off"] : t["y_off"] + t["size"], t["x_off"] : t["x_off"] + t["size"]]
+                    for box in t["ignores"] if t["ignores"] is not None else ():
+                        crop = paint_out(crop, tuple(box[k] for k in ("x1", "y1", "x2", "y2")))
+                    rows.append((f"{r.pid}_{t['x_off']}_{t['y_off']}", r.pid, t["x_off"], t["y_off"], t["size"], crop.tobytes()))
+            yield pd.DataFrame(rows, columns=["tile", "pid", "x_off", "y_off", "size", "content"])
+
+    cuts = tiles.groupBy("pid").agg(F.collect_list(F.struct("x_off", "y_off", "size", "ignores")).alias("cuts"))
+    wanted = panoramas.join(cuts, "pid").select("pid", "height", "width", "content", "cuts")
+    return wanted.mapInPandas(run, "tile string, pid long, x_off int, y_off int, size int, content binary")
+
+
 def predict_by_panorama(tiles: DataFrame, load: Callable[[], Callable[[list[bytes]], list[list[tuple]]]]) -> DataFrame:
     """pid, x_off, y_off, cat, ord, conf, cx, cy, w, h from a model that is loaded once a task."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panolith.functions import geometry as G
@@ -12,11 +12,36 @@ from panolith.operators.metrics import match
 HIT, NEAR = 0.5, 0.3
 
 
-def _with_dets(gts: DataFrame, dets: DataFrame) -> DataFrame:
-    """Objects with all detections of their panorama as one array."""
-    per = dets.groupBy("pid").agg(F.collect_list(F.struct("cat", "ord", *BOX)).alias("d"))
-    none = F.array().cast(per.schema["d"].dataType)
-    return gts.join(per, "pid", "left").withColumn("d", F.coalesce("d", none))
+CELLS = 16  # of the grid along a panorama's side; boxes meet in the cells they share
+
+
+def _in_cells(boxes: DataFrame) -> DataFrame:
+    """Each box once for every cell of the grid that it touches, with its corners."""
+    def cell(edge) -> Column:
+        return F.least(F.greatest(F.floor(edge * CELLS), F.lit(0)), F.lit(CELLS - 1))
+
+    cornered = boxes.withColumns({"x1": F.col("cx") - F.col("w") / 2, "x2": F.col("cx") + F.col("w") / 2, "y1": F.col("cy") - F.col("h") / 2, "y2": F.col("cy") + F.col("h") / 2})
+    wide = cornered.withColumn("i", F.explode(F.sequence(cell(F.col("x1")), cell(F.col("x2")))))
+    return wide.withColumn("j", F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))))
+
+
+def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b (structs of cat, ord and the box) and iou: every pair of one panorama with a common area, once.
+
+    Both sides are dealt by (panorama, grid cell), so a crowded panorama is not one task's and
+    boxes far apart never meet; a pair counts in the cell of the upper left corner of what it shares.
+    """
+    own = F.struct("cat", "ord", *BOX)
+    left = _in_cells(a).select("pid", "i", "j", own.alias("a"), F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("x2").alias("ax2"), F.col("y2").alias("ay2"))
+    right = _in_cells(b).select("pid", "i", "j", own.alias("b"), F.col("x1").alias("bx"), F.col("y1").alias("by"), F.col("x2").alias("bx2"), F.col("y2").alias("by2"))
+    x, y = F.greatest("ax", "bx"), F.greatest("ay", "by")
+    apart = (x >= F.least("ax2", "bx2")) | (y >= F.least("ay2", "by2"))
+
+    def here(edge, at) -> Column:
+        return F.least(F.greatest(F.floor(edge * CELLS), F.lit(0)), F.lit(CELLS - 1)) == F.col(at)
+
+    met = left.join(right, ["pid", "i", "j"]).where(~apart & here(x, "i") & here(y, "j"))
+    return met.select("pid", "a", "b", G.iou(F.col("a"), F.col("b")).alias("iou"))
 
 
 def greedy_hits(gts: DataFrame, dets: DataFrame, threshold: float = HIT) -> DataFrame:
@@ -32,11 +57,13 @@ def classify_objects(gts: DataFrame, dets: DataFrame, threshold: float = HIT, ne
     ord). LOC: some detection of the class overlaps by ``near``. MISS: the rest.
     """
     hits = greedy_hits(gts, dets, threshold).select("pid", "cat", F.col("gi").alias("ord"), F.lit(True).alias("hit"))
-    box = F.struct(*BOX)
-    overlaps = F.transform("d", lambda d: F.struct((-G.iou(box, d)).alias("neg"), d["ord"].alias("ord"), d["cat"].alias("cat")))
-    seen = _with_dets(gts, dets).select("pid", "cat", "ord", F.array_min(overlaps).alias("best"), F.array_min(F.filter(overlaps, lambda o: o["cat"] == F.col("cat"))).alias("own"))
-    joined = seen.join(hits, ["pid", "cat", "ord"], "left")
-    own, best = F.coalesce(-F.col("own.neg"), F.lit(0.0)), F.coalesce(-F.col("best.neg"), F.lit(0.0))
+    pairs = overlaps(gts, dets)
+    seen = pairs.groupBy("pid", F.col("a.cat").alias("cat"), F.col("a.ord").alias("ord")).agg(
+        F.min(F.struct((-F.col("iou")).alias("neg"), F.col("b.ord").alias("ord"), F.col("b.cat").alias("cat"))).alias("best"),
+        F.max(F.when(F.col("a.cat") == F.col("b.cat"), F.col("iou"))).alias("own"),
+    )
+    joined = gts.select("pid", "cat", "ord").join(seen, ["pid", "cat", "ord"], "left").join(hits, ["pid", "cat", "ord"], "left")
+    own, best = F.coalesce("own", F.lit(0.0)), F.coalesce(-F.col("best.neg"), F.lit(0.0))
     outcome = F.when(F.col("hit") | (own >= threshold), "HIT").when((best >= threshold) & (F.col("best.cat") != F.col("cat")), "CLS").when(own >= near, "LOC").otherwise("MISS")
     return joined.select("pid", "cat", "ord", outcome.alias("outcome"), F.when(outcome == "CLS", F.col("best.cat")).alias("confused"))
 
@@ -66,11 +93,9 @@ def classify_tail_fps(gts: DataFrame, dets: DataFrame, subset: DataFrame, thresh
     tail = F.broadcast(subset.where("tier = 'tail'").select(F.col("id").cast("long").alias("cat")))
     own = dets.join(tail, "cat", "left_semi").join(gts.select("pid").distinct(), "pid", "left_semi")
     wrong = match(own, gts.join(tail, "cat", "left_semi"), threshold, last=True).where("gi IS NULL")
-    per = gts.groupBy("pid").agg(F.collect_list(F.struct("cat", "ord", *BOX)).alias("g"))
-    box = F.struct(*BOX)
-    best = F.array_min(F.transform("g", lambda g: F.struct((-G.iou(g, box)).alias("neg"), g["ord"].alias("ord"), g["cat"].alias("cat"))))
-    judged = wrong.join(per, "pid").select(best.alias("b"))
-    over = -F.col("b.neg")
+    best = overlaps(wrong, gts).groupBy("pid", F.col("a.cat").alias("cat"), F.col("a.ord").alias("ord")).agg(F.min(F.struct((-F.col("iou")).alias("neg"), F.col("b.ord").alias("ord"), F.col("b.cat").alias("cat"))).alias("b"))
+    judged = wrong.select("pid", "cat", "ord").join(best, ["pid", "cat", "ord"], "left")
+    over = F.coalesce(-F.col("b.neg"), F.lit(0.0))
     kind = F.when(over >= threshold, "on_sign").when(over < near, "on_bg").otherwise("ambiguous")
     return judged.select(kind.alias("kind"), F.when(over >= threshold, F.col("b.cat")).alias("fires_on")).groupBy("kind", "fires_on").agg(F.count("*").alias("n"))
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PANORAMAS, CLASSES, SIZE = 1000, 25, 2048
+PER_PANORAMA, CLASSES, SIZE = 15, 25, 2048  # orders of a panorama: the number of panoramas grows with the tables
 PREFIXES = ("w", "i", "p", "il", "pn")
 
 
@@ -16,6 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def panorama_of(order: str):
+    return F.floor(F.col(order) / PER_PANORAMA)
+
+
 def class_name(cat):
     return F.concat(F.element_at(F.array(*map(F.lit, PREFIXES)), (cat % 5 + 1).cast("int")), cat.cast("string"))
 
@@ -26,7 +30,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     cat = F.floor(F.sqrt((F.col("l_partkey") * 7919 + F.col("l_suppkey") * 31) % 625))
     side = F.lit(8.0) + F.col("l_quantity") * 2
     rows = t.select(
-        (F.col("l_orderkey") % PANORAMAS).alias("pid"), cat.alias("cat"), class_name(cat).alias("name"), side.alias("side"),
+        panorama_of("l_orderkey").alias("pid"), cat.alias("cat"), class_name(cat).alias("name"), side.alias("side"),
         ((F.col("l_partkey") * 37) % 1940).cast("double").alias("x1"), ((F.col("l_orderkey") * 53 + F.col("l_linenumber") * 97) % 1940).cast("double").alias("y1"),
         ((((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100000 + F.col("l_partkey")) * 1000 + F.col("l_suppkey")) * 100 + F.col("l_quantity").cast("long")).alias("ord"),
     )
@@ -35,7 +39,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OBJECTS = """objects AS (
   SELECT pid, cat, ['w', 'i', 'p', 'il', 'pn'][cat % 5 + 1] || cat AS name, x1, y1, x1 + side AS x2, y1 + side AS y2, ord
-  FROM (SELECT l_orderkey % 1000 AS pid, CAST(floor(sqrt((l_partkey * 7919 + l_suppkey * 31) % 625)) AS BIGINT) AS cat,
+  FROM (SELECT l_orderkey // 15 AS pid, CAST(floor(sqrt((l_partkey * 7919 + l_suppkey * 31) % 625)) AS BIGINT) AS cat,
                8 + 2 * l_quantity AS side, CAST((l_partkey * 37) % 1940 AS DOUBLE) AS x1,
                CAST((l_orderkey * 53 + l_linenumber * 97) % 1940 AS DOUBLE) AS y1,
                (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS ord
@@ -43,15 +47,16 @@ OBJECTS = """objects AS (
 
 
 def panoramas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """pid, path, split_orig."""
-    split = F.when(F.col("o_orderstatus") == "P", "train").when(F.col("o_orderstatus") == "O", "test").otherwise("other")
-    return table(spark, sf_dir, "orders").where(F.col("o_orderkey") < PANORAMAS).select(F.col("o_orderkey").alias("pid"), F.concat(split, F.lit("/"), F.col("o_orderkey").cast("string"), F.lit(".jpg")).alias("path"), split.alias("split_orig"))
+    """pid, path, split_orig (by the first order of each)."""
+    orders = table(spark, sf_dir, "orders").groupBy(panorama_of("o_orderkey").alias("pid")).agg(F.min(F.struct("o_orderkey", "o_orderstatus"))["o_orderstatus"].alias("status"))
+    split = F.when(F.col("status") == "P", "train").when(F.col("status") == "O", "test").otherwise("other")
+    return orders.select("pid", F.concat(split, F.lit("/"), F.col("pid").cast("string"), F.lit(".jpg")).alias("path"), split.alias("split_orig"))
 
 
 PANOS = """panoramas AS (
-  SELECT o_orderkey AS pid, split_orig || '/' || o_orderkey || '.jpg' AS path, split_orig
-  FROM (SELECT o_orderkey, CASE o_orderstatus WHEN 'P' THEN 'train' WHEN 'O' THEN 'test' ELSE 'other' END AS split_orig
-        FROM orders WHERE o_orderkey < 1000))"""
+  SELECT pid, split_orig || '/' || pid || '.jpg' AS path, split_orig
+  FROM (SELECT o_orderkey // 15 AS pid, CASE arg_min(o_orderstatus, o_orderkey) WHEN 'P' THEN 'train' WHEN 'O' THEN 'test' ELSE 'other' END AS split_orig
+        FROM orders GROUP BY o_orderkey // 15))"""
 
 
 def normalised(objects_: DataFrame) -> DataFrame:

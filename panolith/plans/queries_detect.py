@@ -19,15 +19,6 @@ def _iou(a: str, b: str) -> str:
     return f"({_i(a, b)} / ({a}.w * {a}.h + {b}.w * {b}.h - {_i(a, b)}))"
 
 
-def _small(df):
-    return df.where("pid < 300")
-
-
-SMALL = "g AS (SELECT * FROM gts WHERE pid < 300), e AS (SELECT * FROM dets WHERE pid < 300)"
-#: Greedy matching in rounds: among free pairs, the detection first in order takes its best object.
-MATCH = """cand AS (SELECT e.pid, e.cat, e.ord AS dord, e.conf, g.ord AS gi, {iou} AS iou FROM e JOIN g ON e.pid = g.pid AND e.cat = g.cat AND {iou} >= 0.5)"""
-
-
 def ignores(spark, d):
     o = D.objects(spark, d).where("ord % 11 = 0")
     return o.select("pid", (F.col("x1") / 2048).alias("x1"), (F.col("y1") / 2048).alias("y1"), (F.col("x2") / 2048).alias("x2"), (F.col("y2") / 2048).alias("y2"))

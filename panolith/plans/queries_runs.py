@@ -154,12 +154,12 @@ def cluster_extremes(spark, d):
     return e.withColumn("distance", F.round("distance", 5))
 
 
-LABELLED = "labels_t AS (SELECT 't' || (l_orderkey % 997) AS tile, l_partkey % 9 AS class_id, (l_partkey % 100) / 100.0::DOUBLE AS cx, (l_suppkey % 100) / 100.0::DOUBLE AS cy, 0.1::DOUBLE AS w, 0.1::DOUBLE AS h FROM lineitem WHERE l_orderkey < 400 AND l_linenumber = 1)"
+LABELLED = "labels_t AS (SELECT 't' || l_orderkey || '_' || l_linenumber AS tile, l_partkey % 9 AS class_id, (l_partkey % 100) / 100.0::DOUBLE AS cx, (l_suppkey % 100) / 100.0::DOUBLE AS cy, 0.1::DOUBLE AS w, 0.1::DOUBLE AS h FROM lineitem)"
 
 
 def tile_labels_of(spark, d):
-    t = D.table(spark, d, "lineitem").where("l_orderkey < 400 AND l_linenumber = 1")
-    return t.select(F.concat(F.lit("t"), (F.col("l_orderkey") % 997).cast("string")).alias("tile"), (F.col("l_partkey") % 9).alias("class_id"), ((F.col("l_partkey") % 100) / 100.0).alias("cx"), ((F.col("l_suppkey") % 100) / 100.0).alias("cy"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
+    t = D.table(spark, d, "lineitem")
+    return t.select(F.format_string("t%d_%d", "l_orderkey", "l_linenumber").alias("tile"), (F.col("l_partkey") % 9).alias("class_id"), ((F.col("l_partkey") % 100) / 100.0).alias("cx"), ((F.col("l_suppkey") % 100) / 100.0).alias("cy"), F.lit(0.1).alias("w"), F.lit(0.1).alias("h"))
 
 
 _DRAW = "('0x' || sha1({})[1:12])::BIGINT % 1000000000"
