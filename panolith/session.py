@@ -26,18 +26,30 @@ def local_session(app: str = "panolith", cpus: str | int = "*", partitions: int
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where it is unset, a temporary one on a
+    local master, and an error on a cluster, whose executors would each write to their own disk."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), f"panolith-{uuid.uuid4().hex}")
         spark.sparkContext.setCheckpointDir(found)
         found = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand rows to Python workers in batches of at most ``rows``: with whole texts in the rows, a
+    batch of the default ten thousand takes tens of megabytes on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
+
+
 def spill(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
