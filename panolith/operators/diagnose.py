@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panolith.functions import geometry as G
-from panolith.operators.detect import BOX
+from panolith.operators.detect import BOX, at_confidence
 from panolith.operators.metrics import match
 
 HIT, NEAR = 0.5, 0.3
@@ -104,3 +104,25 @@ def rates(outcomes: DataFrame, by: list[str], floor: float = 0.0) -> DataFrame:
     """HIT, MISS, CLS and LOC in percent of all objects (at least one)."""
     total = F.greatest(F.lit(1), F.count("*"))
     return outcomes.groupBy(by).agg(*[F.round(F.count_if(F.col("outcome") == o) * 100.0 / total, 4).alias(o.lower()) for o in ("HIT", "MISS", "CLS", "LOC")])
+
+
+def seed_metrics(gts: DataFrame, dets: DataFrame, subset: DataFrame, operating: float = 0.25, **rules) -> DataFrame:
+    """HIT, MISS, CLS and LOC of tail objects in percent, for all detections and for confident ones (suffix _op)."""
+    kinds = ("HIT", "MISS", "CLS", "LOC")
+    floor = decompose(gts, dets, subset, **rules).select("pid", "cat", "ord", "outcome")
+    sure = decompose(gts, at_confidence(dets, operating), subset, **rules).select("pid", "cat", "ord", F.col("outcome").alias("outcome_op"))
+    total = F.greatest(F.lit(1), F.count("*"))
+    share = [F.round(F.count_if(F.col(c) == k) * 100.0 / total, 4).alias(k.lower() + c.removeprefix("outcome")) for c in ("outcome", "outcome_op") for k in kinds]
+    return floor.join(sure, ["pid", "cat", "ord"]).agg(F.count("*").alias("n"), *share)
+
+
+def fires_on_most(kinds: DataFrame, most: int = 8) -> DataFrame:
+    """fires_on, n: the classes under false positives, summed over seeds, the commonest first."""
+    return kinds.where(F.col("fires_on").isNotNull()).groupBy("fires_on").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "fires_on").limit(most)
+
+
+def covers(dets: DataFrame, splits: DataFrame, split: str) -> DataFrame:
+    """One row: detected panoramas, those of the split, and both; warn where both is 0."""
+    d = dets.select("pid").distinct().withColumn("d", F.lit(1))
+    s = splits.where(F.col("split") == split).select(F.col("id").alias("pid")).distinct().withColumn("s", F.lit(1))
+    return d.join(s, "pid", "full").agg(F.count("d").alias("detected"), F.count("s").alias("in_split"), F.count_if(F.col("d").isNotNull() & F.col("s").isNotNull()).alias("both"))

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panolith.functions import geometry as G
+from panolith.session import spill
 
 
 def draw(seed: int, *key: Column | str) -> Column:
@@ -26,9 +27,25 @@ def index_instances(labels: DataFrame, single_only: bool = True) -> DataFrame:
     return counted.where("n = 1").select("class_id", "tile", "cx", "cy", "w", "h")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Adds the place of each row (from 0) in the order of ``order``.
+
+    Sorted by ranges, each range counted, and the counts summed up: no task holds all rows.
+    """
+    at, k = "__range", "__k"
+    ranged, _ = spill(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({at: F.spark_partition_id(), k: F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))}), "numbered")
+    counts = ranged.groupBy(at).agg(F.count("*").alias("n"))
+    before = counts.select(at, (F.sum("n").over(W.orderBy(at)) - F.col("n")).alias("before"))  # a row for each range
+    return ranged.join(F.broadcast(before), at).withColumn(name, F.col("before") + F.col(k)).drop(at, k, "before")
+
+
 def _pool(index: DataFrame, by: list[str]) -> DataFrame:
-    order = W.partitionBy(by).orderBy("tile", "cx", "cy", "w", "h") if by else W.orderBy("tile", "cx", "cy", "w", "h")
-    return index.withColumn("i", F.row_number().over(order) - 1)
+    """The instances with their place i among those of the same ``by``."""
+    placed = numbered(index, [*by, "tile", "cx", "cy", "w", "h"], "i")
+    if not by:
+        return placed
+    first = placed.groupBy(by).agg(F.min("i").alias("first"))  # a row for each class
+    return placed.join(F.broadcast(first), by).withColumn("i", F.col("i") - F.col("first")).drop("first")
 
 
 def select_sources(allocation: DataFrame, index: DataFrame, seed: int = 42) -> DataFrame:
@@ -49,7 +66,7 @@ def starved(allocation: DataFrame, index: DataFrame) -> DataFrame:
 
 def assign_placements(sources: DataFrame, recipients: DataFrame, seed: int = 42, jitter: float = 0.2, most: float = 0.9, margin: float = 0.15) -> DataFrame:
     """Adds a recipient tile and a jittered place: size by +-20 % up to 0.9, centre inside the margins."""
-    numbered = recipients.select(F.col("tile").alias("recipient"), (F.row_number().over(W.orderBy("tile")) - 1).alias("j"))
+    places = numbered(recipients.select(F.col("tile").alias("recipient")), ["recipient"], "j")
     n = recipients.count()
 
     def unit(name: str) -> Column:
@@ -58,7 +75,7 @@ def assign_placements(sources: DataFrame, recipients: DataFrame, seed: int = 42,
     scale = (unit("jitter") * 2 - 1) * jitter + 1
     w, h = F.least(F.col("w") * scale, F.lit(most)), F.least(F.col("h") * scale, F.lit(most))
     placed = sources.withColumns({"j": draw(seed, F.lit("recipient"), "class_id", "k") % n, "pw": w, "ph": h, "pcx": unit("cx") * (1 - 2 * margin) + margin, "pcy": unit("cy") * (1 - 2 * margin) + margin})
-    return placed.join(F.broadcast(numbered), "j").drop("j")
+    return placed.join(places, "j").drop("j")
 
 
 def assign_placements_realistic(sources: DataFrame, donors: DataFrame, seed: int = 42) -> DataFrame:
@@ -108,4 +125,22 @@ def stratified_split(rows: DataFrame, fraction: float, seed: int = 42, by: str =
 
 
 def every_nth(rows: DataFrame, step: int, limit: int, order: str = "ord") -> DataFrame:
-    return rows.withColumn("r", F.row_number().over(W.orderBy(order)) - 1).where(F.col("r") % step == 0).orderBy("r").limit(limit).drop("r")
+    """The first ``limit`` of the rows at places 0, step, 2 step, ... of the order."""
+    first = rows.orderBy(order).limit((limit - 1) * step + 1)  # only these can be among them
+    return numbered(first, [order], "r").where(F.col("r") % step == 0).orderBy("r").limit(limit).drop("r")
+
+
+def first_sources(sources: DataFrame, limit: int, order: str = "ord") -> DataFrame:
+    """A trial run: the first ``limit`` sources in their order."""
+    return sources.orderBy(order).limit(limit)
+
+
+def first_present(rows: DataFrame, present: DataFrame, n: int, by: str = "class_id", order: str = "ord", key: str = "tile") -> DataFrame:
+    """The first ``n`` rows of each class whose tile is there."""
+    there = rows.join(present.select(key), key, "left_semi")
+    return there.withColumn("r", F.row_number().over(W.partitionBy(by).orderBy(order))).where(F.col("r") <= n).drop("r")
+
+
+def usable_crops(crops: DataFrame, limit: int = 40, least: int = 6, order: str = "ord") -> DataFrame:
+    """Of the first ``limit`` crops those whose shorter side has ``least`` pixels; the limit comes first."""
+    return crops.orderBy(order).limit(limit).where(F.least("width", "height") >= least)

@@ -89,3 +89,24 @@ def extremes(distances: DataFrame, near: int = 9, far: int = 15) -> DataFrame:
     nearest = distances.withColumn("r", r).where(F.col("r") <= near).select(F.lit("near").alias("kind"), "cluster", "vec_id", "distance")
     farthest = distances.orderBy(F.desc("distance"), "vec_id").limit(far).select(F.lit("far").alias("kind"), "cluster", "vec_id", "distance")
     return nearest.unionByName(farthest)
+
+
+def cluster(vectors: DataFrame, k: int = 20, seed: int = 42, rounds: int = 50) -> DataFrame:
+    """vec_id, cluster, distance to its centre, by k-means over the whole table.
+
+    The k centres are the only thing that is broadcast.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    ready = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="v", predictionCol="cluster").fit(ready.select(array_to_vector("embedding").alias("v")))
+    centres = ready.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
+    placed = model.transform(ready.withColumn("v", array_to_vector("embedding"))).join(F.broadcast(centres), "cluster")
+    squares = F.aggregate(F.zip_with("embedding", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    return placed.select("vec_id", "cluster", F.sqrt(squares).alias("distance"))
+
+
+def rare_first(distances: DataFrame) -> DataFrame:
+    """cluster, n: the smallest clusters first."""
+    return distances.groupBy("cluster").agg(F.count("*").alias("n")).orderBy("n", "cluster")

@@ -108,3 +108,32 @@ def area_bucket_ap(dets: DataFrame, gts: DataFrame, size: int = G.PANORAMA) -> D
     rows = scored(dets, gts, size=size)
     truth = gts.groupBy(G.size_bucket(G.px_area("w", "h", size)).alias("bucket")).agg(F.count("*").alias("n_gt"))
     return average_precision(rows, truth, ["bucket"])
+
+
+def class_pivot(report: DataFrame, baseline: str, arms: list[str]) -> DataFrame:
+    """cat, a column of mean AP over seeds for each arm, best (of the arms but the baseline; the
+    first named wins ties, an absent AP counts as -1) and its gain over the baseline."""
+    ap = F.avg(F.when(~F.isnan("ap50"), F.col("ap50")))
+    wide = report.groupBy("cat").pivot("arm", arms).agg(ap)
+    content = [a for a in arms if a != baseline]
+    top = F.greatest(*[F.coalesce(a, F.lit(-1.0)) for a in content]) if len(content) > 1 else F.coalesce(content[0], F.lit(-1.0))
+    best = F.coalesce(*[F.when(F.coalesce(a, F.lit(-1.0)) == top, F.lit(a)) for a in content])
+    return wide.withColumn("best", best).withColumn("gain", F.nullif(top, F.lit(-1.0)) - F.col(baseline))
+
+
+def tail_wins(pivot: DataFrame, tail: DataFrame) -> DataFrame:
+    """best, n, improved: in how many tail classes each arm is best, and in how many of them it gains."""
+    own = pivot.join(F.broadcast(tail.select(F.col("id").cast("long").alias("cat"))), "cat", "left_semi")
+    return own.groupBy("best").agg(F.count("*").alias("n"), F.count_if(F.col("gain") > 0).alias("improved"))
+
+
+def allocation_report(allocation: DataFrame, subset: DataFrame, counts: DataFrame) -> DataFrame:
+    """class_id, name, tier, real, synthetic, total of each class, by its real instances."""
+    joined = allocation.join(F.broadcast(subset.select(F.col("id").alias("class_id"), "name", "tier")), "class_id").join(counts, "class_id", "left")
+    real = F.coalesce("train_count", F.lit(0)).cast("long")
+    return joined.select("class_id", "name", "tier", real.alias("real"), F.col("alloc").alias("synthetic"), (real + F.col("alloc")).alias("total"))
+
+
+def mean_by(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The mean of a score (such as structural similarity) at each strength."""
+    return rows.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"))

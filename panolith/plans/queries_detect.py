@@ -54,13 +54,6 @@ def suppressed(spark, d):
     return detect.nms(D.detections(spark, d)).select("pid", "cat", "ord")
 
 
-@query()
-def reconstructed(spark, d):
-    t = D.detections(spark, d).withColumns({"x_off": F.element_at(F.array(*map(F.lit, (0, 512, 1024, 1408))), (F.col("ord") % 4 + 1).cast("int")), "y_off": F.lit(512)})
-    o = D.objects(spark, d).where("ord % 11 = 0").select("pid", (F.col("x1") % 600).alias("x1"), (F.col("y1") % 600).alias("y1"), (F.col("x1") % 600 + 30).alias("x2"), (F.col("y1") % 600 + 30).alias("y2"), F.lit(512).alias("x_off"), F.lit(512).alias("y_off"))
-    return detect.reconstruct(t, o).select("pid", "cat", "ord", "conf")
-
-
 #: One detection after another within a group, carrying the objects taken so far.
 FOLD = f"""q AS (SELECT *, row_number() OVER (PARTITION BY pid, cat ORDER BY conf DESC, ord) AS r FROM e),
   gg AS (SELECT pid, cat, list(struct_pack(ord := ord, cx := cx, cy := cy, w := w, h := h) ORDER BY ord) AS g FROM g GROUP BY pid, cat),

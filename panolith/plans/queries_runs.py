@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panolith.operators import allocation, manifests, metrics, runs, stats
 from panolith.plans import derive as D
-from panolith.plans.queries_detect import tiers
+from panolith.plans.queries_detect import _B, ALL, AP, FIRST, OD, TIERS, tiers
 from panolith.plans.register import query
 
 EVENTS = """e AS (SELECT CAST(user_id % 7 AS INTEGER) AS seed, event_type AS arm, value FROM events),
@@ -191,11 +191,23 @@ def realistic_placements(spark, d):
     return manifests.assign_placements_realistic(manifests.select_sources(_alloc(spark), index), index)
 
 
-@query()
+def _unit(name: str) -> str:
+    key = f"'42|{name}|' || src.class_id || '|' || k"
+    return f"({_DRAW.format(key)} / 1e9)"
+
+
+_SCALE = f"(({_unit('jitter')} * 2 - 1) * 0.2 + 1)"
+
+
+@query(f"""WITH {SOURCES}, rec AS (SELECT tile AS recipient, row_number() OVER (ORDER BY tile) - 1 AS j, count(*) OVER () AS n FROM (SELECT DISTINCT tile FROM labels_t))
+  SELECT src.class_id, k, src.tile, recipient, round(least(src.w * {_SCALE}, 0.9), 6) AS pw, round(least(src.h * {_SCALE}, 0.9), 6) AS ph,
+  round({_unit('cx')} * (1 - 2 * 0.15) + 0.15, 6) AS pcx, round({_unit('cy')} * (1 - 2 * 0.15) + 0.15, 6) AS pcy
+  FROM src JOIN rec ON j = {_DRAW.format("'42|recipient|' || src.class_id || '|' || k")} % n""")
 def jittered_placements(spark, d):
     labels = tile_labels_of(spark, d)
     sources = manifests.select_sources(_alloc(spark), manifests.index_instances(labels))
-    return manifests.assign_placements(sources, labels.select("tile").distinct())
+    placed = manifests.assign_placements(sources, labels.select("tile").distinct())
+    return placed.select("class_id", "k", "tile", "recipient", *[F.round(c, 6).alias(c) for c in ("pw", "ph", "pcx", "pcy")])
 
 
 @query(f"""WITH {SOURCES}, don AS (SELECT *, row_number() OVER (ORDER BY tile, cx, cy, w, h) - 1 AS j, count(*) OVER () AS n FROM idx),
@@ -248,13 +260,30 @@ def class_medians(spark, d):
     return D.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("class")).agg(F.round(stats.percentile("l_extendedprice", 0.5), 4).alias("mid"))
 
 
-@query()
+_BUCKETS = f"""{FIRST}, rows AS (SELECT m.pid, m.ord, m.conf, m.gi IS NOT NULL AS tp, coalesce(o.b, m.b) AS bucket FROM (SELECT *, {_B} AS b FROM matched) m LEFT JOIN (SELECT pid, cat, ord AS gi, {_B} AS b FROM g) o USING (pid, cat, gi)),
+  truth AS (SELECT {_B} AS bucket, count(*) AS n_gt FROM g GROUP BY 1),
+  curve AS (SELECT rows.bucket, sum(tp::INT) OVER w::DOUBLE / n_gt AS recall, sum(tp::INT) OVER w::DOUBLE / count(*) OVER w AS prec FROM rows JOIN truth ON truth.bucket = rows.bucket
+    WINDOW w AS (PARTITION BY rows.bucket ORDER BY conf DESC, ord, pid ROWS UNBOUNDED PRECEDING)),
+  at_t AS (SELECT bucket, i, max(prec) AS p FROM curve JOIN range(0, 101) t(i) ON recall >= i * CAST(0.01 AS DOUBLE) GROUP BY ALL),
+  ap AS (SELECT bucket, sum(p) / 101 AS ap FROM at_t GROUP BY ALL)"""
+
+
+@query(f"{OD}, {ALL}, {_BUCKETS} SELECT bucket, n_gt, round(coalesce(ap, 0.0), 6) AS ap50 FROM truth LEFT JOIN ap USING (bucket)")
 def small_objects_ap(spark, d):
     return stats.area_bucket_ap(D.detections(spark, d), D.ground_truth(spark, d)).select("bucket", "n_gt", F.round("ap50", 6).alias("ap50"))
 
 
-@query()
+def _headline(run: int) -> str:
+    chain = AP.replace("bucket, sum(tp", "keyed.bucket, sum(tp").replace("SELECT k, keyed", "SELECT keyed.k, keyed")
+    return f"""(WITH RECURSIVE {D.OBJECTS}, {D.GTS}, {D.dets_sql(run)}, {TIERS}, {chain}
+  SELECT round(avg(ap50) FILTER (WHERE r.cat IS NOT NULL AND bucket = 'all'), 6) AS ap_macro, round(avg(ap50) FILTER (WHERE bucket = 'all' AND tier = 'tail'), 6) AS ap_tail,
+  round(avg(ap50) FILTER (WHERE r.cat IS NOT NULL AND bucket = 'small'), 6) AS ap_small_macro, round(max(ap50) FILTER (WHERE r.cat IS NULL AND bucket = 'small'), 6) AS ap_small_overall, {run} AS seed
+  FROM report r LEFT JOIN subset s ON s.cat = r.cat)"""
+
+
+@query(f"SELECT * FROM {_headline(0)} UNION ALL SELECT * FROM {_headline(1)}")
 def headline_by_run(spark, d):
     t = tiers(spark, d)
-    parts = [metrics.headline(metrics.ap_by_size(D.detections(spark, d, r), D.ground_truth(spark, d), t), t).withColumn("seed", F.lit(r)) for r in (0, 1)]
-    return parts[0].unionByName(parts[1])
+    parts = [metrics.headline(metrics.ap_by_size(D.detections(spark, d, r), D.ground_truth(spark, d), t), t) for r in (0, 1)]
+    rounded = [p.select(*[F.round(c, 6).alias(c) for c in p.columns], F.lit(r).alias("seed")) for r, p in enumerate(parts)]
+    return rounded[0].unionByName(rounded[1])

@@ -42,22 +42,6 @@ def group_splits(spark, d):
     return _splits(spark, d)[0]
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS key WHERE false")
-def split_leaks(spark, d):
-    return splits.leaks(_splits(spark, d)[0])
-
-
-@query()
-def split_warnings(spark, d):
-    s, o = _splits(spark, d)
-    return splits.split_warnings(s, o, _subset(D.objects(spark, d)))
-
-
-@query()
-def donor_panoramas(spark, d):
-    return splits.donor_pool(_splits(spark, d)[0])
-
-
 @query("""WITH s AS (SELECT o_orderkey, 100 + o_orderkey % 3000 AS length FROM orders)
   SELECT o_orderkey, CASE WHEN length <= 640 THEN [0::BIGINT] ELSE list_distinct(list_concat(range(0, length - 639, 512), [length - 640])) END AS offs FROM s""".replace("list_distinct(list_concat(range(0, length - 639, 512), [length - 640]))", "list_sort(list_distinct(list_concat(range(0, length - 639, 512), [length - 640])))"))
 def tile_offsets(spark, d):

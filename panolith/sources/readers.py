@@ -36,23 +36,54 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def _tile(suffix: str):
+    """The tile of a file: its folder ``tile=<name>``, else its name without the suffix."""
+    folder = F.regexp_extract("_metadata.file_path", r"/tile=([^/]+)/[^/]*$", 1)
+    return F.when(folder != "", folder).otherwise(F.regexp_extract("_metadata.file_name", rf"^(.*){suffix}$", 1))
+
+
 def yolo_labels(spark: SparkSession, path: str) -> DataFrame:
     """tile, class_id, cx, cy, w, h of a folder of label files; lines of fewer than five fields are skipped."""
-    lines = spark.read.text(path, pathGlobFilter="*.txt").select(F.regexp_extract("_metadata.file_name", r"^(.*)\.txt$", 1).alias("tile"), F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 5)
+    raw = spark.read.text(path, pathGlobFilter="*.txt", recursiveFileLookup=True)
+    lines = raw.select(_tile(r"\.txt").alias("tile"), F.split(F.trim("value"), r"\s+").alias("f")).where(F.size("f") >= 5)
     return lines.select("tile", F.col("f")[0].cast("int").alias("class_id"), *[F.col("f")[i + 1].cast("double").alias(n) for i, n in enumerate(("cx", "cy", "w", "h"))])
 
 
 def ignore_boxes(spark: SparkSession, path: str, tiles: DataFrame) -> DataFrame:
     """Every tile with its ignore boxes; a tile without a sidecar file has none."""
-    raw = spark.read.text(path, wholetext=True, pathGlobFilter="*.ignore.json")
-    read = raw.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.ignore\.json$", 1).alias("tile"), F.from_json("value", "array<array<double>>").alias("ignores"))
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True).where(F.col("_metadata.file_name").endswith(".ignore.json") | F.col("_metadata.file_path").contains("/tile="))
+    read = raw.select(_tile(r"\.ignore\.json").alias("tile"), F.from_json("value", "array<array<double>>").alias("ignores"))
     return tiles.join(read, "tile", "left").withColumn("ignores", F.coalesce("ignores", F.array().cast("array<array<double>>")))
 
 
+def tiles(spark: SparkSession, images_path: str, labels_path: str, ignores_path: str) -> DataFrame:
+    """tile, content, labels, ignores: images with what their sidecar files say; none is an empty array."""
+    found = spark.read.parquet(images_path)
+    per = yolo_labels(spark, labels_path).groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("class_id", "cx", "cy", "w", "h"))).alias("labels"))
+    with_labels = found.join(per, "tile", "left").withColumn("labels", F.coalesce("labels", F.array().cast(per.schema["labels"].dataType)))
+    return ignore_boxes(spark, ignores_path, with_labels)
+
+
+def count_images(spark: SparkSession, path: str) -> int:
+    """Files that end in .jpg; only the listing is read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jpg").load(path).select("path").count()
+
+
+def with_masks(tiles: DataFrame, masks: DataFrame) -> DataFrame:
+    """Adds mask, the valid silhouette kept for a tile (null where there is none)."""
+    return tiles.join(masks.where("status = 'ok'").select("tile", "mask"), "tile", "left")
+
+
 def images(spark: SparkSession, path: str, sample: int | None = None, seed: int = 42) -> DataFrame:
-    """path and content of images; a sample is drawn by hash of the path, the same in every run."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$")).select("path", "content")
-    return files if sample is None else files.orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(sample)
+    """path and content of images; a sample is drawn by hash of the path, the same in every run.
+
+    Paths are drawn first, and only the drawn files are opened.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(jpg|jpeg|png)$"))
+    if sample is None:
+        return files.select("path", "content")
+    drawn = files.select("path").orderBy(F.xxhash64(F.lit(seed), "path"), "path").limit(sample)
+    return spark.read.format("binaryFile").load([r.path for r in drawn.collect()]).select("path", "content") if sample <= 10_000 else files.join(drawn, "path", "left_semi").select("path", "content")
 
 
 def training_curve(spark: SparkSession, path: str, aliases: dict[str, tuple[str, ...]]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panolith.session import forget, spill
+
 
 def write_once(df: DataFrame, path: str, force: bool = False) -> None:
     """Leaves a result that is there unless forced."""
@@ -17,7 +19,7 @@ def write_runs(df: DataFrame, path: str) -> None:
 
 
 def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
-    """Appends rows whose key is not there yet, and tells how many; safe to repeat after a failure."""
+    """Appends rows whose key is not there yet, one of each key, and tells how many; safe to repeat after a failure."""
     spark = df.sparkSession
     try:
         held = spark.read.parquet(path).select(keys)
@@ -25,14 +27,25 @@ def append_missing(df: DataFrame, path: str, keys: list[str]) -> int:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         held = None
-    new = (df if held is None else df.join(held, keys, "left_anti")).cache()
+    new, copy = spill((df if held is None else df.join(held, keys, "left_anti")).dropDuplicates(keys), "append")
     n = new.count()
     if n:
         new.write.mode("append").parquet(path)
-    new.unpersist()
+    forget(spark, copy)
     return n
 
 
+def write_tiles(tiles: DataFrame, labels: DataFrame, ignores: DataFrame, path: str) -> None:
+    """Tiles as a training set: images and an index as tables, and for each tile a folder of label
+    lines (class and box, six decimals) and, where it has any, of ignored boxes as JSON."""
+    tiles.select("tile", "content").write.mode("overwrite").parquet(f"{path}/images")
+    tiles.select("tile", F.col("pid").alias("panorama_id"), "x_off", "y_off", "size").write.mode("overwrite").parquet(f"{path}/index")
+    lines = labels.select("tile", F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", "cx", "cy", "w", "h").alias("value"))
+    lines.repartition("tile").write.mode("overwrite").partitionBy("tile").text(f"{path}/labels")
+    boxes = ignores.groupBy("tile").agg(F.to_json(F.collect_list(F.array("x1", "y1", "x2", "y2"))).alias("value"))
+    boxes.write.mode("overwrite").partitionBy("tile").text(f"{path}/ignores")
+
+
 def nan_safe_json(df: DataFrame) -> DataFrame:
     """One column of JSON; NaN and infinities become null."""
     finite = [F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]
@@ -53,8 +66,7 @@ def training_union(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def markdown(df: DataFrame, most: int = 200) -> str:
-    """A table of at most ``most`` rows for a report."""
-    rows = df.limit(most).collect()
+def markdown(df: DataFrame) -> str:
+    """A table of all rows, for reports: their rows are classes, arms or seeds."""
     line = lambda cells: "| " + " | ".join("n/a" if c is None else str(c) for c in cells) + " |"
-    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, rows)]) + "\n"
+    return "\n".join([line(df.columns), line(["---"] * len(df.columns)), *map(line, df.toLocalIterator())]) + "\n"
