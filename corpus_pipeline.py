@@ -10,26 +10,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from panolith.llm import exact_dedup, language_id, packing, simhash
-from panolith.session import spill
+from panolith.session import small_batches, spill
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no language model accepts go."""
+    small_batches(spark)
     return language_id.keep_identified(docs, language_id.Models(language_id.training_sample(docs)))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id stays."""
+    small_batches(spark)
     return exact_dedup.drop_repeats(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the row with the smallest doc_id stays."""
+    small_batches(spark)
     return simhash.drop_near_copies(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all that is left, packed into sequences of 4096."""
+    small_batches(spark)
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
