@@ -25,19 +25,22 @@ SHARD_ROWS = 4096
 
 
 class Shard:
-    """Postings of some integer vectors: ``postings[d]`` is dimension d of every row."""
+    """Postings of some integer vectors: ``postings[d]`` is dimension d of every row.
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids = ids
+    ``rows`` tells rows apart that share an id (by default the ids do).
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rows: np.ndarray | None = None):
+        self.ids, self.rows = ids, ids if rows is None else rows
         self.postings = np.ascontiguousarray(vectors.T).astype(np.float64)  # exact below 2**53
         self.high, self.low = self.postings.max(1), self.postings.min(1)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and scores of the k best rows but ``own``; ties go to the smaller id."""
+        """Ids and scores of the k best rows but row ``own``; ties go to the smaller id."""
         most = np.maximum(query * self.high, query * self.low)
         least = np.minimum(query * self.high, query * self.low)
         order = np.argsort(least - most, kind="stable")  # widest first
-        others = self.ids != own
+        others = self.rows != own
         seeds = np.flatnonzero(others)
         if len(seeds) <= k:
             return self._best(seeds, query @ self.postings[:, seeds], k)
@@ -74,16 +77,17 @@ def _vectors(column: pa.ListArray) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _search(block: tuple[np.ndarray, np.ndarray], k: int):
+def _search(block: tuple[np.ndarray, np.ndarray, np.ndarray], k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = block
+        rows, ids, queries = block
         for batch in batches:
             for at in range(0, batch.num_rows, SHARD_ROWS):
                 part = batch.slice(at, SHARD_ROWS)
-                shard = Shard(part.column(0).to_numpy(zero_copy_only=False), _vectors(part.column(1)))
-                found = [shard.top(q, own, k) for own, q in zip(ids, queries)]
-                owner = np.repeat(ids, [len(f[0]) for f in found])
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate([f[0] for f in found])), pa.array(np.concatenate([f[1] for f in found]))], names=["query_id", "vec_id", "score"])
+                shard = Shard(part.column(1).to_numpy(zero_copy_only=False), _vectors(part.column(2)), part.column(0).to_numpy(zero_copy_only=False))
+                found = [shard.top(q, own, k) for own, q in zip(rows, queries)]
+                times = [len(f[0]) for f in found]
+                columns = [np.repeat(rows, times), np.repeat(ids, times), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["row", "query_id", "vec_id", "score"])
 
     return run
 
@@ -99,21 +103,26 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, vec
     """query_id, rank, vec_id, score: the k best rows for each row whose id is divisible by ``every``.
 
     Vectors that are null or hold null or non-finite components take no part; shorter vectors
-    count as ending in zeros. Rows that share an id are rows of their own, each a candidate for
-    other ids; a query id is asked once, by its least vector. Ties go to the smaller id.
-    Queries go out in blocks of fixed size, each against all rows.
+    count as ending in zeros. Rows that share an id are rows of their own: each asks, and each
+    is a candidate for the others. Ties go to the smaller id. Queries go out in blocks of fixed
+    size, each against all rows. Raises where components are so large that a score could pass
+    2**53, beyond which sums would not be exact.
     """
     whole = integer_vectors(vectors, scale, vec_id, embedding)
-    width = max(1, whole.agg(F.max(F.size("v"))).first()[0] or 0)
-    ready, _ = spill(whole.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))), "vectors")
-    queries, _ = spill(ready.where(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    width, largest = whole.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
+    width, largest = max(1, width or 0), largest or 0
+    if width * largest * largest >= 1 << 53:
+        raise ValueError("components are too large for exact scores")
+    padded = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v")))
+    ready, _ = spill(whole.select(F.monotonically_increasing_id().alias("row"), "vec_id", padded.alias("v")), "vectors")
+    queries, _ = spill(ready.where(F.pmod("vec_id", F.lit(every)) == 0), "queries")
     n = queries.count()
     blocks = -(-n // block)
-    numbered = queries.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(max(blocks, 1))))
+    numbered = queries.withColumn("b", F.pmod(F.xxhash64("row"), F.lit(max(blocks, 1))))
     spark, found = vectors.sparkSession, []
     for b in range(blocks):
-        rows = numbered.where(F.col("b") == b).orderBy("vec_id").toPandas()  # about ``block`` rows
-        part = (rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.float64))
+        rows = numbered.where(F.col("b") == b).orderBy("row").toPandas()  # about ``block`` rows
+        part = (rows["row"].to_numpy(np.int64), rows["vec_id"].to_numpy(np.int64), np.array(rows["v"].tolist(), np.float64))
         if not len(part[0]):
             continue
         held = spark.sparkContext.broadcast(part)
@@ -124,7 +133,7 @@ def top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256, vec
     merged = found[0]
     for f in found[1:]:
         merged = merged.unionByName(f)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return merged.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -132,4 +141,4 @@ def _scan(ready: DataFrame, held, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _search(held.value, k)(batches)
 
-    return ready.mapInArrow(run, "query_id long, vec_id long, score long")
+    return ready.mapInArrow(run, "row long, query_id long, vec_id long, score long")
