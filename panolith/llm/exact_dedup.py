@@ -113,17 +113,10 @@ def repeated_filter(hashes: DataFrame, rows: int, bits_per_row: int = 16, max_bi
     return found
 
 
-def with_group_keys(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """Adds ``__sha``, ``__h`` and ``__uid`` to the rows."""
-    whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.withColumns({"__sha": F.sha2(whole, 256), "__h": F.xxhash64(whole), "__uid": F.monotonically_increasing_id()})
-
-
-def flag_possibly_repeated(keyed: DataFrame, **bounds: int) -> DataFrame:
-    """Adds ``__maybe``: false only where the text is certainly unique."""
+def _maybe_repeated(keyed: DataFrame, h: str, **bounds: int):
+    """A column function: false only where the text of hash ``h`` is certainly unique in ``keyed``."""
     spark = keyed.sparkSession
-    rows = keyed.count()
-    planes = repeated_filter(keyed.select("__h"), rows, **bounds)
+    planes = repeated_filter(keyed.select(h), keyed.count(), **bounds)
     shared = [(bits, spark.sparkContext.broadcast(plane)) for bits, plane in planes]
 
     @F.pandas_udf("boolean")
@@ -137,7 +130,12 @@ def flag_possibly_repeated(keyed: DataFrame, **bounds: int) -> DataFrame:
             out[mine] = ((plane.value[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8)) & 1).all(1)
         return pd.Series(out)
 
-    return keyed.withColumn("__maybe", maybe("__h"))
+    return maybe
+
+
+def _group(rows: DataFrame, sha: str, doc_id: str, row: str) -> DataFrame:
+    """sha, keep (struct of the id and row number that stay), n (rows) of each text."""
+    return rows.groupBy(sha).agg(F.max(F.struct(F.col(doc_id).alias("id"), F.col(row).alias("row"))).alias("keep"), F.count("*").alias("n"))
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **bounds: int) -> DataFrame:
@@ -147,23 +145,29 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **b
     ids come first; of rows that share the largest id exactly one stays). An empty table
     gives an empty result. Other columns are ignored, whatever their names.
     """
-    lean = with_group_keys(docs.select(F.col(text).alias("text"), F.col(doc_id).alias("doc_id")), "text", "doc_id").drop("text")
-    flagged, _ = spill(flag_possibly_repeated(lean, **bounds).drop("__h"), "exact")
-    straight = flagged.where(~F.col("__maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("__sha").alias("text_sha256"))
-    maybe = flagged.where("__maybe")
-    groups, _ = spill(_groups(maybe), "exact-groups")
-    settled = maybe.join(groups, "__sha").select("doc_id", F.col("__keep.doc_id").alias("keep_id"), F.col("__n").alias("group_size"), (F.col("__uid") == F.col("__keep.__uid")).alias("kept"), F.col("__sha").alias("text_sha256"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    lean = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(whole, 256).alias("sha"), F.xxhash64(whole).alias("h"))
+    maybe = _maybe_repeated(lean, "h", **bounds)
+    flagged, _ = spill(lean.select("doc_id", "sha", maybe("h").alias("maybe"), F.monotonically_increasing_id().alias("row")), "exact")
+    straight = flagged.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("sha").alias("text_sha256"))
+    again = flagged.where("maybe")
+    groups, _ = spill(_group(again, "sha", "doc_id", "row"), "exact-groups")
+    settled = again.join(groups, "sha").select("doc_id", F.col("keep.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("keep.row")).alias("kept"), F.col("sha").alias("text_sha256"))
     return straight.unionByName(settled)
 
 
-def _groups(maybe: DataFrame) -> DataFrame:
-    return maybe.groupBy("__sha").agg(F.max(F.struct("doc_id", "__uid")).alias("__keep"), F.count("*").alias("__n"))
-
-
 def drop_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **bounds: int) -> DataFrame:
-    """The documents that stay, with all their columns; only possibly repeated rows shuffle."""
+    """The documents that stay, with all their columns; only possibly repeated rows shuffle.
+
+    What may be repeated is decided by the text alone; those rows are numbered once, in a copy
+    in the shared folder. No column of ``docs`` is touched, whatever its name.
+    """
     columns = docs.columns
-    flagged = flag_possibly_repeated(with_group_keys(docs, text, doc_id), **bounds)
-    maybe = flagged.where("__maybe")
-    keep = _groups(maybe.select("__sha", F.col(doc_id).alias("doc_id"), "__uid")).select(F.col("__keep.__uid").alias("__uid"))
-    return flagged.where(~F.col("__maybe")).select(columns).unionByName(maybe.join(keep, "__uid", "left_semi").select(columns))
+    taken = {c.lower() for c in columns}
+    h, sha, row = (next(n for k in range(len(taken) + 1) if (n := name + "_" * k) not in taken) for name in ("h", "sha", "row"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    keyed = docs.withColumn(h, F.xxhash64(whole))
+    maybe = _maybe_repeated(keyed, h, **bounds)
+    again, _ = spill(keyed.where(maybe(h)).withColumns({sha: F.sha2(whole, 256), row: F.monotonically_increasing_id()}).drop(h), "repeats")
+    keep = _group(again, sha, doc_id, row).select(F.col("keep.row").alias(row))
+    return keyed.where(~maybe(h)).select(columns).unionByName(again.join(keep, row, "left_semi").select(columns))
