@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from panolith.llm.bpe import slices
 from panolith.llm.components import connected_components, star_forest
-from panolith.session import spill
+from panolith.session import forget, spill
 
 ONE = np.uint64(1)
 LANES = np.uint64(0x0101010101010101)
+MIX = np.uint64(0xBF58476D1CE4E5B9)  # odd: a second hash from the first
 HOT = 1024  # different fingerprints under one key that are compared in one bucket
 SMALL_ROWS = 1 << 16
 PAIR_WORDS = 1 << 20
@@ -247,15 +248,17 @@ def _component_of(prints: DataFrame, radius: int, hot: int) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------
-# Near copies of documents: an exact join of shingle sets.
+# Near copies of documents: SimHash links first, then what they cannot reach.
 
 COMMON = 1 << 17  # common shingles that are put last
 SAMPLE_DOCS = 20_000
-AT_ONCE = 1 << 23  # (pair, shingle) rows that are compared without thinning by stars first
+AT_ONCE = 1 << 24  # pairs of postings that are held against each other without thinning by stars first
+FAR = 38  # bits of 128: fingerprints further apart are not of texts 0.8 alike (1 in 10**5 at 0.8, fewer above)
+FEW = 64  # shingles of both texts together, below which fingerprints are too rough to rule a pair out
 
 
-def _shingle_set(text: str, words: int) -> np.ndarray:
-    return np.unique(np.frombuffer(shingle_hashes(text, words), ">u8").astype(np.uint64))
+def _shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    return [np.unique(np.frombuffer(shingle_hashes(t, words), ">u8").astype(np.uint64)) for t in texts]
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -263,15 +266,22 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for texts in slices(batch.column(1).to_pylist(), 1 << 20):
-                sets = [_shingle_set(t, words).view(np.int64) for t in texts]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(sets, pa.list_(pa.int64()))], names=["uid", "s"])
-                at += len(texts)
+            for uids, texts in _portions(batch):
+                sets = [s.view(np.int64) for s in _shingle_sets(texts, words)]
+                yield pa.RecordBatch.from_arrays([uids, pa.array(sets, pa.list_(pa.int64()))], names=["uid", "s"])
 
     return docs.select("uid", "text").mapInArrow(run, "uid long, s array<long>")
 
 
+def _portions(batch: pa.RecordBatch, chars: int = 1 << 18) -> Iterator[tuple[pa.Array, list[str]]]:
+    """The first column and the texts of the second, few at a time, so that little is held as Python strings."""
+    for lo in range(0, batch.num_rows, 256):
+        part, at = batch.slice(lo, 256), 0
+        for texts in slices(part.column(1).to_pylist(), chars):
+            yield part.column(0).slice(at, len(texts)), texts
+            at += len(texts)
+
+
 def _common(docs: DataFrame, words: int) -> np.ndarray:
     """Shingles of at least three documents of a sample, the rarer first; only the order of
     shingles hangs on it, which decides the work and not the result."""
@@ -282,7 +292,8 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
-    """uid, n (different shingles), k0, k1 (128 bits of the set), p (its first shingles).
+    """uid, n (different shingles), fp, fq (128 bits of SimHash of the set), k0, k1 (128 bits that
+    tell the set), p (its first shingles).
 
     Sets of a Jaccard similarity of ``least`` share at least ceil(least n) shingles of each, so
     in any order of all shingles they share one among the first n - ceil(least n) + 1 of both.
@@ -299,85 +310,129 @@ def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for texts in slices(batch.column(1).to_pylist(), 1 << 20):
-                sets = [_shingle_set(t, words) for t in texts]
+            for uids, texts in _portions(batch):
+                sets = _shingle_sets(texts, words)
+                fp, fq = (majority([x.astype(">u8").tobytes() for x in some]) for some in (sets, [(s ^ (s >> np.uint64(29))) * MIX for s in sets]))
                 keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
                 first = [ordered(s)[: len(s) - ceil(least * len(s) - 1e-9) + 1].view(np.int64) for s in sets]
-                columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), *columns], names=["uid", "n", "k0", "k1", "p"])
-                at += len(texts)
+                columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(fp.view(np.int64)), pa.array(fq.view(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([uids, *columns], names=["uid", "n", "fp", "fq", "k0", "k1", "p"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, n long, k0 long, k1 long, p array<long>")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, n int, fp long, fq long, k0 long, k1 long, p array<long>")
 
 
 def _possible(least: float) -> str:
     """Whether sets x and y, of which this is the first common shingle, can be so similar."""
-    return f"least(x.n - x.i, y.n - y.i) >= (x.n + y.n) * {least / (1 + least)!r}D - 1e-6D"
+    enough = f"least(x.n - x.i, y.n - y.i) >= (x.n + y.n) * {least / (1 + least)!r}D - 1e-6D"
+    return f"{enough} AND (x.n + y.n < {FEW} OR bit_count(x.fp ^ y.fp) + bit_count(x.fq ^ y.fq) <= {FAR})" if least >= 0.8 else enough
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
     """The pairs (a, b) whose shingle sets have that Jaccard similarity, as a table of its own."""
-    pairs, _ = spill(pairs.distinct(), "copy-pairs")
-    need, _ = spill(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "copy-need")
+    spark = docs.sparkSession
+    pairs, pairs_path = spill(pairs.distinct(), "copy-pairs")
+    need, need_path = spill(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "copy-need")
     few = F.broadcast(need) if need.count() <= SMALL_ROWS else need
-    sets, _ = spill(shingle_sets(docs.join(few, "uid", "left_semi"), words), "copy-sets")
+    sets, sets_path = spill(shingle_sets(docs.join(few, "uid", "left_semi"), words), "copy-sets")
     both = pairs.join(sets.select(F.col("uid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("uid").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    return spill(both.where(common * (1 + least) >= least * (F.size("x") + F.size("y")) - 1e-6).select("a", "b"), "copy-links")[0]
+    links, _ = spill(both.where(common * (1 + least) >= least * (F.size("x") + F.size("y")) - 1e-6).select("a", "b"), "copy-links")
+    forget(spark, pairs_path, need_path, sets_path)
+    return links
+
+
+def simhash_links(heads: DataFrame, docs: DataFrame, words: int, least: float, radius: int) -> DataFrame:
+    """Verified links (a, b) between ``heads`` (uid, fp) whose fingerprints are within ``radius``
+    bits: the bit-sliced comparison of :func:`near_links`, each link held against the sets."""
+    firsts, _ = spill(heads.groupBy("fp").agg(F.min("uid").alias("first")), "copy-fps")
+    near, _ = spill(near_links(firsts.select("fp"), radius), "copy-near")
+    across = near.join(firsts.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    equal = heads.join(firsts, "fp").where("uid <> first").select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    return _verified(across.unionByName(equal), docs, words, least)
+
+
+def _contract(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
+    """``shared`` with c, the component of each document by the links so far, as a table of its own."""
+    component, path = spill(connected_components(links), "copy-components")
+    out = spill(shared.drop("c").join(component.withColumnRenamed("node", "uid"), "uid", "left").withColumn("c", F.coalesce("component", "uid")).drop("component"), "copy-shared")
+    forget(shared.sparkSession, path)
+    return out
 
 
-def copy_links(postings: DataFrame, docs: DataFrame, words: int, least: float, at_once: int) -> DataFrame:
-    """Links (a, b) that connect every two documents so similar, directly or by others.
+def copy_links(heads: DataFrame, docs: DataFrame, words: int, least: float, at_once: int, links: DataFrame) -> DataFrame:
+    """Links (a, b) that with ``links`` connect every two documents so similar, directly or by others.
 
-    ``postings`` has h, uid, n, i (place of h in the order). Only pairs connected already are
-    left out: while there are more than ``at_once`` rows of pairs, each shingle's documents are
-    first held against one of them. What no star connects is compared in full.
+    ``heads`` are :func:`prefixes`, one of each set. Groups of copies are gathered by stars: each shingle's documents are held against one of them, and each document against the
+    nearest of those by fingerprint. While that links many documents, or more than ``at_once``
+    pairs (or sixty-four for each row) remain and grow fewer, there is another turn. What then is
+    not connected is compared in full.
     """
-    every = F.count("*").over(W.partitionBy("h"))
-    shared, _ = spill(postings.withColumn("m", every).where("m > 1").drop("m").withColumn("c", F.col("uid")), "copy-shared")
-    links, was, turn = None, None, 0
+    postings = heads.select("uid", F.posexplode("p").alias("i", "h"))
+    met, met_path = spill(postings.withColumn("m", F.count("*").over(W.partitionBy("h"))).where("m > 1").drop("m"), "copy-met")
+    shared, path = spill(met.join(heads.select("uid", "n", "fp", "fq"), "uid"), "copy-shared")
+    forget(docs.sparkSession, met_path)
+    size, documents = shared.agg(F.count("*"), F.approx_count_distinct("uid")).first()
+    at_once = max(at_once, 64 * size) if at_once else 0
+    was, turn = None, 0
     while True:
+        old, (shared, path) = path, _contract(shared, links)
+        forget(docs.sparkSession, old)
         per = shared.groupBy("h", "c").agg(F.count("*").cast("double").alias("m")).groupBy("h").agg((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))).alias("m"))
         rows = (per.agg(F.sum("m")).first()[0] or 0) / 2
-        stars = rows > at_once and (was is None or rows < 0.9 * was)
-        if stars:
-            head = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), "uid", "n", "i", "c")).alias("y")).select("h", "y.*").drop("o")
-            rule = "x.h = y.h AND x.c <> y.c"
-        else:
-            head, rule = shared, "x.h = y.h AND x.uid < y.uid AND x.c <> y.c"
-        pairs = shared.alias("x").join(head.alias("y"), F.expr(f"{rule} AND {_possible(least)}")).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
-        found = _verified(pairs, docs, words, least)
-        links = found if links is None else links.unionByName(found)
-        if not stars:
+        if not rows:
             return links
-        component, _ = spill(connected_components(links), "copy-components")
-        shared, _ = spill(shared.drop("c").join(component.withColumnRenamed("node", "uid"), "uid", "left").select("h", "uid", "n", "i", F.coalesce("component", "uid").alias("c")), "copy-shared")
+        if turn and not many and (rows <= at_once or rows > 0.9 * was):
+            pairs = shared.alias("x").join(shared.alias("y"), F.expr(f"x.h = y.h AND x.uid < y.uid AND x.c <> y.c AND {_possible(least)}")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
+            return links.unionByName(_verified(pairs, docs, words, least))
+        head = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), "uid", "n", "i", "fp", "fq", "c")).alias("y")).select("h", "y.*").drop("o")
+        met = shared.alias("x").join(head.alias("y"), F.expr(f"x.h = y.h AND x.c <> y.c AND {_possible(least)}"))
+        nearest = met.groupBy(F.col("x.uid").alias("uid")).agg(F.min(F.struct(F.expr("bit_count(x.fp ^ y.fp) + bit_count(x.fq ^ y.fq)").alias("d"), F.col("y.uid").alias("to")))["to"].alias("to"))
+        found = _verified(nearest.select(F.least("uid", "to").alias("a"), F.greatest("uid", "to").alias("b")), docs, words, least)
+        links = links.unionByName(found)
+        many = found.count() > documents // 100
         was, turn = rows, turn + 1
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", doc_id: str = "doc_id", small_rows: int = 1 << 20, at_once: int = AT_ONCE) -> DataFrame:
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, text: str = "text", doc_id: str = "doc_id", small_rows: int = 1 << 20, at_once: int = AT_ONCE) -> DataFrame:
     """The documents that stay, with all their columns: of each component the first by doc_id.
 
     Copies are two documents whose sets of word shingles have a Jaccard similarity of
-    ``similarity`` at least; all such pairs are found and no others. Rows without a word, or
+    ``similarity`` at least. SimHash fingerprints within ``radius`` bits are linked first, by
+    bit-sliced comparison; then documents meet by the shingles of their prefixes, unless their
+    fingerprints are too far apart; every link is held against the sets. Rows without a word, or
     with a null text, are kept: they have nothing to be a copy of. Ids may be null (last) or
-    repeat; of rows alike in all of it exactly one stays.
+    repeat; of rows alike in all of it exactly one stays. The result reads a copy of ``docs`` in
+    the shared folder, in which each row has its number.
     """
-    columns = docs.columns
-    keyed = docs.withColumn("__uid", F.monotonically_increasing_id())
-    some = keyed.where(F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(F.col("__uid").alias("uid"), F.col(text).alias("text"))
-    prints, _ = spill(prefixes(some, words, similarity, _common(some, words)), "prints")
-    nodes, _ = spill(prints.groupBy("k0", "k1").agg(F.min("uid").alias("node"), F.count("*").alias("rows")), "nodes")
+    columns, spark = docs.columns, docs.sparkSession
+    row, took = _free_name("row", columns), []
+    keyed, _ = spill(docs.withColumn(row, F.monotonically_increasing_id()), "copy-docs")
+
+    def kept(frame: DataFrame, tag: str) -> DataFrame:
+        frame, path = spill(frame, tag)
+        took.append(path)
+        return frame
+
+    some = keyed.where(F.col(text).rlike("[^\\x20\\x09-\\x0D]")).select(F.col(row).alias("uid"), F.col(text).alias("text"))
+    prints = kept(prefixes(some, words, similarity, _common(some, words)), "prints")
+    nodes = kept(prints.groupBy("k0", "k1").agg(F.min("uid").alias("node"), F.count("*").alias("rows")), "nodes")
     heads = prints.join(nodes.select(F.col("node").alias("uid")), "uid", "left_semi")
-    postings = heads.select("uid", "n", F.posexplode("p").alias("i", "h"))
-    linked, _ = spill(connected_components(copy_links(postings, some, words, similarity, at_once)), "linked")
+    near = simhash_links(heads.select("uid", "fp"), some, words, similarity, radius)
+    linked = kept(connected_components(copy_links(heads, some, words, similarity, at_once, near)), "linked")
     joined = nodes.join(linked, "node", "left").where(F.col("component").isNotNull() | (F.col("rows") > 1)).select("k0", "k1", F.coalesce("component", "node").alias("component"))
-    grouped, _ = spill(joined, "grouped")
-    owned, _ = spill(prints.join(grouped, ["k0", "k1"]).select("uid", "component"), "owned")
-    ids = keyed.select(F.col("__uid").alias("uid"), F.col(doc_id).cast("long").alias("id"))
+    grouped = kept(joined, "grouped")
+    owned = kept(prints.join(grouped, ["k0", "k1"]).select("uid", "component"), "owned")
+    ids = keyed.select(F.col(row).alias("uid"), F.col(doc_id).cast("long").alias("id"))
     ranked = owned.join(ids, "uid").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "uid")).alias("keep"))
-    first, _ = spill(ranked.select(F.col("keep.uid").alias("uid")), "kept")
-    lost, _ = spill(owned.join(first, "uid", "left_anti").select(F.col("uid").alias("__uid")), "lost")
+    first = kept(ranked.select(F.col("keep.uid").alias("uid")), "kept")
+    lost, _ = spill(owned.join(first, "uid", "left_anti").select(F.col("uid").alias(row)), "lost")
+    forget(spark, *took)
     few = F.broadcast(lost) if lost.count() <= small_rows else lost
-    return keyed.join(few, "__uid", "left_anti").select(columns)
+    return keyed.join(few, row, "left_anti").select(columns)
+
+
+def _free_name(name: str, columns: list[str]) -> str:
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
