@@ -63,8 +63,10 @@ def _state(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame, rounds: int = 60, native: bool = False) -> DataFrame:
     """node, component (the least node reachable) for every node of ``edges`` (two long columns).
 
-    ``native`` leaves out the local contraction, the only step in Python. Nodes without an edge to another node are left out. Raises if ``rounds`` do not suffice;
-    rounds grow with the logarithm of the longest path.
+    ``native`` leaves out the local contraction, the only step in Python. Nodes without an edge
+    to another node are left out. At most ``LOCAL_EDGES`` contracted edges are kept in one
+    partition, where nothing shuffles, and without ``native`` one task settles them. Raises if
+    ``rounds`` do not suffice; rounds grow with the logarithm of the longest path.
     """
     spark = edges.sparkSession
     contracted = (lambda x: x) if native else _contracted
@@ -72,24 +74,36 @@ def connected_components(edges: DataFrame, rounds: int = 60, native: bool = Fals
     first = edges.select(F.greatest(F.col(a), F.col(b)).cast("long").alias("child"), F.least(F.col(a), F.col(b)).cast("long").alias("parent")).where("child <> parent")
     now, path = spill(contracted(first).distinct(), "edges")
     state = _state(now)
+    few = state[0] <= LOCAL_EDGES  # edges never grow in number from here on
+
+    def held(frame: DataFrame, tag: str) -> tuple[DataFrame, str]:
+        frame, path = spill(frame, tag)
+        return (frame.coalesce(1) if few else frame), path
+
+    if few:
+        now = now.coalesce(1)
+        if not native and state[0]:
+            now, path = held(_contracted(now), "edges")
+            rounds = 0
     for _ in range(rounds):
         if not state[0]:
             break
         # Large star: a parent that has a parent gives way to its least one.
-        least, least_path = spill(now.groupBy("child").agg(F.min("parent").alias("least")), "least")
+        least, least_path = held(now.groupBy("child").agg(F.min("parent").alias("least")), "least")
         up = least.select(F.col("child").alias("parent"), F.col("least").alias("above"))
-        large, large_path = spill(now.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent")).distinct(), "large")
+        large, large_path = held(now.join(up, "parent", "left").select("child", F.coalesce("above", "parent").alias("parent")).distinct(), "large")
         # Small star: all parents of a child, and the child, go under its least parent.
-        least2, least2_path = spill(large.groupBy("child").agg(F.min("parent").alias("least")), "least")
+        least2, least2_path = held(large.groupBy("child").agg(F.min("parent").alias("least")), "least")
         others = large.join(least2, "child").where("parent <> least").select(F.col("parent").alias("child"), F.col("least").alias("parent"))
         small = least2.select("child", F.col("least").alias("parent")).unionByName(others)
-        after, after_path = spill(contracted(small).distinct(), "edges")
+        after, after_path = held(contracted(small).distinct(), "edges")
         forget(spark, path, least_path, large_path, least2_path)
         was, state = state, _state(after)
         now, path = after, after_path
         if state == was:
             break
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        if rounds:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("parent").alias("node")).distinct()
     return now.select(F.col("child").alias("node"), F.col("parent").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
