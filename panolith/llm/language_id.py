@@ -15,14 +15,13 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panolith.llm.bpe import slices
 
-BITS = 12  # of a character in a key
+BITS = 16  # of a character in a key: four fit into 64 bits
 EDGE, UNKNOWN, FIRST = 1, 2, 3
 SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)  # odd, so keys stay distinct
 
@@ -30,7 +29,7 @@ SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)  # odd, so keys stay distinct
 @lru_cache(1)
 def _letters() -> np.ndarray:
     """For each code point, UNKNOWN if it is a letter and EDGE if not."""
-    return np.where(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000), UNKNOWN, EDGE).astype(np.int16)
+    return np.where(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000), UNKNOWN, EDGE).astype(np.uint16)
 
 
 def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,7 +40,7 @@ def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Models:
     """Kneser-Ney models of all languages, and the rejection threshold of each."""
 
-    def __init__(self, texts: dict[str, list[str]], order: int = 4, alphabet: int = 4000, slack: float = 1.5, margin: float = 0.5):
+    def __init__(self, texts: dict[str, list[str]], order: int = 4, alphabet: int = (1 << BITS) - FIRST, slack: float = 1.5, margin: float = 0.5):
         self.langs, self.order, self.margin = sorted(texts), order, margin
         seen: Counter = Counter()
         for ts in texts.values():
@@ -178,23 +177,25 @@ class Models:
         return ["und" if e else self.langs[b] for e, b in zip(empty, best)], np.where(empty, 0.0, score), low, rejected
 
 
-def training_sample(docs: DataFrame, per_language: int = 400, most_chars: int = 20_000, languages: int = 64, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 5) -> dict[str, list[str]]:
-    """A bounded sample of labelled texts to fit on, about ``per_language`` for each language.
+def training_sample(docs: DataFrame, chars: int = 1_600_000, languages: int = 1000, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", folds: int = 5) -> dict[str, list[str]]:
+    """A bounded sample of labelled texts to fit on: about ``chars`` characters for each language.
 
-    Only documents whose crc32(doc_id as text) mod ``folds`` is not 0, with a label and a text
-    of at most ``most_chars`` characters. Drawn by hash at a rate that follows from the count
-    of each language, so no group is gathered; at most 2 x ``per_language`` x ``languages``
-    rows reach the driver, of the ``languages`` commonest labels.
+    Whole texts of documents whose crc32(doc_id as text) mod ``folds`` is not 0, with a label,
+    of any length. Drawn by hash at a rate that follows from the characters of each language, so
+    no group is gathered. Raises where there are more labels than ``languages``: those are no
+    languages.
     """
-    eligible = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).cast("long").alias("doc_id")).where((F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= most_chars))
-    counts = {r["lang"]: r["n"] for r in eligible.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
+    eligible = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).cast("long").alias("doc_id")).where((F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = {r["lang"]: r["n"] for r in eligible.groupBy("lang").agg(F.sum(F.length("text") + 1).alias("n")).orderBy("lang").limit(languages + 1).collect()}
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} labels")
     if not counts:
         return {}
-    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
+    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, chars / n)))])
     draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40))
-    drawn = eligible.withColumn("draw", draw).where(F.col("draw") < rate[F.col("lang")] * float(1 << 40)).orderBy("draw", "doc_id", "lang").limit(2 * per_language * len(counts))
+    drawn = eligible.withColumn("draw", draw).where(F.col("draw") < rate[F.col("lang")] * float(1 << 40)).orderBy("draw", "doc_id", "lang")
     out: dict[str, list[str]] = {}
-    for r in drawn.collect():
+    for r in drawn.collect():  # about ``chars`` characters for each label
         out.setdefault(r["lang"], []).append(r["text"])
     return out
 
@@ -209,11 +210,9 @@ def identify(docs: DataFrame, models: Models, text: str = "text", doc_id: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = 0
-            for texts in slices(batch.column(1).to_pylist(), 1 << 19):
+            for part, texts in _portions(batch, 1):
                 lang, score, low, rejected = shared.value.predict(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
-                at += len(texts)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang, pa.string()), pa.array(score), pa.array(low), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "cross_entropy", "rejected"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
@@ -221,9 +220,20 @@ def identify(docs: DataFrame, models: Models, text: str = "text", doc_id: str =
 def keep_identified(docs: DataFrame, models: Models, text: str = "text") -> DataFrame:
     """The documents that are not rejected, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in _portions(batch, at):
+                yield part.filter(pa.array(~shared.value.predict(texts)[3]))
+
+    return docs.mapInArrow(run, docs.schema)
 
-    @F.pandas_udf("boolean")
-    def accepted(column: pd.Series) -> pd.Series:
-        return pd.Series([ok for texts in slices(column.tolist(), 1 << 19) for ok in ~shared.value.predict(texts)[3]], dtype=bool)
 
-    return docs.where(accepted(F.col(text)))
+def _portions(batch: pa.RecordBatch, column: int, chars: int = 1 << 17) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Few rows of a batch at a time and the texts of a column, so that little is held as Python strings."""
+    for lo in range(0, batch.num_rows, 256):
+        part, at = batch.slice(lo, 256), 0
+        for texts in slices(part.column(column).to_pylist(), chars):
+            yield part.slice(at, len(texts)), texts
+            at += len(texts)
