@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterable
+from itertools import filterfalse
 
 
 def calm_collector() -> None:
@@ -28,7 +29,7 @@ class Memo:
         if len(self.young) > self.room:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        missing = set(keys).difference(young)
+        missing = set(filterfalse(young.__contains__, keys))
         if old:
             for key in old.keys() & missing if len(missing) > 64 else [k for k in missing if k in old]:
                 young[key] = old[key]

@@ -14,6 +14,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -36,75 +37,76 @@ STOPS = frozenset(".,;:!?")
 
 def _plain(word: str) -> bool:
     """Only letters that are composed, stay one letter in lower case and make one word."""
-    return word.isalpha() and max(word) < "\u0130"
+    return word.isalpha() and (word.isascii() or max(word) < "\u0130")
+
+
+def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    packed, ends = ids.tobytes(), ends.tolist()
+    return [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]
 
 
 class WordTokenizer:
     """Ids of the tokenizers library, kept for pieces between white space that come again.
 
     Pre-tokenisation drops white space and never crosses it, so a text's ids are those of its
-    white-space pieces in turn. Pieces and words not seen lately go through the library.
+    white-space pieces in turn. Pieces not seen lately go through the library, those of plain
+    shape (a word, or a word and one stop) by their word: one of ASCII letters straight to the
+    library's model, others many at a time and told apart by the ids that end words.
     """
 
-    def __init__(self, path: str, room: int = 250_000):
+    def __init__(self, path: str, room: int = 120_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.specials = bool(self.library.get_added_tokens_decoder())
         vocab = self.library.get_vocab()
         self.last = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.stops = dict(zip(STOPS, self._by_library(list(STOPS))))
         self.memo = Memo(self._pieces, room)
         self.words = Memo(self._words, room)
+        self.others = Memo(self._by_library, 30_000)
 
     def _by_library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str]) -> list[bytes]:
-        """Plain words go through the library many at a time, told apart by the ids that end words."""
-        plain = [w for w in words if _plain(w)]
-        out: dict[str, bytes] = {}
-        for at in range(0, len(plain), 2048):
-            part = plain[at : at + 2048]
-            ids = np.array(self.library.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            ends = (np.flatnonzero(self.last[ids]) + 1).tolist()
+        """Ids of lower-case plain words."""
+        tokenize = self.library.model.tokenize
+        ascii_words = [w for w in words if w.isascii()]
+        ids = [[t.id for t in tokenize(w)] for w in ascii_words]
+        out = dict(zip(ascii_words, _cut(np.array([i for x in ids for i in x], "<u4"), np.cumsum([len(x) for x in ids]))))
+        rest = [w for w in words if not w.isascii()]
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            joined = [" ".join(part[i : i + 256]) for i in range(0, len(part), 256)]
+            ids = np.array([i for e in self.library.encode_batch_fast(joined, add_special_tokens=False) for i in e.ids], "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 raise ValueError("the vocabulary does not mark the ends of words")
-            packed = ids.tobytes()
-            out.update(zip(part, [packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)]))
-        rest = [w for w in words if w not in out]
-        out.update(zip(rest, self._by_library(rest)))
+            out.update(zip(part, _cut(ids, ends)))
         return [out[w] for w in words]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        found = [self._split(p) for p in pieces]
-        wanted: set[str] = set()
-        for f in found:
-            wanted.update(f)
-        memo = self.words.fill(wanted)
-        return [memo[f[0]] if len(f) == 1 else b"".join([memo[w] for w in f]) for f in found]
-
-    @staticmethod
-    def _split(piece: str) -> list[str]:
-        if _plain(piece):
-            return [piece.lower()]
-        if piece[-1] in STOPS and _plain(piece[:-1]):
-            return [piece[:-1].lower(), piece[-1]]
-        return ASCII_WORDS.findall(piece.lower()) if piece.isascii() and "<|" not in piece else [piece]
+        shape = [(p.lower(), b"") if _plain(p) else (p[:-1].lower(), self.stops[p[-1]]) if p[-1] in STOPS and _plain(p[:-1]) else None for p in pieces]
+        words = self.words.fill([s[0] for s in shape if s])
+        odd = iter(self._odd([p for p, s in zip(pieces, shape) if not s]))
+        return [words[s[0]] + s[1] if s else next(odd) for s in shape]
+
+    def _odd(self, pieces: list[str]) -> list[bytes]:
+        found = [ASCII_WORDS.findall(p.lower()) if p.isascii() and "<|" not in p else [p] for p in pieces]
+        memo = self.others.fill(chain.from_iterable(found))
+        return [b"".join([memo[w] for w in f]) for f in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
         parts = [t.split() for t in texts]
         for i in odd:
             parts[i] = []
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p)
-        memo = self.memo.fill(wanted)
-        out = [b"".join([memo[x] for x in p]) for p in parts]
+        ids_of = self.memo.fill(chain.from_iterable(parts)).__getitem__
+        out = [b"".join(map(ids_of, p)) for p in parts]
         for i, ids in zip(odd, self._by_library([texts[i] for i in odd])):
             out[i] = ids
         return out
