@@ -1,18 +1,20 @@
 """Subword-lattice scoring of documents.
 
-The vocabulary is an existing one of subword pieces, and of the words seen in training. A
-word's probability sums over all its segmentations: the word as one unit, or any sequence of
-pieces that spells it, ended by a stop. A document belongs to one of a few classes (labels of
-training documents; the label of a scored document is not looked at), and
+The vocabulary is an existing one of subword pieces; the words seen in training are further
+units, each an arc from the first to the last place of its word. A word's probability sums over
+all its segmentations, and words and document ends are places that every path goes through, so
+that the forward recursion over the words of a text gives the marginal probability of the whole
+text. A document belongs to one of a few classes (labels of training documents; the label of a
+scored document is not looked at), and
 
     P(document) = sum over k of P(k) * prod over tokens of P_k(token)
     P_k(word)   = (1 - e_k) * c_k(word) / N_k + e_k * sum over segmentations of prod p_k(piece) * p_k(stop)
 
-with e_k the Good-Turing mass of unseen words (hapaxes / N_k). Piece probabilities come from
-the hapaxes of the class, which is what a new word resembles: first as the library cuts them,
-then re-estimated over all segmentations. The inner sum is a forward
-recursion in log space. The end of a document is a token like any word, so the score is the
-marginal log probability of the whole text.
+with e_k the Good-Turing mass of unseen words. The scores of the vocabulary weight all
+segmentations at first (where they are merge ranks, by Zipf's law) and stay on as a prior; then
+each round takes the expected piece counts of all training words, every word weighted by the
+square root of its count, and re-weights the pieces. Recursions are in log space and run over
+many words of one length side by side.
 
 Counts are distributed. The most frequent words (at most ``hot_words``, by a threshold on the
 count histogram) are broadcast; every other word of a document shuffles to the table of
@@ -27,6 +29,7 @@ import os
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ from panolith.llm.memo import Memo, calm_collector
 from panolith.session import spill
 
 ALPHA = 0.1
+PRIOR = 1000.0  # piece occurrences that the vocabulary's own scores count for
+BLOCK_CHARS = 1 << 16
 HOT_WORDS = 1 << 17
 HELD_WORDS = 400_000
 MARK = "▁"
@@ -49,23 +54,36 @@ def words_of(text: str) -> list[bytes]:
 
 
 class Vocabulary:
-    """Pieces of a sentencepiece model and the byte pieces, looked up inside words."""
+    """Pieces of a sentencepiece model, the byte pieces, and what their scores say of them."""
 
     def __init__(self, path: str):
+        import ahocorasick
         from sentencepiece import SentencePieceProcessor
 
         model = SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
         self.byte_ids: dict[int, int] = {}
-        for i in range(model.get_piece_size()):
+        self.size = model.get_piece_size()
+        for i in range(self.size):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:-1], 16)] = i
             elif not (model.is_control(i) or model.is_unknown(i)):
                 self.ids[piece] = i
-        self.size = model.get_piece_size()
-        self.longest = max(map(len, self.ids), default=1)
-        self.model = model
+        own = np.array(list(self.ids.values()))
+        score = np.array([model.get_score(i) for i in range(self.size)])
+        ranks = (score[own] <= 0).all() and (score[own] == np.round(score[own])).all()
+        self.prior = np.zeros(self.size)
+        self.prior[own] = 1 / (2 - score[own]) if ranks else np.exp(score[own])
+        self.prior[list(self.byte_ids.values())] = 1 / self.size
+        self.prior /= self.prior.sum()
+        self.length = np.zeros(self.size, np.int64)
+        self.finder = ahocorasick.Automaton()
+        for piece, i in self.ids.items():
+            self.length[i] = len(piece)
+            self.finder.add_word(piece, i)
+        self.finder.make_automaton()
+        self.single = np.sort(np.array([ord(p) for p in self.ids if len(p) == 1], np.uint32))
 
 
 _LOADED: dict[str, Vocabulary] = {}
@@ -78,60 +96,107 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-class Lattice:
-    """Marginal log probabilities of words under the piece probabilities of each class."""
-
-    def __init__(self, vocab: Vocabulary, log_p: np.ndarray, log_stop: np.ndarray):
-        self.ids, self.byte_ids, self.longest = vocab.ids, vocab.byte_ids, vocab.longest
-        self.log_p, self.log_stop = [row.tolist() for row in log_p], log_stop.tolist()
-
-    def arcs(self, word: bytes) -> list[list[tuple[int, tuple[int, ...]]]]:
-        """For each place, the arcs that end there: where from, and the pieces' ids.
-
-        A character outside the vocabulary is spelled by its bytes.
-        """
-        s = MARK + word.decode("utf-8", "surrogateescape")
-        ids, n, longest = self.ids, len(s), self.longest
-        into: list[list[tuple[int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = ids.get(s[i:j])
-                if k is not None:
-                    into[j].append((i, (k,)))
-                elif j == i + 1:
-                    into[j].append((i, tuple(self.byte_ids[b] for b in s[i].encode("utf-8", "surrogateescape"))))
-        return into
-
-    def forward(self, into: list[list[tuple[int, tuple[int, ...]]]], p: list[float]) -> list[float]:
-        f = [0.0] * len(into)
-        exp, log = math.exp, math.log
-        for j in range(1, len(into)):
-            terms = [f[i] + (p[k[0]] if len(k) == 1 else sum([p[x] for x in k])) for i, k in into[j]]
-            top = max(terms)
-            f[j] = top if len(terms) == 1 else top + log(sum([exp(x - top) for x in terms]))
+class Block:
+    """The lattices of words that are all ``n`` characters long, mark included.
+
+    Arcs are sorted by the place where they end and by word. Every place has an arc from the one
+    before it: a character that is no piece is spelled by its bytes, under an id from the
+    vocabulary's size on.
+    """
+
+    def __init__(self, vocab: Vocabulary, words: list[str], n: int):
+        text = "\n".join(words) + "\n"
+        self.n, self.words, wide = n, len(words), n + 1
+        found = np.fromiter(chain.from_iterable(vocab.finder.iter(text)), np.int64).reshape(-1, 2)
+        piece = found[:, 1]
+        word, to = np.divmod(found[:, 0], wide)
+        to += 1
+        start = to - vocab.length[piece]
+        inside = (to <= n) & (start >= 0)
+        if not inside.all():
+            word, to, start, piece = word[inside], to[inside], start[inside], piece[inside]
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        strange = ~np.isin(points, vocab.single)
+        strange[n::wide] = False
+        where = np.flatnonzero(strange)
+        self.spelled: list[list[int]] = []
+        if len(where):
+            kinds, kind = np.unique(points[where], return_inverse=True)
+            self.spelled = [[vocab.byte_ids[b] for b in chr(c).encode("utf-8", "surrogateescape")] for c in kinds.tolist()]
+            at, place = np.divmod(where, wide)
+            word, to = np.concatenate([word, at]), np.concatenate([to, place + 1])
+            start, piece = np.concatenate([start, place]), np.concatenate([piece, vocab.size + kind])
+        key = to * self.words + word
+        order = np.argsort(key, kind="stable")
+        key, self.piece = key[order], piece[order]
+        self.source = start[order] * self.words + word[order]  # places of all words in one row
+        self.first = np.flatnonzero(np.diff(key, prepend=-1))  # of each word's arcs into each place
+        self.target = key
+        self.cut = np.append(self.first[:: self.words], len(key))  # of each place's arcs, from place 1 on
+
+    def _weights(self, log_p: np.ndarray) -> np.ndarray:
+        if self.spelled:
+            log_p = np.append(log_p, [log_p[x].sum() for x in self.spelled])
+        return log_p[self.piece]
+
+    def forward(self, arcs: np.ndarray) -> np.ndarray:
+        """Log of the sum over all paths to each place of each word, places on end."""
+        m = self.words
+        f = np.zeros((self.n + 1) * m)
+        for j in range(self.n):
+            lo, hi = self.cut[j], self.cut[j + 1]
+            terms = f[self.source[lo:hi]] + arcs[lo:hi]
+            if hi - lo > m:
+                first = self.first[j * m : (j + 1) * m] - lo
+                top = np.maximum.reduceat(terms, first)
+                f[(j + 1) * m : (j + 2) * m] = top + np.log(np.add.reduceat(np.exp(terms - top[self.target[lo:hi] - (j + 1) * m]), first))
+            else:
+                f[(j + 1) * m : (j + 2) * m] = terms
         return f
 
-    def log_words(self, word: bytes) -> list[float]:
-        """Natural log, for each class, of the sum over all segmentations."""
-        into = self.arcs(word)
-        return [self.forward(into, p)[-1] + stop for p, stop in zip(self.log_p, self.log_stop)]
-
-    def expect(self, word: bytes, classes: list[int], total: np.ndarray) -> None:
-        """Adds the expected piece counts of a word to the rows of its classes."""
-        into = self.arcs(word)
-        for c in classes:
-            p = self.log_p[c]
-            f = self.forward(into, p)
-            back = [0.0] * len(into)  # share of all segmentations that pass through a place
-            back[-1] = 1.0
-            row = total[c]
-            for j in range(len(into) - 1, 0, -1):
-                if back[j] > 1e-9:
-                    for i, k in into[j]:
-                        g = back[j] * math.exp(f[i] + sum([p[x] for x in k]) - f[j])
-                        back[i] += g
-                        for x in k:
-                            row[x] += g
+    def log_words(self, log_p: np.ndarray) -> np.ndarray:
+        return self.forward(self._weights(log_p))[-self.words :]
+
+    def expect(self, log_p: np.ndarray, weight: np.ndarray, total: np.ndarray) -> None:
+        """Adds the expected piece counts of the words, each times its weight."""
+        arcs, m = self._weights(log_p), self.words
+        f = self.forward(arcs)
+        share = np.exp(f[self.source] + arcs - f[self.target])
+        through = np.zeros(len(f))
+        through[-m:] = weight
+        for j in range(self.n - 1, -1, -1):
+            lo, hi = self.cut[j], self.cut[j + 1]
+            share[lo:hi] *= through[self.target[lo:hi]]
+            through[self.source[lo:hi]] += share[lo:hi]  # a word's arcs into one place come from different ones
+        counts = np.bincount(self.piece, share, len(total) + len(self.spelled))
+        total += counts[: len(total)]
+        for spelled, n in zip(self.spelled, counts[len(total) :]):
+            np.add.at(total, spelled, n)
+
+
+def blocks(vocab: Vocabulary, words: list[bytes]) -> Iterator[tuple[np.ndarray, Block]]:
+    """Which of the words, and their lattices, for words of one length at a time."""
+    spelt = [MARK + w.decode("utf-8", "surrogateescape") for w in words]
+    sizes = np.array([len(s) for s in spelt], np.int64)
+    order = np.argsort(sizes, kind="stable")
+    ends = np.flatnonzero(np.diff(sizes[order], append=-1)) + 1
+    lo = 0
+    for hi in ends.tolist():
+        n = int(sizes[order[lo]])
+        step = max(1, BLOCK_CHARS // n)
+        for at in range(lo, hi, step):
+            mine = order[at : min(at + step, hi)]
+            yield mine, Block(vocab, [spelt[i] for i in mine], n)
+        lo = hi
+
+
+def log_words(vocab: Vocabulary, words: list[bytes], log_p: np.ndarray, log_stop: np.ndarray) -> np.ndarray:
+    """(words, classes): natural log of the sum over all segmentations of each word, and its end."""
+    out = np.zeros((len(words), len(log_p)))
+    for mine, block in blocks(vocab, words):
+        for k, row in enumerate(log_p):
+            out[mine, k] = block.log_words(row)
+    return out + log_stop
 
 
 def held_out(doc_id, folds: int = 10):
@@ -167,34 +232,38 @@ def word_counts(train: DataFrame, classes: int) -> DataFrame:
     return rows.groupBy("w").agg(*each, F.sum("n").alias("c"))
 
 
-def piece_counts(counts: DataFrame, path: str, classes: int, log_p: np.ndarray | None = None, log_stop: np.ndarray | None = None) -> np.ndarray:
-    """(classes, pieces + 1) counts over the words each class has once, and the number of them.
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.RecordBatch]:
+    """The same rows in runs of at least ``rows``, so that words of one length come in numbers."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if any(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
-    Without probabilities words count as the library cuts them, otherwise over all segmentations.
-    """
+
+def piece_counts(counts: DataFrame, path: str, log_p: np.ndarray, log_stop: np.ndarray) -> np.ndarray:
+    """(classes, pieces + 1): expected piece counts over all segmentations of all training words,
+    each with the square root of its count as weight, and the sum of those weights."""
+    classes, pieces = log_p.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        total = np.zeros((classes, vocab.size + 1))
-        lattice = Lattice(vocab, log_p, log_stop) if log_p is not None else None
-        for batch in batches:
+        total = np.zeros((classes, pieces + 1))
+        for batch in _gathered(batches):
             words = batch.column(0).to_pylist()
-            seen = np.column_stack([batch.column(1 + k).to_numpy(zero_copy_only=False) == 1 for k in range(classes)])
-            total[:, -1] += seen.sum(0)
-            if lattice:
-                for w, row in zip(words, seen):
-                    lattice.expect(w, np.flatnonzero(row).tolist(), total)
-            else:
-                for at in range(0, len(words), 4096):
-                    cut = vocab.model.encode([w.decode("utf-8", "replace") for w in words[at : at + 4096]], num_threads=1)
-                    owner = np.repeat(np.arange(at, at + len(cut)), [len(x) for x in cut])
-                    ids = np.array([i for x in cut for i in x], np.int64)
-                    for k in range(classes):
-                        total[k] += np.bincount(ids[seen[owner, k]], minlength=vocab.size + 1)
+            weight = np.sqrt([batch.column(1 + k).to_numpy(zero_copy_only=False) for k in range(classes)])
+            total[:, -1] += weight.sum(1)
+            for k in range(classes):
+                own = np.flatnonzero(weight[k])
+                for mine, block in blocks(vocab, [words[i] for i in own]):
+                    block.expect(log_p[k], weight[k][own[mine]], total[k, :-1])
         k, piece = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[k, piece])], names=["k", "piece", "n"])
 
-    out = np.zeros((classes, vocabulary(path).size + 1))
+    out = np.zeros((classes, pieces + 1))
     found = counts.select("w", *[f"c{k}" for k in range(classes)]).mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n"))
     rows = found.toPandas()  # at most classes x pieces rows
     out[rows["k"].to_numpy(int), rows["piece"].to_numpy(int)] = rows["n"].to_numpy(float)
@@ -202,10 +271,9 @@ def piece_counts(counts: DataFrame, path: str, classes: int, log_p: np.ndarray |
 
 
 def _probabilities(total: np.ndarray, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    usable = np.zeros(vocab.size, bool)
-    usable[[*vocab.ids.values(), *vocab.byte_ids.values()]] = True
-    weight = np.where(usable, total[:, :-1] + 0.01, 0.0)
-    stops = np.maximum(total[:, -1], 1.0)
+    """Log probabilities of pieces and of the stop after the expected counts and the prior."""
+    weight = total[:, :-1] + PRIOR * vocab.prior
+    stops = total[:, -1] + PRIOR / 4  # by the prior alone, a word has four pieces
     whole = weight.sum(1) + stops
     with np.errstate(divide="ignore"):
         return np.log(weight / whole[:, None]), np.log(stops / whole)
@@ -218,7 +286,7 @@ def classes_of(train: DataFrame, label: str | None, most: int) -> list[str]:
     return [r[0] for r in train.where(F.col("label").isNotNull()).groupBy("label").count().orderBy(F.desc("count"), "label").limit(most).collect()]
 
 
-def score_documents(docs: DataFrame, pieces: str, folds: int = 10, hot_words: int = HOT_WORDS, text: str = "text", doc_id: str = "doc_id", label: str | None = "lang", most_classes: int = 7, rounds: int = 1) -> DataFrame:
+def score_documents(docs: DataFrame, pieces: str, folds: int = 10, hot_words: int = HOT_WORDS, text: str = "text", doc_id: str = "doc_id", label: str | None = "lang", most_classes: int = 64, rounds: int = 3) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, one row per document.
 
     Null texts count as empty and consist of the end alone; repeated rows are scored each by
@@ -237,11 +305,14 @@ def score_documents(docs: DataFrame, pieces: str, folds: int = 10, hot_words: in
     if labels and not ends[-1]:  # every document has one of the labels
         size, ends = size - 1, ends[:-1]
     counts, _ = spill(word_counts(train.select("text", which.cast("int").alias("k")), size), "counts")
-    sums = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), *[F.coalesce(F.sum(x), F.lit(0)) for k in range(size) for x in (f"c{k}", F.when(F.col(f"c{k}") == 1, 1))]).first()
+    each = [x for k in range(size) for x in (F.sum(f"c{k}"), F.count_if(F.col(f"c{k}") == 1), F.count_if(F.col(f"c{k}") > 0))]
+    sums = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0)), *[F.coalesce(x, F.lit(0)) for x in each]).first()
     words, tokens = sums[0], sums[1]
     n, distinct = tokens + int(ends.sum()), words + bool(ends.sum())
-    n_k = np.array(sums[2::2], float) + ends
-    unseen = np.clip(np.maximum(np.array(sums[3::2], float), 1) / np.maximum(n_k, 1), 1e-9, 0.5)
+    n_k = np.array(sums[2::3], float) + ends
+    # Good-Turing; where texts are copied few words occur once, and a tenth of the different ones stands in.
+    once, kinds = np.array(sums[3::3], float), np.array(sums[4::3], float)
+    unseen = np.clip(np.maximum(np.maximum(once, kinds / 10), 1) / np.maximum(n_k, 1), 1e-9, 0.5)
     # Frequent: the bins of counts, from the top, that hold at most ``hot_words`` words together.
     bin_of = F.floor(F.log2("c") * 16)
     least, upto = None, 0
@@ -252,9 +323,9 @@ def score_documents(docs: DataFrame, pieces: str, folds: int = 10, hot_words: in
         least = r["bin"]
     columns = [f"c{k}" for k in range(size)]
     vocab = vocabulary(pieces)
-    log_p, log_stop = _probabilities(piece_counts(counts, pieces, size), vocab)
+    log_p, log_stop = _probabilities(np.zeros((size, vocab.size + 1)), vocab)
     for _ in range(rounds):
-        log_p, log_stop = _probabilities(piece_counts(counts, pieces, size, log_p, log_stop), vocab)
+        log_p, log_stop = _probabilities(piece_counts(counts, pieces, log_p, log_stop), vocab)
     with np.errstate(divide="ignore"):
         model = {
             "log_p": log_p, "log_stop": log_stop, "less": np.log10(unseen), "share": (1 - unseen) / np.maximum(n_k, 1),
@@ -291,9 +362,8 @@ def score_documents(docs: DataFrame, pieces: str, folds: int = 10, hot_words: in
 
 def _by_pieces(pieces: str, model: dict):
     """log10 of what pieces add to the probability of each word, in each class."""
-    lattice = Lattice(vocabulary(pieces), model["log_p"], model["log_stop"])
-    scale, less = math.log(10), model["less"].tolist()
-    return lambda ws: [[x / scale + y for x, y in zip(lattice.log_words(w), less)] for w in ws]
+    vocab = vocabulary(pieces)
+    return lambda ws: list(log_words(vocab, ws, model["log_p"], model["log_stop"]) / math.log(10) + model["less"])
 
 
 def _score_words(counts: DataFrame, pieces: str, model: dict, size: int) -> DataFrame:
@@ -301,9 +371,9 @@ def _score_words(counts: DataFrame, pieces: str, model: dict, size: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _by_pieces(pieces, model)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 8192):
-                part = batch.slice(at, 8192)
+        for batch in _gathered(batches):
+            for at in range(0, batch.num_rows, 1 << 15):
+                part = batch.slice(at, 1 << 15)
                 c = np.column_stack([part.column(1 + k).to_numpy(zero_copy_only=False) for k in range(size)]).astype(float)
                 by_pieces = np.array(score(part.column(0).to_pylist())).reshape(-1, size)
                 with np.errstate(divide="ignore"):
