@@ -84,8 +84,13 @@ def test_near_copies(spark, odd, empty):
     far = [w if i % 3 else "x" for i, w in enumerate(words)]
     docs = spark.createDataFrame([(5, " ".join(words)), (3, " ".join(close)), (8, " ".join(other)), (9, " ".join(far)), (10, None), (11, "")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [3, 8, 9, 10, 11]
-    kept = simhash.drop_near_copies(odd)
-    assert kept.columns == odd.columns and simhash.drop_near_copies(empty).count() == 0
+    clashing = odd.withColumns({"row": F.lit(9), "h": F.lit(1), "c": F.lit(2), "n": F.lit(3)})
+    rows = sorted(map(repr, (tuple(r) for r in simhash.drop_near_copies(clashing).collect())))
+    lost = {(1, "one two three four five six"), (8, "same text here")}  # of equal texts the first stays, of equal rows one
+    want = [tuple(r) for r in clashing.collect() if (r.doc_id, r.text) not in lost]
+    want.remove(next(x for x in want if x[:2] == (7, "same text here")))
+    assert rows == sorted(map(repr, want))
+    assert simhash.drop_near_copies(empty).count() == 0
 
 
 @pytest.mark.parametrize("at_once", [simhash.AT_ONCE, 0])
@@ -142,8 +147,14 @@ def test_exact_dedup(odd, empty, bounds):
         assert r.keep_id == max(groups[r.text_sha256], key=lambda i: -1 if i is None else i)
     assert sum(r.kept for r in rows) == len(groups)
     assert exact_dedup.exact_dedup(empty).count() == 0
-    kept = exact_dedup.drop_repeats(odd)
-    assert kept.columns == odd.columns and kept.count() == len(groups)
+    clashing = odd.withColumns({"h": F.col("doc_id") * 3, "sha": F.lit("own"), "row": F.lit(9), "__uid": F.lit(11)})
+    for docs in (odd, clashing, odd.limit(0)):
+        kept = exact_dedup.drop_repeats(docs, **bounds)
+        best = {}
+        for r in docs.collect():
+            best[r.text or ""] = max(best.get(r.text or "", (-2, None)), (-1 if r.doc_id is None else r.doc_id, tuple(r)), key=lambda x: x[0])
+        assert kept.columns == docs.columns
+        assert sorted(map(repr, (tuple(r) for r in kept.collect()))) == sorted(repr(x[1]) for x in best.values())
 
 
 def test_sharding(odd, empty):
@@ -209,23 +220,76 @@ def test_local_search_improves_and_stays_valid():
     assert all(sum(lengths[i] for i in b) <= 600 for b in bins) and len(bins) <= 36
 
 
+def spellings(s, ids):
+    """All ways to cut ``s`` into pieces."""
+    if not s:
+        return [[]]
+    return [[ids[s[:j]], *rest] for j in range(1, len(s) + 1) if s[:j] in ids for rest in spellings(s[j:], ids)]
+
+
 def test_lattice_against_all_segmentations():
     vocab = lm_score.vocabulary(PIECE)
     rng = np.random.default_rng(0)
     p = rng.random((2, vocab.size))
     log_p = np.log(p / p.sum(1, keepdims=True))
-    lattice = lm_score.Lattice(vocab, log_p, np.log([0.5, 0.25]))
-
-    def total(s, k):
-        return 1.0 if not s else sum(np.exp(log_p[k][vocab.ids[s[:j]]]) * total(s[j:], k) for j in range(1, len(s) + 1) if s[:j] in vocab.ids)
-
-    for w in ("the", "under", "ab"):
-        for k, stop in enumerate((0.5, 0.25)):
-            assert lattice.log_words(w.encode())[k] == pytest.approx(np.log(total("▁" + w, k) * stop))
-    counts = np.zeros((2, vocab.size + 1))
-    lattice.expect(b"the", [0], counts)
-    lengths = sum(n * len(s) for s, n in ((s, counts[0][i]) for s, i in vocab.ids.items()))
-    assert lengths == pytest.approx(4)  # the pieces of all segmentations spell the mark and three letters
+    stop = np.log([0.5, 0.25])
+    words = ["the", "under", "ab", "then", "ça", "wher"]
+    got = lm_score.log_words(vocab, [w.encode() for w in words], log_p, stop)
+    for w, row in zip(words, got):
+        for k in range(2):
+            assert row[k] == pytest.approx(np.log(sum(np.exp(log_p[k][x].sum()) for x in spellings("▁" + w, vocab.ids))) + stop[k])
+    want, counts = np.zeros(vocab.size), np.zeros(vocab.size)
+    weights = np.arange(1.0, len(words) + 1)
+    for w, weight in zip(words, weights):
+        ways = spellings("▁" + w, vocab.ids)
+        share = np.array([np.exp(log_p[0][x].sum()) for x in ways])
+        for x, n in zip(ways, weight * share / share.sum()):
+            np.add.at(want, x, n)
+    for mine, block in lm_score.blocks(vocab, [w.encode() for w in words]):
+        block.expect(log_p[0], weights[mine], counts)
+    assert counts == pytest.approx(want)
+
+
+def test_lattice_spells_strange_characters_by_bytes():
+    vocab = lm_score.vocabulary(PIECE)
+    log_p = np.log(np.full((1, vocab.size), 1 / vocab.size))
+    strange = "\U0001f9ff\u4e02"
+    assert not any(c in vocab.ids for c in strange)
+    got = lm_score.log_words(vocab, [strange.encode(), b"\xff", b"", b"a" * 5000], log_p, np.zeros(1))[:, 0]
+    assert got[:3] == pytest.approx(np.log(1 / vocab.size) * np.array([1 + 4 + 3, 1 + 1, 1])) and np.isfinite(got[3])
+
+
+def test_lm_score_is_the_sum_over_all_segmentations_of_a_text(spark):
+    """A corpus so small that the model can be written down: one class, known words and a new one."""
+    train = [i for i in range(40) if zlib.crc32(str(i).encode()) % 10]
+    new = next(i for i in range(40) if zlib.crc32(str(i).encode()) % 10 == 0)
+    rows = [(i, "the cat" if n % 2 else "the hat sat") for n, i in enumerate(train)] + [(new, "the then")]
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), PIECE, label=None).collect()}
+    vocab = lm_score.vocabulary(PIECE)
+    counts = {}
+    for i, t in rows[:-1]:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    n = sum(counts.values()) + len(train)
+    unseen = max(1.0, len(counts) / 10) / n
+    weight, stop = 1000 * vocab.prior, 250.0
+    for _ in range(3):
+        p, q = weight / (weight.sum() + stop), stop / (weight.sum() + stop)
+        found = np.zeros(vocab.size)
+        for w, c in counts.items():
+            ways = spellings("▁" + w, vocab.ids)
+            share = np.array([p[x].prod() for x in ways])
+            for x, part in zip(ways, np.sqrt(c) * share / share.sum()):
+                np.add.at(found, x, part)
+        weight, stop = found + 1000 * vocab.prior, sum(np.sqrt(c) for c in counts.values()) + 250
+    p, q = weight / (weight.sum() + stop), stop / (weight.sum() + stop)
+
+    def word(w):
+        return (1 - unseen) * counts.get(w, 0) / n + unseen * q * sum(p[x].prod() for x in spellings("▁" + w, vocab.ids))
+
+    for i, t in rows:
+        want = sum(np.log10(word(w)) for w in t.split()) + np.log10((1 - unseen) * len(train) / n)
+        assert got[i].score == pytest.approx(want)
 
 
 def test_lm_scores(spark, odd, empty):
@@ -269,7 +333,10 @@ def test_topk_edges(spark):
     rows = [(0, [0.5, -0.5]), (50, [0.5, 0.5]), (3, None), (4, [nan, 1.0]), (5, [None, 1.0]), (6, []), (7, [1.0]), (None, [1.0, 1.0]), (0, [0.5, -0.5]), (8, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_k(df).orderBy("query_id", "rank").collect()]
-    assert got == [(0, 1, 7, 32768), (0, 2, 6, 0), (0, 3, 50, 0), (50, 1, 7, 32768), (50, 2, 0, 0), (50, 3, 0, 0), (50, 4, 6, 0)]
+    # Both rows of id 0 ask, and each is the other's best.
+    assert got == sorted(2 * [(0, 1, 0, 32768), (0, 2, 7, 32768), (0, 3, 6, 0), (0, 4, 50, 0)] + [(50, 1, 7, 32768), (50, 2, 0, 0), (50, 3, 0, 0), (50, 4, 6, 0)], key=lambda x: x[:2])
+    with pytest.raises(ValueError, match="too large"):
+        topk.top_k(spark.createDataFrame([(0, [1e6] * 300)], "vec_id long, embedding array<double>"))
     assert topk.top_k(df.limit(0)).count() == 0
 
 
@@ -315,6 +382,21 @@ def test_lines_of_one_fingerprint_are_all_compared(spark):
     assert {r.doc_id: r.first_doc_id for r in rows} == {i: want.get(i, i) for i in range(len(lines))}
 
 
+def test_similarity_of_lines_by_hand(spark):
+    rng = random.Random(3)
+    pairs = [("a b c", "a b c"), ("a b c d", "a b c"), ("b c d", "a b c d"), ("a a a a", "a a a"), ("one two", "two one"), ("x", "y"), ("é a", "é b"), ("a b", "a bb"), ("ab a b", "b a b")]
+    for _ in range(300):
+        words = [rng.choice(["ab", "abc", "xyz", "q", "éa"]) for _ in range(rng.randint(1, 9))]
+        other = [*words]
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(other) + 1)
+            rng.choice([lambda: other.insert(at, rng.choice(["ab", "zz"])), lambda: other.__setitem__(slice(at, at + 1), ["abd"]), lambda: other.__delitem__(slice(at, at + 1)) if len(other) > 1 else None])()
+        pairs.append((" ".join(words), " ".join(other)))
+    for least in (0.8, 0.5):
+        rows = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.similar(F.col("a"), F.col("b"), least).alias("ok")).collect()
+        assert [r.ok for r in rows] == [line_similarity(r.a, r.b) >= least - 1e-9 for r in rows]
+
+
 def test_long_lines_are_held_to_the_same_rule(spark):
     words = [f"w{random.Random(i).randint(0, 10**6)}" for i in range(500)]
     other = [w if i % 20 else "x" + w[1:] for i, w in enumerate(words)]
@@ -323,12 +405,59 @@ def test_long_lines_are_held_to_the_same_rule(spark):
     assert len(a) > 2000 and line_similarity(a, b) > 0.95 and r.ok
 
 
-def test_line_pairs_where_keys_are_crowded(spark):
+@pytest.mark.parametrize("hot", [64, 3])
+def test_line_pairs_where_keys_are_crowded(spark, hot):
     rng = random.Random(5)
     base = rng.getrandbits(63)
     fps = sorted({base ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 3))) for _ in range(150)})
-    got = {(r.a, r.b) for r in line_dedup._fingerprint_pairs(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
-    assert got == {(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2}
+    fps += sorted({base ^ (b << 40) for b in range(1, 90)} - set(fps))  # crowded again at the second split
+    got = [(r.a, r.b) for r in line_dedup.fingerprint_pairs(spark.createDataFrame([(f,) for f in fps], "fp long"), hot).collect()]
+    want = {(min(a, b), max(a, b)) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2}
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_hashes_of_lines_by_hand(spark):
+    rng = random.Random(1)
+    texts = ["\n".join(" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(n)) for n in ns) for ns in ([1, 2, 5], [119, 300, 0], [900])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {(r.doc_id, r.line_no): (r.h, r.norm) for r in line_dedup.lines_of(df).withColumn("h", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).collect()}
+    for many in (line_dedup.MANY_WORDS, 250):  # the longer lines go the other way
+        rows = line_dedup.hashed_lines(df, "text", "doc_id", None, 2, many).collect()
+        assert {(r.doc_id, r.line_no) for r in rows} == set(want) and len(rows) == len(want)
+        for r in rows:
+            h, norm = want[r.doc_id, r.line_no]
+            assert r.blank == (norm == "")
+            assert r.fp is None if len(h) < 2 else r.fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_groups_of_lines_against_all_pairs(spark):
+    """On the small table: lines whose fingerprints are within two bits and that are similar enough are one group."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = line_dedup.line_groups(docs).collect()
+    hashed = {(r.doc_id, r.line_no): r for r in line_dedup.with_simhash(line_dedup.lines_of(docs), "norm", 1).collect()}
+    lines = {}
+    for k, r in sorted(hashed.items()):
+        if r.norm:
+            lines.setdefault(r.norm, (k, r.fp))
+    norms = list(lines)
+    fps = np.array([lines[x][1] for x in norms], np.int64).view(np.uint64)
+    alike = []
+    for i in range(len(norms)):
+        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 2).tolist():
+            if line_similarity(norms[i], norms[j]) >= 0.8:
+                alike.append((j, i))
+    root = components.star_forest(iter(alike))
+    top, place = {}, {x: i for i, x in enumerate(norms)}
+    for i, x in enumerate(norms):
+        k = root.get(i, i)
+        top[k] = min(top.get(k, lines[x][0]), lines[x][0])
+    want = {k: top[root.get(place[r.norm], place[r.norm])] if r.norm else k for k, r in hashed.items()}
+    assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in rows} == want
+    assert all(r.kept == (want[r.doc_id, r.line_no] == (r.doc_id, r.line_no)) for r in rows)
+    sizes = {}
+    for k, w in want.items():
+        sizes[w] = sizes.get(w, 0) + 1
+    assert all(r.group_size == sizes[want[r.doc_id, r.line_no]] for r in rows)
 
 
 def test_language_models(spark, odd, empty):
@@ -345,6 +474,93 @@ def test_language_models(spark, odd, empty):
     assert language_id.training_sample(empty) == {} and language_id.Models({}).predict(["x"])[0] == ["und"]
 
 
+def test_language_models_against_plain_kneser_ney():
+    """Interpolated Kneser-Ney written down with dicts, order 3, one discount an order."""
+    texts = {"a": ["the cat sat on the mat", "a cat and a hat"], "b": ["der hund und die katze", "das haus"]}
+    models = language_id.Models(texts, order=3)
+    letters = sorted({c for ts in texts.values() for t in ts for c in t if c.isalpha()})
+
+    def spelt(t):
+        out = []
+        for c in t.lower():
+            c = c if c in letters else "?" if c.isalpha() else " "
+            if c != " " or (out and out[-1] != " "):
+                out.append(c)
+        return [*out, " "] if not out or out[-1] != " " else out
+
+    def grams(ts, n):
+        return [tuple([" "] * (n - 1) + spelt(t))[i : i + n] for t in ts for i in range(len(spelt(t)))]
+
+    for j, k in enumerate(sorted(texts)):
+        counts = {3: {}}
+        for g in grams(texts[k], 3):
+            counts[3][g] = counts[3].get(g, 0) + 1
+        for n in (2, 1):
+            counts[n] = {}
+            for g in counts[n + 1]:
+                counts[n][g[1:]] = counts[n].get(g[1:], 0) + 1
+
+        def p(g, n):
+            if not n:
+                return 1 / (len(letters) + 3)
+            ones, twos = sum(v == 1 for v in counts[n].values()), sum(v == 2 for v in counts[n].values())
+            d = min(0.95, max(0.1, ones / (ones + 2 * twos) if ones else 0.5))
+            after = [v for h, v in counts[n].items() if h[:-1] == g[:-1]]
+            if not after:
+                return p(g[1:], n - 1)
+            return max(counts[n].get(g, 0) - d, 0) / sum(after) + d * len(after) / sum(after) * p(g[1:], n - 1)
+
+        for t in ("the hat", "der kater", "zzz xyz", "katze the"):
+            want = -sum(np.log(p(g, 3)) for g in grams([t], 3)) / len(spelt(t))
+            assert models.cross_entropy([t])[0][0, j] == pytest.approx(want, rel=1e-4), (k, t)
+
+
+def test_fingerprints_against_plain_words(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    import re
+
+    import xxhash
+
+    want = {}
+    for r in docs.collect():
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or ""))
+        shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+        h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+        want[r.doc_id] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+    ids = sorted(want)
+    root = components.star_forest((a, b) for i, b in enumerate(ids) for a in ids[:i] if bin(want[a] ^ want[b]).count("1") <= 2)
+    rows = simhash.near_dedup(docs).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{want[i]:016x}", root.get(i, i)) for i in ids}
+
+
+def test_sharding_against_one_key_at_a_time(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+
+    def jump(key, n):
+        b, j = -1, 0
+        while j < n:
+            b, key = j, (key * 2862933555777941757 + 1) % 2**64
+            j = int((b + 1) * ((1 << 31) / ((key >> 33) + 1)))
+        return b
+
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in sharding.shard_documents(docs).collect():
+        key = int(sharding.stable_keys(np.array([r.doc_id]))[0])
+        t = texts[r.doc_id]
+        assert (r.size, r.text_crc32, r.shard, r.grown_shard, r.law) == (len(t) + 1, zlib.crc32(t), jump(key, 16), jump(key, 17), "key")
+
+
+def test_packing_fills_sequences_and_cuts_long_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    rows = packing.pack_documents(docs.unionByName(spark.createDataFrame([(-1, "word " * 9000)], "doc_id long, text string")), WORD).collect()
+    assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 4096)
+    library = Tokenizer.from_file(WORD)
+    whole = [*library.encode("word " * 9000, add_special_tokens=False).ids, 1]
+    long = sorted((r for r in rows if r.doc_id == -1), key=lambda r: r.piece)
+    assert [(r.piece, r.start, r.length) for r in long] == [(i, 4096 * i, min(4096, len(whole) - 4096 * i)) for i in range(-(-len(whole) // 4096))]
+    assert [r.ids_crc32 for r in long] == [zlib.crc32(np.array(whole[r.start : r.start + r.length], "<u4").tobytes()) for r in long]
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, duck, name):
     same_rows(queries.QUERIES[name](spark, SMALL), duck.sql(queries.ORACLE_SQL[name]))
