@@ -369,7 +369,10 @@ def copy_links(heads: DataFrame, docs: DataFrame, words: int, least: float, at_o
     """
     postings = heads.select("uid", F.posexplode("p").alias("i", "h"))
     met, met_path = spill(postings.withColumn("m", F.count("*").over(W.partitionBy("h"))).where("m > 1").drop("m"), "copy-met")
-    shared, path = spill(met.join(heads.select("uid", "n", "fp", "fq"), "uid"), "copy-shared")
+    # A shared passage has many shingles with the very same documents, which need to meet once: at the first place.
+    who = met.groupBy("h").agg(F.bit_xor(F.xxhash64("uid")).alias("s"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("t"), F.count("*").alias("m"))
+    bundled = met.join(who, "h").groupBy(F.xxhash64("s", "t", "m").alias("h"), "uid").agg(F.min("i").alias("i"))
+    shared, path = spill(bundled.join(heads.select("uid", "n", "fp", "fq"), "uid"), "copy-shared")
     forget(docs.sparkSession, met_path)
     size, documents = shared.agg(F.count("*"), F.approx_count_distinct("uid")).first()
     at_once = max(at_once, 64 * size) if at_once else 0
