@@ -68,3 +68,33 @@ def forget(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables of one piece of work in the shared folder, removed when the work is done.
+
+    ``with Scratch(spark) as held:`` each ``held(frame, tag)`` writes and rereads a frame;
+    ``held.result(frame, tag)`` does so with the last one, which alone stays.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        forget(self.spark, *self.paths)
+
+    def __call__(self, df: DataFrame, tag: str) -> DataFrame:
+        df, path = spill(df, tag)
+        self.paths.append(path)
+        return df
+
+    def drop_last(self, n: int = 1) -> None:
+        """Remove the ``n`` tables written last."""
+        for _ in range(n):
+            forget(self.spark, self.paths.pop())
+
+    def result(self, df: DataFrame, tag: str) -> DataFrame:
+        return spill(df, tag)[0]
