@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panolith.llm import bpe, chat, exact_dedup, language_id, line_dedup, lm_score, packing, sharding, simhash, topk
+from panolith.llm import bpe, chat, exact_dedup, language_id, line_dedup, lm_score, minhash, packing, prefix_trie, sharding, simhash, spelling, topk
 from panolith.llm.tables import table
 
 BYTE_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -65,6 +65,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, models).withColumn("held_out", held_out)
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("conv_id")
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"), base=c - c % 5, keep=F.crc32(c.cast("string").cast("binary")) % 9)
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = """
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256
 FROM (
@@ -117,6 +130,93 @@ ranked AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11_SQL = rf"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(coalesce({_LOWER}, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) > 2 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+                      WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s
+  FROM words),
+postings AS (SELECT doc_id, len(s) AS n, unnest(s) AS h FROM sets),
+links AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM postings x JOIN postings y ON x.h = y.h AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id HAVING 100 * count(*) >= 85 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, component_id, s.doc_id = component_id AS kept
+FROM sets s JOIN least ON a = s.doc_id
+"""
+
+_CRC_TABLE = """crc_table AS (
+  SELECT list(c ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END) AS c FROM range(256) t(i)))"""
+
+
+def _crc32(codes: str) -> str:
+    """SQL for the crc32 of a list of bytes, beside the table ``crc_table``."""
+    return f"xor(list_reduce(list_prepend(4294967295, {codes}), lambda c, b: xor(c >> 8, tab[CAST(xor(c, b) & 255 AS INTEGER) + 1])), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH {_CRC_TABLE},
+turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, role, text
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+own AS (SELECT conv_id, list({{'role': role, 'text': text}} ORDER BY pos) AS t FROM turns GROUP BY conv_id),
+plans AS (
+  SELECT conv_id, t, conv_id - conv_id % 5 AS base, {_crc32("list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))")} % 9 AS h
+  FROM own, crc_table),
+rebuilt AS (
+  SELECT p.conv_id, list_concat(coalesce(b.t[1:p.h], []), p.t[p.h + 1:]) AS t FROM plans p LEFT JOIN own b ON b.conv_id = p.base),
+prefixes AS (
+  SELECT conv_id, d, t[1:d] AS p, t[1:d - 1] AS parent, len(t) = d AS ended FROM (SELECT conv_id, t, unnest(range(0, len(t) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, p, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ended), '')) AS ends_sha256
+  FROM prefixes GROUP BY d, p),
+children AS (SELECT d - 1 AS d, parent AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY d, parent),
+counted AS (
+  SELECT nodes.*, coalesce(n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * octet_length(encode(p[d].text)) ELSE 0 END AS worth
+  FROM nodes LEFT JOIN children USING (d, p)),
+below AS (
+  SELECT x.d, x.p, count(*) FILTER (v.n_children = 0) AS n_leaves, sum(v.worth) AS saved
+  FROM counted v JOIN prefixes x ON x.conv_id = v.conv_id AND x.d <= v.d GROUP BY x.d, x.p)
+SELECT c.conv_id, c.d AS depth, u.conv_id AS parent_conv_id, c.n_convs, c.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, c.ends_sha256
+FROM counted c JOIN below USING (d, p) LEFT JOIN nodes u ON c.d > 0 AND u.d = c.d - 1 AND u.p = c.parent
+"""
+
+OP13_SQL = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+runs AS (
+  SELECT doc_id, w, count(*) AS n
+  FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) AS w FROM documents) GROUP BY doc_id, w),
+hashed AS (
+  SELECT w, n, CASE WHEN doc_id IS NULL THEN 1 ELSE {_crc32("flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda x: CASE WHEN ord(x) < 128 THEN [CAST(ord(x) AS BIGINT)] ELSE [195, CAST(ord(x) AS BIGINT) - 64] END))")} END AS h
+  FROM runs, crc_table WHERE length(w) >= 6),
+counted AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INTEGER)) || substr(w, CAST(h % length(w) AS INTEGER) + 2) ELSE w END AS word, CAST(sum(n) AS BIGINT) AS n
+  FROM hashed GROUP BY word),
+vocabulary AS (SELECT word, n, length(word) AS l FROM counted WHERE length(word) >= 6 AND n >= 5),
+gaps AS (
+  SELECT word, n, l, i, substr(word, 1, CAST(i AS INTEGER) - 1) || substr(word, CAST(i AS INTEGER) + 1) AS rest
+  FROM (SELECT *, unnest(range(1, l + 1)) AS i FROM vocabulary)),
+inserted AS (SELECT DISTINCT g.word AS long, g.n AS long_n, v.word AS short, v.n AS short_n FROM gaps g JOIN vocabulary v ON v.word = g.rest),
+near AS (
+  SELECT x.word, y.word AS other, y.n FROM gaps x JOIN gaps y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+  UNION ALL SELECT long, short, short_n FROM inserted UNION ALL SELECT short, long, long_n FROM inserted),
+best AS (SELECT word, count(*) AS n_near, min({{'less': -n, 'other': other}}) AS b FROM near GROUP BY word),
+forms AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.less >= 5 * v.n THEN b.other END AS form, CASE WHEN -b.less >= 5 * v.n THEN -b.less END AS form_n
+  FROM vocabulary v LEFT JOIN best USING (word)),
+walk AS (
+  SELECT word, word AS at FROM forms
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN forms f ON f.word = walk.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, walk.at AS root
+FROM forms f JOIN walk USING (word) JOIN forms e ON e.word = walk.at AND e.form IS NULL
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_chat": op2_chat,
@@ -128,6 +228,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_maxscore": op8_maxscore,
     "op9_line_dedup": op9_line_dedup,
     "op10_language_id": op10_language_id,
+    "op11_minhash": op11_minhash,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_spelling": op13_spelling,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_maxscore": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_chat": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op8_maxscore": OP8_SQL, "op11_minhash": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_spelling": OP13_SQL}
