@@ -8,7 +8,7 @@ after more rounds of few throws. Equal coordinates of two sketches estimate the
 similarity with the concentration of independent draws.
 
 Documents of one and the same set are one node. Nodes meet if all coordinates of a band agree
-and their one-bit sketches are not too far apart, and are linked if their full sets are similar
+and the bit planes of their coordinates do not differ too much, and are linked if their full sets are similar
 enough. Large groups of copies are gathered by stars: each bucket's members meet one of them,
 another one each turn; only what then is still unconnected is compared in full.
 """
@@ -27,9 +27,10 @@ from pyspark.sql import functions as F
 
 from panolith.llm.components import connected_components
 from panolith.llm.simhash import SMALL_ROWS, _portions, _shingle_sets
-from panolith.session import Scratch
+from panolith.session import Scratch, arrow_batches
 
 SIZE, ROWS = 256, 8  # coordinates of a sketch, coordinates of a band
+PLANES = 4  # hashed bits of each coordinate that are kept to rule out pairs
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 VALUE_BITS = np.uint64(44)
 THROWS = 1 << 20  # elements thrown at once
@@ -82,20 +83,20 @@ def band_keys(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return key
 
 
-def one_bit(sketch: np.ndarray) -> np.ndarray:
-    """(sets, words): a hashed bit of every coordinate, 64 to a word."""
-    bits = (_mixed(sketch) & np.uint64(1)).astype(np.uint8)
-    return np.packbits(bits, axis=1, bitorder="little").view("<u8")
+def bit_planes(sketch: np.ndarray, planes: int = PLANES) -> np.ndarray:
+    """(sets, planes * words): hashed bits of every coordinate, a plane after the other, 64 coordinates to a word."""
+    h = _mixed(sketch)
+    return np.concatenate([np.packbits((h >> np.uint64(p) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<u8") for p in range(planes)], axis=1)
 
 
-def farthest(least: float, size: int, deviations: float = 6.0) -> int:
-    """Differing bits of one-bit sketches that sets of similarity ``least`` exceed only beyond so many standard deviations."""
-    p = (1 - least) / 2
+def farthest(least: float, size: int, planes: int = PLANES, deviations: float = 4.5) -> int:
+    """Coordinates in which the planes of sets of similarity ``least`` differ, but for 3 in a million (at 4.5 standard deviations)."""
+    p = (1 - least) * (1 - 0.5**planes)
     return int(size * p + deviations * sqrt(size * p * (1 - p))) + 1
 
 
 def sketched(docs: DataFrame, words: int, size: int = SIZE, rows: int = ROWS) -> DataFrame:
-    """uid, n (different shingles), k0, k1 (128 bits that tell the set), f (one-bit sketch), bands; of ``docs`` (uid, text)."""
+    """uid, n (different shingles), k0, k1 (128 bits that tell the set), f (bit planes), bands; of ``docs`` (uid, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,12 +104,12 @@ def sketched(docs: DataFrame, words: int, size: int = SIZE, rows: int = ROWS) ->
                 sets = _shingle_sets(texts, words)
                 n = np.array([len(s) for s in sets], np.int64)
                 some = np.flatnonzero(n)
-                f, bands = np.zeros((len(sets), size // 64), np.uint64), np.zeros((len(sets), size // rows), np.uint64)
+                f, bands = np.zeros((len(sets), PLANES * size // 64), np.uint64), np.zeros((len(sets), size // rows), np.uint64)
                 lo = 0
                 while lo < len(some):
                     hi = lo + max(1, int(np.searchsorted(np.cumsum(n[some[lo:]]), THROWS)))
                     made = sketches([sets[i] for i in some[lo:hi]], size)
-                    f[some[lo:hi]], bands[some[lo:hi]] = one_bit(made), band_keys(made, rows)
+                    f[some[lo:hi]], bands[some[lo:hi]] = bit_planes(made), band_keys(made, rows)
                     lo = hi
                 keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
                 yield pa.RecordBatch.from_arrays([uids, pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[_lists(x, n > 0) for x in (f, bands)]], names=["uid", "n", "k0", "k1", "f", "bands"])
@@ -141,10 +142,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
     return both.where(common * (least.denominator + least.numerator) >= total * least.numerator).select("a", "b")
 
 
-def _far(least: Fraction, words: int, size: int) -> str:
-    """Whether x and y are too different for the threshold, by their sizes and one-bit sketches."""
-    bits = " + ".join(f"bit_count(x.f[{i}] ^ y.f[{i}])" for i in range(words))
-    return f"least(x.n, y.n) * {least.denominator} < greatest(x.n, y.n) * {least.numerator} OR {bits} > {farthest(float(least), size)}"
+def _apart(size: int) -> str:
+    """SQL for the number of coordinates in which x and y are seen to differ."""
+    words = size // 64
+    return " + ".join("bit_count(" + " | ".join(f"(x.f[{p * words + i}] ^ y.f[{p * words + i}])" for p in range(PLANES)) + ")" for i in range(words))
+
+
+def _far(least: Fraction, size: int) -> str:
+    """Whether x and y are too different for the threshold, by their sizes and bit planes."""
+    return f"x.n * {least.denominator} < y.n * {least.numerator} OR y.n * {least.denominator} < x.n * {least.numerator} OR {_apart(size)} > {farthest(float(least), size)}"
 
 
 def near_links(heads: DataFrame, docs: DataFrame, words: int, least: Fraction, size: int, held: Scratch) -> DataFrame:
@@ -158,7 +164,7 @@ def near_links(heads: DataFrame, docs: DataFrame, words: int, least: Fraction, s
     sets = held(shingle_sets(docs.join(few, "uid", "left_semi"), words), "minhash-sets")
     shared = held(met.join(heads.select("uid", "n", "f"), "uid"), "minhash-shared")
     documents = some.count()
-    far = _far(least, size // 64, size)
+    far, apart = _far(least, size), _apart(size)
     links = shared.select(F.col("uid").alias("a"), F.col("uid").alias("b")).limit(0)
     marked = shared.withColumn("c", F.col("uid"))
     for turn in range(TURNS):
@@ -166,7 +172,6 @@ def near_links(heads: DataFrame, docs: DataFrame, words: int, least: Fraction, s
         stars = marked.groupBy("h").agg(pick, F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("h", "y.*").drop("o")
         stars = held(stars, "minhash-stars")
         meet = marked.alias("x").join(stars.alias("y"), F.expr(f"x.h = y.h AND x.c <> y.c AND NOT ({far})"))
-        apart = " + ".join(f"bit_count(x.f[{i}] ^ y.f[{i}])" for i in range(size // 64))
         nearest = meet.groupBy(F.col("x.uid").alias("uid")).agg(F.min(F.struct(F.expr(apart).alias("d"), F.col("y.uid").alias("to")))["to"].alias("to"))
         pairs = held(nearest.select(F.least("uid", "to").alias("a"), F.greatest("uid", "to").alias("b")), "minhash-pairs")
         found = held(_verified(pairs, sets, least), "minhash-found")
@@ -182,7 +187,8 @@ def near_links(heads: DataFrame, docs: DataFrame, words: int, least: Fraction, s
     open_ = held(sizes.groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", "top"), "minhash-open")
     left = held(marked.join(open_, "h"), "minhash-left")
     x, y = left.where("c <> top").alias("x"), left.alias("y")
-    pairs = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND NOT ({far})")).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+    rest = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND NOT ({far})")).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
+    pairs = held(rest.distinct(), "minhash-left-pairs")
     return links.unionByName(held(_verified(pairs, sets, least), "minhash-rest"))
 
 
@@ -197,7 +203,7 @@ def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, size: int = S
     other columns have no say, an empty table gives no rows.
     """
     least = Fraction(percent, 100)
-    with Scratch(docs.sparkSession) as held:
+    with arrow_batches(docs.sparkSession), Scratch(docs.sparkSession) as held:
         keyed = held(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), "minhash-docs")
         sketch = held(sketched(keyed, words, size, rows), "minhash-sketches")
         nodes = held(sketch.where("n > 0").groupBy("k0", "k1").agg(F.min("uid").alias("node")), "minhash-nodes")
