@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panolith.functions import geometry as G
-
-BOX = ("cx", "cy", "w", "h")
-
-
-def _item(*names: str) -> Column:
-    return F.struct((-F.col("conf")).alias("neg"), F.col("ord"), *[F.col(n) for n in names])
+from panolith.operators.cells import BOX, outside, overlaps
+from panolith.session import Scratch
 
 
 def outside_ignores(dets: DataFrame, ignores: DataFrame) -> DataFrame:
     """Detections whose centre lies in no ignore box of their panorama, bounds included.
 
     Ignore boxes (corners in panorama units) of all tiles of a panorama hold for all its
-    detections; they come as one array per panorama, so nothing fans out.
+    detections; centres and boxes meet by grid cell.
     """
-    per = ignores.groupBy("pid").agg(F.collect_set(F.struct("x1", "y1", "x2", "y2")).alias("boxes"))
-    inside = F.exists("boxes", lambda b: (F.col("cx") >= b["x1"]) & (F.col("cx") <= b["x2"]) & (F.col("cy") >= b["y1"]) & (F.col("cy") <= b["y2"]))
-    return dets.join(per, "pid", "left").where(~F.coalesce(inside, F.lit(False))).drop("boxes")
+    return outside(dets, ignores)
 
 
 def nms(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Greedy suppression within (pid, cat): highest confidence first (ties by ord), IoU of ``threshold`` or more goes.
 
-    One fold over the sorted array of a group; a group is one class on one panorama.
+    Boxes of one class that overlap enough are edges from the earlier to the later one. In each
+    round, boxes that no edge leads to are kept and what they lead to goes, with its edges, until
+    no edge is left: the same boxes as one after another, without an order over all of a group.
     """
+    if threshold <= 0:
+        raise ValueError("threshold must be positive")
     extra = [c for c in dets.columns if c not in ("pid", "cat", "conf", "ord", *BOX)]
-    groups = dets.groupBy("pid", "cat").agg(F.array_sort(F.collect_list(_item("conf", *BOX, *extra))).alias("a"))
-    empty = F.filter("a", lambda x: F.lit(False))
-    kept = F.aggregate("a", empty, lambda acc, d: F.when(F.exists(acc, lambda b: G.iou_xyxy(G.to_xyxy(b), G.to_xyxy(d)) >= threshold), acc).otherwise(F.array_append(acc, d)))
-    return groups.select("pid", "cat", F.explode(kept).alias("d")).select("pid", "cat", "d.ord", "d.conf", *[f"d.{c}" for c in (*BOX, *extra)])
+    with Scratch(dets.sparkSession) as held:
+        own = held(dets.select("pid", "cat", "ord", "conf", *BOX, *extra).withColumn("_uid", F.monotonically_increasing_id()), "nms-boxes")
+        lean = own.select("pid", "cat", "_uid", "ord", "conf", *BOX)
+        rank = lambda s: F.struct(-F.col(f"{s}.conf"), F.col(f"{s}.ord"), F.col(f"{s}._uid"))
+        pairs = overlaps(lean, lean, ("pid", "cat"), ("_uid", "ord", "conf"), ("_uid", "ord", "conf")).where(rank("a") < rank("b"))
+        edges = held(pairs.where(G.iou_xyxy(G.to_xyxy(F.col("a")), G.to_xyxy(F.col("b"))) >= threshold).select(F.col("a._uid").alias("hi"), F.col("b._uid").alias("lo")), "nms-edges")
+        gone = edges.select(F.col("lo").alias("_uid")).limit(0)
+        while not edges.isEmpty():
+            first = edges.join(edges.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
+            now = held(first.select(F.col("lo").alias("_uid")).distinct(), "nms-gone")
+            gone = gone.unionByName(now)
+            edges = held(edges.join(now, F.col("lo") == F.col("_uid"), "left_anti").join(now, F.col("hi") == F.col("_uid"), "left_anti"), "nms-edges")
+        return held.result(own.join(gone, "_uid", "left_anti").drop("_uid"), "nms")
 
 
 def reconstruct(tile_dets: DataFrame, ignores: DataFrame, threshold: float = 0.5, size: int = G.PANORAMA) -> DataFrame:

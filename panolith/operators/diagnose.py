@@ -2,47 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panolith.functions import geometry as G
-from panolith.operators.detect import BOX, at_confidence
+from panolith.operators.cells import overlaps
+from panolith.operators.detect import at_confidence
 from panolith.operators.metrics import match
 
 HIT, NEAR = 0.5, 0.3
 
 
-CELLS = 16  # of the grid along a panorama's side; boxes meet in the cells they share
-
-
-def _in_cells(boxes: DataFrame) -> DataFrame:
-    """Each box once for every cell of the grid that it touches, with its corners."""
-    def cell(edge) -> Column:
-        return F.least(F.greatest(F.floor(edge * CELLS), F.lit(0)), F.lit(CELLS - 1))
-
-    cornered = boxes.withColumns({"x1": F.col("cx") - F.col("w") / 2, "x2": F.col("cx") + F.col("w") / 2, "y1": F.col("cy") - F.col("h") / 2, "y2": F.col("cy") + F.col("h") / 2})
-    wide = cornered.withColumn("i", F.explode(F.sequence(cell(F.col("x1")), cell(F.col("x2")))))
-    return wide.withColumn("j", F.explode(F.sequence(cell(F.col("y1")), cell(F.col("y2")))))
-
-
-def overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a, b (structs of cat, ord and the box) and iou: every pair of one panorama with a common area, once.
-
-    Both sides are dealt by (panorama, grid cell), so a crowded panorama is not one task's and
-    boxes far apart never meet; a pair counts in the cell of the upper left corner of what it shares.
-    """
-    own = F.struct("cat", "ord", *BOX)
-    left = _in_cells(a).select("pid", "i", "j", own.alias("a"), F.col("x1").alias("ax"), F.col("y1").alias("ay"), F.col("x2").alias("ax2"), F.col("y2").alias("ay2"))
-    right = _in_cells(b).select("pid", "i", "j", own.alias("b"), F.col("x1").alias("bx"), F.col("y1").alias("by"), F.col("x2").alias("bx2"), F.col("y2").alias("by2"))
-    x, y = F.greatest("ax", "bx"), F.greatest("ay", "by")
-    apart = (x >= F.least("ax2", "bx2")) | (y >= F.least("ay2", "by2"))
-
-    def here(edge, at) -> Column:
-        return F.least(F.greatest(F.floor(edge * CELLS), F.lit(0)), F.lit(CELLS - 1)) == F.col(at)
-
-    met = left.join(right, ["pid", "i", "j"]).where(~apart & here(x, "i") & here(y, "j"))
-    return met.select("pid", "a", "b", G.iou(F.col("a"), F.col("b")).alias("iou"))
-
 
 def greedy_hits(gts: DataFrame, dets: DataFrame, threshold: float = HIT) -> DataFrame:
     """pid, cat, ord (detection), gi: same-class matches; on equal IoU the last object wins."""

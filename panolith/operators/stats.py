@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panolith.functions import geometry as G
-from panolith.operators.metrics import average_precision, scored
-from panolith.session import spill
+from panolith.operators.manifests import numbered
+from panolith.operators.metrics import STEPS, average_precision, scored
+from panolith.session import Scratch
 
 #: Two-sided 95 % points of Student's t for 1 to 12 degrees of freedom, then the normal's.
 T95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179)
@@ -51,48 +55,208 @@ def percentile(column: str, q: float) -> Column:
     return F.percentile(column, F.lit(q))
 
 
-def bootstrap_weights(pids: DataFrame, replicas: int, seed: int = 0) -> DataFrame:
-    """replica, pid, m: how often each panorama is drawn when as many are drawn with replacement.
+BLOCK = 100  # replicas that are worked on side by side
+_MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+SLOTS = 1 << 16  # drawn at once
+PANORAMAS = 1 << 20  # counted in one task
 
-    Slot s of replica b draws panorama number hash(seed, b, s) mod n, whatever the partitioning.
-    """
-    n = pids.count()
-    numbered = pids.select("pid", (F.row_number().over(W.orderBy("pid")) - 1).cast("long").alias("i"))
-    spark = pids.sparkSession
-    draws = spark.range(replicas).select(F.col("id").alias("replica"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("slot"))
-    drawn = draws.select("replica", F.pmod(F.xxhash64(F.lit(seed), "replica", "slot"), F.lit(n)).alias("i")).groupBy("replica", "i").agg(F.count("*").alias("m"))
-    return drawn.join(numbered, "i").select("replica", "pid", "m")
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """The finaliser of splitmix64."""
+    z = (z ^ (z >> np.uint64(30))) * _MIX[0]
+    z = (z ^ (z >> np.uint64(27))) * _MIX[1]
+    return z ^ (z >> np.uint64(31))
+
+
+def drawn(replica: np.ndarray, slots: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """(replicas, slots): which of ``n`` panoramas each slot of each replica draws, by hash."""
+    own = _mixed(np.full(1, seed, np.uint64) * _STEP + replica.astype(np.uint64))
+    return (_mixed(own[:, None] + slots.astype(np.uint64)[None, :] * _STEP) % np.uint64(n)).astype(np.int64)
 
 
-def bootstrap_delta(treatment: DataFrame, baseline: DataFrame, gts: DataFrame, tail: list[int] | None = None, replicas: int = 200, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """One row: mean, low and high of the difference in macro AP (and over ``tail`` classes).
+def bootstrap_weights(pids: DataFrame, replicas: int, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """pid, block, w: how often each panorama is drawn in each replica of the block, a byte each.
 
-    Runs (pid, cat, seed, ord, conf, box) resampled by panorama. Matches never cross
-    panoramas, so each run is matched once and a replica only weighs its rows; several
-    metrics come from one pass.
+    As many panoramas are drawn as there are, with replacement: slot s of replica b draws number
+    hash(seed, b, s) mod n, whatever the partitioning. A task counts a block of replicas for a
+    range of at most PANORAMAS panoramas, drawing slots a few at a time.
     """
-    spark = gts.sparkSession
-    truth_rows = gts.select("pid", "cat", "ord", *[c for c in ("cx", "cy", "w", "h")])
-    runs = []
-    for arm, frame in (("t", treatment), ("b", baseline)):
-        for s in [r[0] for r in frame.select("seed").distinct().orderBy("seed").collect()]:
-            rows = scored(frame.where(F.col("seed") == s), truth_rows).select(F.lit(arm).alias("arm"), F.lit(s).alias("seed"), "pid", "cat", "ord", "conf", "tp")
-            runs.append(rows)
-    rows = runs[0]
-    for r in runs[1:]:
-        rows = rows.unionByName(r)
-    rows, _ = spill(rows, "bootstrap-rows")
-    weights, _ = spill(bootstrap_weights(gts.select("pid").distinct(), replicas, seed), "bootstrap-weights")
-    arms = rows.select("arm", "seed").distinct().unionByName(spark.createDataFrame([("t", 0), ("b", 0)], rows.select("arm", "seed").schema).limit(0)).distinct()
-    n_gt = weights.join(gts.groupBy("pid", "cat").agg(F.count("*").alias("n")), "pid").groupBy("replica", "cat").agg(F.sum(F.col("m") * F.col("n")).alias("n_gt"))
-    truth, _ = spill(n_gt.crossJoin(F.broadcast(arms)), "bootstrap-truth")
-    keys = ["arm", "seed", "replica", "cat"]
-    ap = average_precision(rows.join(weights, "pid"), truth, keys, F.col("m"))
+    own = numbered(pids.distinct(), ["pid"], "i")
+    n = own.count()
+    spark = pids.sparkSession
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, lo in zip(*(c.to_pylist() for c in batch.columns)):
+                replica = np.arange(b * block, min((b + 1) * block, replicas))
+                hi = min(lo + PANORAMAS, n)
+                counts = np.zeros((hi - lo) * block, np.uint32)
+                for at in range(0, n, SLOTS):
+                    i = drawn(replica, np.arange(at, min(at + SLOTS, n)), n, seed) - lo
+                    lane = np.broadcast_to(np.arange(len(replica))[:, None], i.shape)
+                    inside = (i >= 0) & (i < hi - lo)
+                    counts += np.bincount(i[inside] * block + lane[inside], minlength=len(counts)).astype(np.uint32)
+                if len(counts) and counts.max() > 255:
+                    raise OverflowError("a panorama was drawn over 255 times in one replica")
+                rows = counts.astype(np.uint8).reshape(hi - lo, block)
+                for first in range(0, hi - lo, 10_000):
+                    part = rows[first : first + 10_000]
+                    values = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer((np.arange(len(part) + 1) * block).astype(np.int32)), pa.py_buffer(part.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo + first, lo + first + len(part))), pa.array(np.full(len(part), b)), values], names=["i", "block", "w"])
+
+    blocks = -(-replicas // block)
+    tasks = spark.range(blocks).crossJoin(spark.range(-(-n // PANORAMAS)).select((F.col("id") * PANORAMAS).alias("lo"))).select(F.col("id").alias("block"), "lo")
+    counted = tasks.repartition(max(1, min(blocks * -(-n // PANORAMAS), 4096)), "block", "lo").mapInArrow(run, "i long, block long, w binary")
+    return counted.join(own, "i").select("pid", "block", "w")
+
+
+def _weights_of(column: pa.Array, block: int) -> np.ndarray:
+    offset = column.offset
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    start = np.frombuffer(column.buffers()[1], np.int32)[offset]
+    return data[start : start + len(column) * block].reshape(len(column), block)
+
+
+class _Curve:
+    """Precision over recall of one run and class, for a block of replicas side by side."""
+
+    THRESHOLDS = np.arange(STEPS) * 0.01
+
+    def __init__(self, n_gt: np.ndarray):
+        self.n_gt = n_gt
+        self.hits = np.zeros(len(n_gt), np.int64)
+        self.all = np.zeros(len(n_gt), np.int64)
+        self.best = np.zeros((STEPS + 1, len(n_gt)))  # by the number of thresholds reached, the best precision at a hit
+
+    def add(self, tp: np.ndarray, weights: np.ndarray) -> None:
+        """Detections by falling confidence, each as often as its panorama was drawn."""
+        seen = np.cumsum(weights, axis=0, dtype=np.int64) + self.all
+        hits = np.cumsum(weights * tp[:, None], axis=0, dtype=np.int64) + self.hits
+        self.all, self.hits = seen[-1], hits[-1]
+        row, lane = np.nonzero(tp[:, None] & (weights > 0) & (self.n_gt > 0))
+        h = hits[row, lane]
+        reached = np.searchsorted(self.THRESHOLDS, h / self.n_gt[lane], side="right")
+        np.maximum.at(self.best, (reached, lane), h / seen[row, lane])
+
+    def ap(self) -> np.ndarray:
+        """The mean over thresholds of the best precision at or beyond each; nan without objects."""
+        beyond = np.maximum.accumulate(self.best[::-1], axis=0)[::-1][1:]
+        return np.where(self.n_gt > 0, beyond.sum(axis=0) / STEPS, np.nan)
+
+
+def _replica_ap(block: int):
+    """arm, seed, cat, block, ap (of each replica) from rows of a partition sorted so that each
+    group's numbers of objects come first and then its detections by falling confidence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, curve, done = None, None, []
+
+        def out() -> pa.RecordBatch:
+            keys = list(zip(*(k for k, _ in done))) or [()] * 4
+            values = pa.array([list(v) for _, v in done], pa.list_(pa.float64()))
+            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(keys, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], values], names=["arm", "seed", "cat", "block", "ap"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            arm, seed, cat, number, n_gt, tp, w = batch.columns
+            codes = [c.to_numpy(zero_copy_only=False) for c in (arm.dictionary_encode().indices, seed, cat, number)]
+            begin = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
+            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows]):
+                key = tuple(c[lo].as_py() for c in (arm, seed, cat, number))
+                if key != group:
+                    if group is not None:
+                        done.append((group, curve.ap()))
+                    group, curve = key, _Curve(np.array(n_gt[lo].as_py(), np.int64))
+                    lo += 1
+                if hi > lo:
+                    curve.add(tp.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool), _weights_of(w.slice(lo, hi - lo), block))
+            if len(done) >= 100:
+                yield out()
+                done = []
+        if group is not None:
+            done.append((group, curve.ap()))
+        yield out()
+
+    return run
+
+
+def _summed_weights(block: int):
+    """cat, block, n_gt (a partial sum for each replica) from rows (cat, block, n, w)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cat, number, n, w = batch.columns
+            weighted = _weights_of(w, block).astype(np.int64) * n.to_numpy()[:, None]
+            keys = np.stack([cat.to_numpy(), number.to_numpy()], axis=1)
+            groups, place = np.unique(keys, axis=0, return_inverse=True)
+            part = np.zeros((len(groups), block), np.int64)
+            np.add.at(part, place.ravel(), weighted)
+            for key, x in zip(map(tuple, groups.tolist()), part):
+                sums[key] = sums[key] + x if key in sums else x
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["cat", "block", "n_gt"])
+
+    return run
+
+
+def bootstrap_aps(rows: DataFrame, gts: DataFrame, replicas: int = 1000, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """arm, seed, cat, replica, ap50 (null without objects): every run's AP in every replica.
+
+    ``rows`` (arm, seed, pid, cat, ord, conf, tp) are matched once: matches never cross
+    panoramas, so a replica only weighs rows. Rows meet their panorama's weights a block of
+    replicas at a time and are sorted once; a kernel then adds up hits for the whole block, in
+    one pass that holds a few rows and the best precision for each threshold.
+    """
+    with Scratch(gts.sparkSession) as held:
+        weights = held(bootstrap_weights(gts.select("pid"), replicas, seed, block), "bootstrap-weights")
+        counts = gts.groupBy("pid", "cat").agg(F.count("*").alias("n"))
+        partial = counts.join(weights, "pid").select(F.col("cat").cast("long").alias("cat"), "block", "n", "w").mapInArrow(_summed_weights(block), "cat long, block long, n_gt array<long>")
+        whole = partial.select("cat", "block", F.posexplode("n_gt")).groupBy("cat", "block", "pos").agg(F.sum("col").alias("n"))
+        truth = held(whole.groupBy("cat", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("n_gt")), "bootstrap-truth")
+        runs = held(rows.select("arm", F.col("seed").cast("long").alias("seed")).distinct(), "bootstrap-runs")
+        heads = truth.join(F.broadcast(runs)).select("arm", "seed", "cat", "block", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("pid"), "n_gt", F.lit(None).cast("boolean").alias("tp"), F.lit(None).cast("binary").alias("w"))
+        known = rows.join(F.broadcast(truth.select("cat").distinct()), "cat", "left_semi")
+        drawn_rows = known.join(weights, "pid").select("arm", F.col("seed").cast("long").alias("seed"), F.col("cat").cast("long").alias("cat"), "block", F.lit(1).alias("kind"), "conf", "ord", "pid", F.lit(None).cast("array<long>").alias("n_gt"), "tp", "w")
+        group = ["arm", "seed", "cat", "block"]
+        ordered = heads.unionByName(drawn_rows).repartition(*group).sortWithinPartitions(*group, "kind", F.desc("conf"), "ord", "pid")
+        ap = ordered.select(*group, "n_gt", "tp", "w").mapInArrow(_replica_ap(block), "arm string, seed long, cat long, block long, ap array<double>")
+        flat = ap.select("arm", "seed", "cat", "block", F.posexplode("ap").alias("lane", "ap50"))
+        out = flat.select("arm", "seed", "cat", (F.col("block") * block + F.col("lane")).alias("replica"), F.when(~F.isnan("ap50"), F.col("ap50")).alias("ap50"))
+        return held.result(out.where(F.col("replica") < replicas), "bootstrap-ap")
+
+
+def bootstrap_deltas(treatment: DataFrame, baseline: DataFrame, gts: DataFrame, tail: list[int] | None = None, replicas: int = 200, seed: int = 0, block: int = BLOCK) -> DataFrame:
+    """replica, macro (and tail): the difference in macro AP of each replica, means over seeds.
+
+    Runs (pid, cat, seed, ord, conf, box) resampled by panorama; several metrics come from one
+    pass. A class without objects in a replica is left out, a run without any counts as 0.
+    """
+    truth_rows = gts.select("pid", "cat", "ord", "cx", "cy", "w", "h")
+    with Scratch(gts.sparkSession) as held:
+        runs = []
+        for arm, frame in (("t", treatment), ("b", baseline)):
+            for s in [r[0] for r in frame.select("seed").distinct().orderBy("seed").collect()]:
+                matched = scored(frame.where(F.col("seed") == s), truth_rows)
+                runs.append(held(matched.select(F.lit(arm).alias("arm"), F.lit(s).cast("long").alias("seed"), "pid", "cat", "ord", "conf", "tp"), "bootstrap-rows"))
+        rows = runs[0]
+        for r in runs[1:]:
+            rows = rows.unionByName(r)
+        ap = bootstrap_aps(rows, gts, replicas, seed, block)
     metrics = {"macro": F.avg("ap50")} | ({"tail": F.avg(F.when(F.col("cat").isin(*tail), F.col("ap50")))} if tail else {})
     per_run = ap.groupBy("arm", "seed", "replica").agg(*[m.alias(k) for k, m in metrics.items()])
-    per = per_run.groupBy("replica").agg(*[(F.avg(F.when(F.col("arm") == "t", F.coalesce(k, F.lit(0.0)))) - F.avg(F.when(F.col("arm") == "b", F.coalesce(k, F.lit(0.0))))).alias(k) for k in metrics])
+    side = lambda arm, k: F.avg(F.when(F.col("arm") == arm, F.coalesce(k, F.lit(0.0))))
+    return per_run.groupBy("replica").agg(*[(side("t", k) - side("b", k)).alias(k) for k in metrics])
+
+
+def bootstrap_delta(treatment: DataFrame, baseline: DataFrame, gts: DataFrame, tail: list[int] | None = None, replicas: int = 200, seed: int = 0, level: float = 0.95, block: int = BLOCK) -> DataFrame:
+    """One row: mean, low and high of the difference in macro AP (and over ``tail`` classes) over replicas."""
+    per = bootstrap_deltas(treatment, baseline, gts, tail, replicas, seed, block)
     edge = (1 - level) / 2
-    return per.agg(*[x.alias(f"{k}_{n}") for k in metrics for n, x in (("mean", F.avg(k)), ("low", percentile(k, edge)), ("high", percentile(k, 1 - edge)))])
+    return per.agg(*[x.alias(f"{k}_{n}") for k in per.columns[1:] for n, x in (("mean", F.avg(k)), ("low", percentile(k, edge)), ("high", percentile(k, 1 - edge)))])
 
 
 def class_report(report: DataFrame, baseline: str) -> DataFrame:

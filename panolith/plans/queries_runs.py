@@ -41,14 +41,51 @@ def value_percentiles(spark, d):
     return D.table(spark, d, "events").groupBy("event_type").agg(*[F.round(stats.percentile("value", q), 6).alias(n) for q, n in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))])
 
 
-@query()
-def bootstrap_contrast(spark, d):
+def _contrast(spark, d):
     t = D.detections(spark, d, 0).withColumn("seed", F.lit(0))
     b = D.detections(spark, d, 1).where(F.col("ord") % 5 != 0).withColumn("seed", F.lit(0))
-    out = stats.bootstrap_delta(t, b, D.ground_truth(spark, d), tail=[0, 1, 2, 3], replicas=1000)
+    return t, b, D.ground_truth(spark, d)
+
+
+@query()
+def bootstrap_contrast(spark, d):
+    out = stats.bootstrap_delta(*_contrast(spark, d), tail=[0, 1, 2, 3], replicas=1000)
     return out.select(*[F.round(c, 6).alias(c) for c in out.columns])
 
 
+def _mix(z: str) -> str:
+    """The finaliser of splitmix64 over 128-bit integers."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = f"((SELECT xor(z, z >> {shift}) * {factor}::UHUGEINT % {1 << 64}::UHUGEINT FROM (SELECT {z} AS z)))"
+    return f"(SELECT xor(z, z >> 31) FROM (SELECT {z} AS z))"
+
+
+_GOLDEN = f"{0x9E3779B97F4A7C15}::UHUGEINT"
+_FAR = 10**9  # panoramas of the second run, so that one fold matches both
+REPLICAS = 40
+
+
+@query(f"""{OD}, {D.dets_sql(1, "dets1")},
+  g AS (SELECT pid, cat, ord, cx, cy, w, h FROM gts UNION ALL SELECT pid + {_FAR}, cat, ord, cx, cy, w, h FROM gts),
+  e AS (SELECT pid, cat, ord, conf, cx, cy, w, h FROM dets UNION ALL SELECT pid + {_FAR}, cat, ord, conf, cx, cy, w, h FROM dets1 WHERE ord % 5 <> 0), {FIRST},
+  rows AS (SELECT CASE WHEN pid < {_FAR} THEN 't' ELSE 'b' END AS arm, pid % {_FAR} AS pid, cat, ord, conf, gi IS NOT NULL AS tp FROM matched),
+  pan AS (SELECT pid, row_number() OVER (ORDER BY pid) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT pid FROM gts)),
+  own AS (SELECT r AS replica, {_mix("r::UHUGEINT")} AS k FROM range({REPLICAS}) t(r)),
+  draws AS (SELECT replica, CAST({_mix(f"(k + i::UHUGEINT * {_GOLDEN}) % {1 << 64}::UHUGEINT")} % n::UHUGEINT AS BIGINT) AS i FROM own, pan),
+  w AS (SELECT replica, pid, count(*) AS m FROM draws JOIN pan USING (i) GROUP BY ALL),
+  truth AS (SELECT replica, cat, sum(m * k) AS n_gt FROM w JOIN (SELECT pid, cat, count(*) AS k FROM gts GROUP BY ALL) USING (pid) GROUP BY ALL),
+  curve AS (SELECT arm, replica, cat, tp, sum(m * tp::INT) OVER o AS hits, sum(m) OVER o AS seen FROM rows JOIN w USING (pid) WINDOW o AS (PARTITION BY arm, replica, cat ORDER BY conf DESC, ord, pid ROWS UNBOUNDED PRECEDING)),
+  best AS (SELECT arm, replica, cat, len(list_filter(range(0, 101), lambda i: i * CAST(0.01 AS DOUBLE) <= hits::DOUBLE / n_gt::DOUBLE)) AS reached, max(hits::DOUBLE / seen::DOUBLE) AS p FROM curve JOIN truth USING (replica, cat) WHERE tp GROUP BY ALL),
+  beyond AS (SELECT arm, replica, cat, i, max(p) AS p FROM best JOIN range(0, 101) t(i) ON i < reached GROUP BY ALL),
+  ap AS (SELECT arm, replica, cat, sum(p) / 101 AS ap FROM beyond GROUP BY ALL),
+  every AS (SELECT a.arm, replica, cat, coalesce(ap, 0) AS ap FROM truth CROSS JOIN (VALUES ('t'), ('b')) a(arm) LEFT JOIN ap USING (arm, replica, cat)),
+  per AS (SELECT arm, replica, avg(ap) AS macro, coalesce(avg(ap) FILTER (WHERE cat < 4), 0) AS tail FROM every GROUP BY ALL)
+  SELECT t.replica, round(t.macro - b.macro, 6) AS macro, round(t.tail - b.tail, 6) AS tail FROM per t JOIN per b ON t.replica = b.replica AND t.arm = 't' AND b.arm = 'b'""")
+def bootstrap_replicas(spark, d):
+    out = stats.bootstrap_deltas(*_contrast(spark, d), tail=[0, 1, 2, 3], replicas=REPLICAS)
+    return out.select("replica", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
+
+
 CURVE = "curve AS (SELECT event_type AS arm, CAST(event_id % 12 AS INTEGER) AS epoch, round(avg(value), 6) AS loss, round(1 / (1 + avg(value)), 6) AS map FROM events GROUP BY 1, 2)"
 
 

@@ -1,5 +1,8 @@
 """Hand-computed expectations on small inputs."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +164,64 @@ def test_bootstrap_clear_win(spark):
     assert (r.macro_low, r.macro_high) == pytest.approx((1.0, 1.0))
 
 
+def test_bootstrap_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [("t", s, rng.randrange(9), c, i, rng.choice([0.2, 0.5, 0.5, 0.9, rng.random()]), rng.random() < 0.6) for s in (0, 1) for c in (0, 1, 5) for i in range(40)]
+    objects = [(p, c) for p in range(7) for c in (0, 0, 1, 2) if rng.random() < 0.7]
+    replicas, seed = 7, 11
+    got = {(r.seed, r.cat, r.replica): r.ap50 for r in stats.bootstrap_aps(spark.createDataFrame(rows, "arm string, seed int, pid long, cat long, ord long, conf double, tp boolean"), spark.createDataFrame(objects, "pid long, cat long"), replicas, seed, block=3).collect()}
+    pids = sorted({p for p, _ in objects})
+    want = {}
+    for b in range(replicas):
+        sample = [pids[i] for i in stats.drawn(np.array([b]), np.arange(len(pids)), len(pids), seed)[0]]
+        for s in (0, 1):
+            for c in sorted({c for _, c in objects}):
+                n = sum(sample.count(p) for p, k in objects if k == c)
+                own = sorted(((-x[5], x[4], x[2], x[6]) for x in rows if x[1] == s and x[3] == c for _ in range(sample.count(x[2]))))
+                curve, hits = [], 0
+                for i, x in enumerate(own, 1):
+                    hits += x[3]
+                    curve.append((hits / n if n else 0, hits / i))
+                want[s, c, b] = sum(max((p for r, p in curve if r >= t * 0.01), default=0) for t in range(101)) / 101 if n else None
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    drawn = stats.drawn(np.arange(50), np.arange(200), 10, 1)
+    assert np.bincount(drawn.ravel(), minlength=10).min() > 800  # of 1,000 expected
+
+
+def _one_after_another(dets, gts, last):
+    out = {}
+    for d in sorted(dets, key=lambda x: (-x[3], x[2])):
+        taken = {g for (p, c, _), g in out.items() if (p, c) == d[:2]}
+        scored = [(-_iou(d[4:], g[3:]), -g[2] if last else g[2], g[2]) for g in gts if g[:2] == d[:2] and g[2] not in taken and _iou(d[4:], g[3:]) >= 0.5]
+        out[d[:3]] = min(scored)[2] if scored else None
+    return out
+
+
+def _iou(a, b):
+    w = min(a[0] + a[2] / 2, b[0] + b[2] / 2) - max(a[0] - a[2] / 2, b[0] - b[2] / 2)
+    h = min(a[1] + a[3] / 2, b[1] + b[3] / 2) - max(a[1] - a[3] / 2, b[1] - b[3] / 2)
+    inter = max(w, 0) * max(h, 0)
+    return inter / (a[2] * a[3] + b[2] * b[3] - inter)
+
+
+@pytest.mark.parametrize("last", [False, True])
+def test_crowds_match_and_suppress_as_one_after_another(spark, last):
+    rng = random.Random(8)
+    box = lambda: (0.5 + rng.randrange(12) / 100, 0.5 + rng.randrange(12) / 100, 0.1, 0.1)
+    gts = [(p, c, i, *box()) for p in range(2) for c in range(2) for i in range(25)]
+    dets = [(p, c, 100 + i, rng.randrange(6) / 5, *box()) for p in range(2) for c in range(2) for i in range(60)]
+    d, g = spark.createDataFrame(dets, DET), spark.createDataFrame(gts, "pid long, cat long, ord long, cx double, cy double, w double, h double")
+    got = {(r.pid, r.cat, r.ord): r.gi for r in metrics.match(d, g, last=last).collect()}
+    assert got == _one_after_another(dets, gts, last) and len({v for v in got.values() if v is not None}) > 20
+    kept = []
+    for x in sorted(dets, key=lambda x: (-x[3], x[2])):
+        if all(x[:2] != k[:2] or _iou(x[4:], k[4:]) < 0.5 for k in kept):
+            kept.append(x)
+    assert sorted((r.pid, r.cat, r.ord) for r in detect.nms(d).collect()) == sorted(x[:3] for x in kept)
+    twice = metrics.match(spark.createDataFrame([dets[0]] * 2 + [(None, 0, 1, 0.5, 0.5, 0.5, 0.1, 0.1)], DET), spark.createDataFrame([(*dets[0][:2], 7, *dets[0][4:])], g.schema)).collect()
+    assert sorted((r.gi is None for r in twice)) == [False, True, True]  # one of two equal rows, none without a panorama
+
+
 def test_plateau(spark):
     c = spark.createDataFrame([("flat", e, 1.0) for e in range(10)] + [("falls", e, 3.0 - 0.2 * e) for e in range(10)] + [("short", e, 1.0) for e in range(4)], "arm string, epoch int, loss double")
     assert {r.arm: r.plateaued for r in runs.plateaued(c, ["arm"]).collect()} == {"flat": True, "falls": False, "short": None}
