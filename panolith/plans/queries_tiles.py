@@ -11,7 +11,13 @@ from panolith.plans import derive as D
 from panolith.plans.queries_catalog import _SUBSET, OC
 from panolith.plans.register import query
 
-LINKS = "links AS (SELECT a.id AS a, b.id AS b FROM hashes a JOIN hashes b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 5)"
+#: Classes of equal hashes by their least id: links to their copies, and between classes within five bits.
+LINKS = """classes AS (SELECT hash, min(id) AS id FROM hashes GROUP BY hash),
+  links AS (SELECT a.id AS a, b.id AS b FROM classes a JOIN classes b ON a.id < b.id AND bit_count(xor(a.hash, b.hash)) <= 5
+    UNION ALL SELECT c.id, h.id FROM hashes h JOIN classes c ON c.hash = h.hash AND c.id <> h.id)"""
+GROUPS = """both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+  reach AS (SELECT id, id AS g FROM hashes UNION SELECT b, g FROM reach JOIN both_ways ON a = id),
+  grouped AS (SELECT id, min(g) AS group_id FROM reach GROUP BY id)"""
 
 
 @query(f"WITH {D.HASHES}, {LINKS} SELECT a, b FROM links")
@@ -19,9 +25,7 @@ def near_image_links(spark, d):
     return splits.hamming_links(D.hashes(spark, d))
 
 
-@query(f"""WITH RECURSIVE {D.HASHES}, {LINKS}, both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
-  reach AS (SELECT id, id AS g FROM hashes UNION SELECT b, g FROM reach JOIN both_ways ON a = id)
-  SELECT id, min(g) AS group_id FROM reach GROUP BY id""")
+@query(f"WITH RECURSIVE {D.HASHES}, {LINKS}, {GROUPS} SELECT id, group_id FROM grouped")
 def image_groups(spark, d):
     return splits.build_groups(D.hashes(spark, d))
 
@@ -37,7 +41,31 @@ def _splits(spark, d):
     return splits.make_splits(h, images, o, _subset(D.objects(spark, d)), min_test=5), o
 
 
-@query()
+#: One group after another, then one move after another.
+FOLDED = f"""WITH RECURSIVE {D.HASHES}, {LINKS}, {GROUPS}, {OC.removeprefix('WITH ')}, {_SUBSET},
+  sized AS (SELECT group_id, count(*) AS size FROM grouped GROUP BY group_id),
+  turn AS (SELECT group_id, size, row_number() OVER (ORDER BY sha1('42|' || group_id), group_id) AS r, CAST(sum(size) OVER () AS DOUBLE) AS total FROM sized),
+  fold AS (
+    SELECT 0::BIGINT AS r, 0::BIGINT AS train, 0::BIGINT AS val, 0::BIGINT AS test, '' AS split, -1::BIGINT AS group_id
+    UNION ALL
+    SELECT r, train + CASE split WHEN 'train' THEN size ELSE 0 END, val + CASE split WHEN 'val' THEN size ELSE 0 END, test + CASE split WHEN 'test' THEN size ELSE 0 END, split, group_id
+    FROM (SELECT t.r, t.size, t.group_id, f.train, f.val, f.test,
+            CASE WHEN a >= b AND a >= c THEN 'train' WHEN b >= c THEN 'val' ELSE 'test' END AS split
+          FROM (SELECT *, CAST(0.70 AS DOUBLE) * (SELECT max(total) FROM turn) - train AS a, CAST(0.15 AS DOUBLE) * (SELECT max(total) FROM turn) - val AS b, CAST(0.15 AS DOUBLE) * (SELECT max(total) FROM turn) - test AS c FROM fold) f
+          JOIN turn t ON t.r = f.r + 1) x),
+  counted AS (SELECT g.group_id, s.k, count(*) AS n, any_value(f.split) AS split FROM objects o JOIN grouped g ON g.id = o.pid JOIN (SELECT name, row_number() OVER (ORDER BY name) AS k FROM subset) s USING (name) JOIN fold f ON f.group_id = g.group_id GROUP BY g.group_id, s.k),
+  walk AS (
+    SELECT 1::BIGINT AS k, CAST([] AS BIGINT[]) AS moved
+    UNION ALL
+    SELECT CASE WHEN have >= 5 THEN k + 1 ELSE k END, CASE WHEN have >= 5 THEN moved ELSE list_append(moved, best) END
+    FROM (SELECT w.k, w.moved, coalesce(sum(c.n) FILTER (WHERE c.split = 'test' OR list_contains(w.moved, c.group_id)), 0) AS have,
+            arg_min(c.group_id, (-c.n, c.group_id)) FILTER (WHERE c.split = 'train' AND NOT list_contains(w.moved, c.group_id)) AS best
+          FROM walk w LEFT JOIN counted c ON c.k = w.k WHERE w.k <= (SELECT count(*) FROM subset) GROUP BY w.k, w.moved) x),
+  moves AS (SELECT unnest(moved) AS group_id FROM (SELECT moved FROM walk ORDER BY k DESC, len(moved) DESC LIMIT 1)),
+  splits AS (SELECT g.id, g.group_id, CASE WHEN m.group_id IS NOT NULL THEN 'test' ELSE f.split END AS split FROM grouped g JOIN fold f USING (group_id) LEFT JOIN moves m USING (group_id))"""
+
+
+@query(f"{FOLDED} SELECT id, group_id, split FROM splits")
 def group_splits(spark, d):
     return _splits(spark, d)[0]
 

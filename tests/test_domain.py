@@ -1,5 +1,6 @@
 """Hand-computed expectations on small inputs."""
 
+import hashlib
 import random
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from panolith.functions import geometry as G
 from panolith.functions import names as N
 from panolith.operators import allocation, detect, diagnose, metrics, runs, splits, stats, subset, tiling
+from panolith.session import Scratch
 
 
 def one(df):
@@ -222,6 +224,34 @@ def test_crowds_match_and_suppress_as_one_after_another(spark, last):
     assert sorted((r.gi is None for r in twice)) == [False, True, True]  # one of two equal rows, none without a panorama
 
 
+@pytest.mark.parametrize("hot", [1024, 3])
+def test_hash_links_against_all_pairs(spark, hot):
+    rng = random.Random(2)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows = [(i, rng.choice(base) ^ sum(1 << b for b in rng.sample(range(63), rng.choice([0, 0, 1, 2, 3, 4])))) for i in range(200)] + [(500, None)]
+    got = [(r.a, r.b) for r in splits.hamming_links(spark.createDataFrame(rows, "id long, hash long"), hot=hot).collect()]
+    first = {}
+    for i, h in rows:
+        if h is not None:
+            first.setdefault(h, i)
+    want = {(min(a, b), max(a, b)) for x, a in first.items() for y, b in first.items() if x < y and (x ^ y).bit_count() <= 5}
+    want |= {(first[h], i) for i, h in rows if h is not None and first[h] != i}
+    assert sorted(got) == sorted(want)
+
+
+def test_runs_fill_splits_as_one_after_another(spark):
+    rng = random.Random(4)
+    for sizes in ([1] * 300, [rng.choice([1, 1, 1, 2, 3, 40]) for _ in range(200)], [7], [5, 5, 5, 1, 1]):
+        ratios = {"train": 0.70, "val": 0.15, "test": 0.15}
+        with Scratch(spark) as held:
+            got = {r.group_id: r.split for r in splits.place_groups(spark.createDataFrame(list(enumerate(sizes)), "group_id long, size long"), ratios, 42, held).collect()}
+        now, total = dict.fromkeys(ratios, 0), sum(sizes)
+        for g in sorted(range(len(sizes)), key=lambda g: hashlib.sha1(f"42|{g}".encode()).hexdigest()):
+            best = max(ratios, key=lambda s: ratios[s] * total - now[s])
+            assert got[g] == best
+            now[best] += sizes[g]
+
+
 def test_plateau(spark):
     c = spark.createDataFrame([("flat", e, 1.0) for e in range(10)] + [("falls", e, 3.0 - 0.2 * e) for e in range(10)] + [("short", e, 1.0) for e in range(4)], "arm string, epoch int, loss double")
     assert {r.arm: r.plateaued for r in runs.plateaued(c, ["arm"]).collect()} == {"flat": True, "falls": False, "short": None}
