@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panolith.session import Scratch
+
 
 def prefer_split(split: DataFrame, generic: DataFrame) -> DataFrame:
     """Run rows (arm, seed, headline, dets): of a run with both split files those, else the generic
@@ -91,20 +97,96 @@ def extremes(distances: DataFrame, near: int = 9, far: int = 15) -> DataFrame:
     return nearest.unionByName(farthest)
 
 
-def cluster(vectors: DataFrame, k: int = 20, seed: int = 42, rounds: int = 50) -> DataFrame:
-    """vec_id, cluster, distance to its centre, by k-means over the whole table.
+GRID = 1 << 20  # steps of a unit: sums over vectors are exact, whatever their order
+
+
+def _on_grid(vectors: DataFrame) -> DataFrame:
+    """vec_id, x: vectors in whole steps of the grid, those with a missing or unbounded component left out."""
+    sound = F.col("embedding").isNotNull() & F.forall("embedding", lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(float(1 << 20))))
+    return vectors.where(sound).select("vec_id", F.transform("embedding", lambda v: F.floor(v.cast("double") * GRID)).alias("x"))
+
+
+def _matrix(lists: pa.Array) -> np.ndarray:
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(lists), -1) if len(lists) else np.zeros((0, 0))
+
+
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """(rows, centres): squared distances, a centre at a time."""
+    return np.stack([((x - c) ** 2).sum(axis=1) for c in centres], axis=1)
+
+
+def _partial_sums(centres: np.ndarray):
+    """init, cluster, n, inertia, s of what a task holds, for all starts at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inits, k, d = centres.shape
+        n, inertia, sums = np.zeros((inits, k), np.int64), np.zeros((inits, k)), np.zeros((inits, k, d), np.int64)
+        for batch in batches:
+            whole = _matrix(batch.column(0))
+            for x in (whole[lo : lo + 4096] for lo in range(0, len(whole), 4096)):
+                for i in range(inits):
+                    far = _distances(x.astype(float), centres[i])
+                    near = far.argmin(axis=1)
+                    n[i] += np.bincount(near, minlength=k)
+                    inertia[i] += np.bincount(near, far[np.arange(len(x)), near], minlength=k)
+                    np.add.at(sums[i], near, x)
+        at = np.argwhere(n > 0)
+        yield pa.RecordBatch.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1]), pa.array(n[n > 0]), pa.array(inertia[n > 0]), pa.array(list(sums[n > 0]), pa.list_(pa.int64()))], names=["init", "cluster", "n", "inertia", "s"])
+
+    return run
+
+
+def _summed(points: DataFrame, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The means of what is nearest to each centre (the centre itself where nothing is), and the
+    inertia of each start."""
+    partial = points.select("x").mapInArrow(_partial_sums(centres), "init long, cluster long, n long, inertia double, s array<long>")
+    parts = partial.select("init", "cluster", "n", "inertia", F.posexplode("s").alias("i", "s"))
+    means, inertia = centres.copy(), np.zeros(len(centres))
+    # As many rows as there are components of centres.
+    for r in parts.groupBy("init", "cluster", "i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("inertia").alias("inertia")).collect():
+        means[r.init, r.cluster, r.i] = r.s / r.n
+        inertia[r.init] += r.inertia if r.i == 0 else 0.0
+    return means, inertia
+
+
+def cluster(vectors: DataFrame, k: int = 20, seed: int = 42, rounds: int = 50, n_init: int = 10) -> DataFrame:
+    """vec_id, cluster, distance to its centre: k-means over the whole table, the best of ``n_init`` starts.
 
-    The k centres are the only thing that is broadcast.
+    A start's centres are the ``k`` vectors of least sha1 of (seed, start, vec_id). Lloyd rounds of
+    all starts go through the table together, until no centre moves or ``rounds`` are over; a centre
+    with nothing near it stays. The least inertia to six decimals wins, then the first start.
+    Centres are all that goes out to tasks, and their components all that comes back. Vectors are
+    held on a grid of 2**-20; those with a missing or unbounded component are left out.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    ready = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    model = KMeans(k=k, seed=seed, maxIter=rounds, featuresCol="v", predictionCol="cluster").fit(ready.select(array_to_vector("embedding").alias("v")))
-    centres = ready.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cluster int, centre array<double>")
-    placed = model.transform(ready.withColumn("v", array_to_vector("embedding"))).join(F.broadcast(centres), "cluster")
-    squares = F.aggregate(F.zip_with("embedding", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    return placed.select("vec_id", "cluster", F.sqrt(squares).alias("distance"))
+    spark = vectors.sparkSession
+    with Scratch(spark) as held:
+        points = held(_on_grid(vectors), "cluster-points")
+        draw = F.sha1(F.concat_ws("|", F.lit(str(seed)), F.col("init").cast("string"), F.col("vec_id").cast("string")))
+        order = F.row_number().over(W.partitionBy("init").orderBy(draw, "vec_id"))
+        starts = points.crossJoin(F.broadcast(spark.range(n_init).withColumnRenamed("id", "init"))).withColumn("r", order).where(F.col("r") <= k)
+        first = {(r.init, r.r - 1): r.x for r in starts.select("init", "r", "x").collect()}
+        if not first:
+            return vectors.select("vec_id", F.lit(0).alias("cluster"), F.lit(0.0).alias("distance")).limit(0)
+        k = min(k, 1 + max(c for _, c in first))
+        centres = np.array([[first[i, c] for c in range(k)] for i in range(n_init)], float)
+        for _ in range(rounds):
+            means, _ = _summed(points, centres)
+            if (means == centres).all():
+                break
+            centres = means
+        inertia = np.round(_summed(points, centres)[1] / GRID**2, 6)
+        best = centres[int(inertia.argmin())]
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    far = _distances(_matrix(batch.column(1)).astype(float), best)
+                    near = far.argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near.astype(np.int32)), pa.array(np.sqrt(far[np.arange(len(near)), near]) / GRID)], names=["vec_id", "cluster", "distance"])
+
+        kind = points.schema["vec_id"].dataType.simpleString()
+        return held.result(points.mapInArrow(placed, f"vec_id {kind}, cluster int, distance double"), "clusters")
 
 
 def rare_first(distances: DataFrame) -> DataFrame:

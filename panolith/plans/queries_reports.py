@@ -169,9 +169,35 @@ def clusters_rare_first(spark, d):
     return runs.rare_first(D.table(spark, d, "embeddings").select(F.col("label").alias("cluster")))
 
 
-@query()
+#: The same Lloyd rounds, all starts in one row each.
+LLOYD = """WITH RECURSIVE v AS (
+    SELECT vec_id, list_transform(embedding, lambda e: CAST(floor(CAST(e AS DOUBLE) * 1048576) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT abs(CAST(e AS DOUBLE)) < 1048576)) = 0),
+  drawn AS (SELECT init, x, row_number() OVER (PARTITION BY init ORDER BY sha1('42|' || init || '|' || vec_id), vec_id) AS r FROM v, range(10) t(init)),
+  lloyd AS (
+    SELECT 0 AS round, init, list(list_transform(x, lambda e: CAST(e AS DOUBLE)) ORDER BY r) AS c FROM drawn WHERE r <= 10 GROUP BY init
+    UNION ALL
+    SELECT round + 1, init, list_transform(range(1, 11), lambda j: coalesce(m[j], c[j]))
+    FROM (
+      SELECT round, init, any_value(c) AS c, map(list(k), list(mean)) AS m
+      FROM (
+        SELECT round, init, any_value(c) AS c, k, list(CAST(s AS DOUBLE) / n ORDER BY i) AS mean
+        FROM (
+          SELECT round, init, any_value(c) AS c, k, i, sum(x[i]) AS s, count(*) AS n
+          FROM (
+            SELECT round, init, c, x, list_position(far, list_min(far)) AS k, unnest(range(1, len(x) + 1)) AS i
+            FROM (SELECT l.round, l.init, l.c, v.x, list_transform(l.c, lambda a: list_sum(list_transform(list_zip(v.x, a), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS far FROM lloyd l, v WHERE l.round < 20) p1) p2
+          GROUP BY round, init, k, i) p3
+        GROUP BY round, init, k) p4
+      GROUP BY round, init) p5),
+  far AS (
+    SELECT init, vec_id, list_transform(c, lambda a: list_sum(list_transform(list_zip(x, a), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS far FROM lloyd, v WHERE round = 20),
+  best AS (SELECT init FROM far GROUP BY init ORDER BY round(sum(list_min(far)) / 1048576.0 / 1048576.0, 6), init LIMIT 1)"""
+
+
+@query(f"{LLOYD} SELECT vec_id, CAST(list_position(far, list_min(far)) - 1 AS INTEGER) AS cluster, round(sqrt(list_min(far)) / 1048576.0, 6) AS distance FROM far JOIN best USING (init)")
 def background_clusters(spark, d):
-    return runs.cluster(D.table(spark, d, "embeddings"), 10)
+    return runs.cluster(D.table(spark, d, "embeddings"), 10, rounds=20).withColumn("distance", F.round("distance", 6))
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'rejected' ELSE 'ok' END AS status, len(embedding) AS n FROM embeddings WHERE vec_id % 4 < 2")

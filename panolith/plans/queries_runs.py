@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panolith.operators import allocation, manifests, metrics, runs, stats
+from panolith.operators import allocation, manifests, metrics, quantiles, runs, stats
 from panolith.plans import derive as D
 from panolith.plans.queries_detect import _B, ALL, AP, FIRST, OD, TIERS, tiers
 from panolith.plans.register import query
@@ -38,7 +38,8 @@ def paired_contrasts(spark, d):
 
 @query("SELECT event_type, round(quantile_cont(CAST(value AS DOUBLE), 0.025), 6) AS low, round(quantile_cont(CAST(value AS DOUBLE), 0.5), 6) AS mid, round(quantile_cont(CAST(value AS DOUBLE), 0.975), 6) AS high FROM events GROUP BY 1")
 def value_percentiles(spark, d):
-    return D.table(spark, d, "events").groupBy("event_type").agg(*[F.round(stats.percentile("value", q), 6).alias(n) for q, n in ((0.025, "low"), (0.5, "mid"), (0.975, "high"))])
+    out = quantiles.quantiles(D.table(spark, d, "events"), ["event_type"], F.col("value"), {"low": 0.025, "mid": 0.5, "high": 0.975})
+    return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("low", "mid", "high")])
 
 
 def _contrast(spark, d):
@@ -294,7 +295,8 @@ def filled_level(spark, d):
 
 @query("SELECT l_returnflag AS class, round(median(l_extendedprice), 4) AS mid FROM lineitem GROUP BY 1")
 def class_medians(spark, d):
-    return D.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("class")).agg(F.round(stats.percentile("l_extendedprice", 0.5), 4).alias("mid"))
+    out = quantiles.quantiles(D.table(spark, d, "lineitem").withColumnRenamed("l_returnflag", "class"), ["class"], F.col("l_extendedprice"), {"mid": 0.5})
+    return out.select("class", F.round("mid", 4).alias("mid"))
 
 
 _BUCKETS = f"""{FIRST}, rows AS (SELECT m.pid, m.ord, m.conf, m.gi IS NOT NULL AS tp, coalesce(o.b, m.b) AS bucket FROM (SELECT *, {_B} AS b FROM matched) m LEFT JOIN (SELECT pid, cat, ord AS gi, {_B} AS b FROM g) o USING (pid, cat, gi)),

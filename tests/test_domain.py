@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from panolith.functions import geometry as G
 from panolith.functions import names as N
-from panolith.operators import allocation, detect, diagnose, metrics, runs, splits, stats, subset, tiling
+from panolith.operators import allocation, detect, diagnose, metrics, quantiles, runs, splits, stats, subset, tiling
 from panolith.session import Scratch
 
 
@@ -261,3 +261,29 @@ def test_valid_rate(spark):
     p = spark.createDataFrame([(7, 7, 0.9, 0.9), (7, 7, 0.4, 0.4), (3, 7, 0.8, 0.1)], "pred int, intended int, conf double, p_intended double")
     r = runs.valid_rate(p).first()
     assert (r.top1_acc, r.accept_rate, r.mean_p) == pytest.approx((2 / 3, 1 / 3, 1.4 / 3))
+
+
+def test_quantiles_of_many_groups(spark):
+    rng = random.Random(6)
+    rows = [(g, None if rng.random() < 0.05 else rng.choice([0.0, -0.0, -1.5, 1e300, -1e300, 5e-324, rng.gauss(0, 1), rng.gauss(0, 1e9)])) for g in ("a", "b", None) for _ in range(60)] + [("nulls", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r.g: r for r in quantiles.quantiles(df, ["g"], F.col("v"), {"low": 0.025, "mid": 0.5, "high": 1.0}).collect()}
+    assert set(got) == {"a", "b", None, "one"}
+    for g, r in got.items():
+        own = np.array([v for x, v in rows if x == g and v is not None])
+        assert (r.low, r.mid, r.high) == pytest.approx(tuple(np.quantile(own, [0.025, 0.5, 1.0])))
+    n = F.col("n")
+    ranked = quantiles.at_ranks(df.where("g = 'a'"), [], F.col("v"), {"first": F.lit(0), "last": n - 1, "beyond": n}).first()
+    own = sorted(v for x, v in rows if x == "a" and v is not None)
+    assert (ranked["first"], ranked["last"], ranked["beyond"]) == (own[0], own[-1], None)
+    assert quantiles.quantiles(df.limit(0), ["g"], F.col("v"), {"mid": 0.5}).count() == 0
+
+
+def test_clusters_of_several_starts(spark):
+    rng = random.Random(7)
+    rows = [(i, [10.0 * (i % 3) + rng.random(), rng.random()]) for i in range(60)] + [(100, None), (101, [1.0, float("nan")])]
+    out = runs.cluster(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 3).collect()
+    assert len(out) == 60 and len({(r.vec_id % 3, r.cluster) for r in out}) == 3 and max(r.distance for r in out) < 1.5
+    assert runs.cluster(spark.createDataFrame(rows[60:], "vec_id long, embedding array<double>"), 3).count() == 0
+    few = runs.cluster(spark.createDataFrame(rows[:2], "vec_id long, embedding array<double>"), 5).collect()
+    assert sorted(r.distance for r in few) == [0.0, 0.0]
