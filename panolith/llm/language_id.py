@@ -182,18 +182,20 @@ def training_sample(docs: DataFrame, chars: int = 1_600_000, languages: int = 10
 
     Whole texts of documents whose crc32(doc_id as text) mod ``folds`` is not 0, with a label,
     of any length. Drawn by hash at a rate that follows from the characters of each language, so
-    no group is gathered. Raises where there are more labels than ``languages``: those are no
+    no group is gathered; the text of least draw of each label comes in any case, so that a label
+    of few long texts is learned too. Raises where there are more labels than ``languages``: those are no
     languages.
     """
     eligible = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(doc_id).cast("long").alias("doc_id")).where((F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["n"] for r in eligible.groupBy("lang").agg(F.sum(F.length("text") + 1).alias("n")).orderBy("lang").limit(languages + 1).collect()}
+    eligible = eligible.withColumn("draw", F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40)))
+    found = eligible.groupBy("lang").agg(F.sum(F.length("text") + 1).alias("n"), F.min("draw").alias("least")).orderBy("lang").limit(languages + 1).collect()
+    counts = {r["lang"]: r["n"] for r in found}
     if len(counts) > languages:
         raise ValueError(f"more than {languages} labels")
     if not counts:
         return {}
-    rate = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, chars / n)))])
-    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 40))
-    drawn = eligible.withColumn("draw", draw).where(F.col("draw") < rate[F.col("lang")] * float(1 << 40)).orderBy("draw", "doc_id", "lang")
+    below = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(max(r["least"] + 1.0, min(1.0, chars / r["n"]) * float(1 << 40))))])
+    drawn = eligible.where(F.col("draw") < below[F.col("lang")]).orderBy("draw", "doc_id", "lang")
     out: dict[str, list[str]] = {}
     for r in drawn.collect():  # about ``chars`` characters for each label
         out.setdefault(r["lang"], []).append(r["text"])

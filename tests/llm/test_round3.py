@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import SMALL, empty, odd  # noqa: F401  (fixtures)
 
-from panolith.llm import components, minhash, prefix_trie, spelling
+from panolith.llm import components, language_id, minhash, prefix_trie, spelling
 
 
 # --- MinHash -------------------------------------------------------------------------------
@@ -206,3 +206,24 @@ def test_spelling_on_odd_rows(spark, odd, empty):  # noqa: F811
 def test_spelling_of_the_small_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert told(docs, often=2) == spelling_by_hand([(r.doc_id, r.text) for r in docs.collect()], 2)
+
+
+# --- Language ID ------------------------------------------------------------------------------
+
+
+def test_no_label_is_lost_by_sampling(spark):
+    rows = [(i, "ja nein " * 20, "de") for i in range(40)] + [(100 + i, "si no quizas " * 5000, "xx") for i in range(5)]
+    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), chars=2000)
+    assert set(sample) == {"de", "xx"} and len(sample["xx"]) == 1 and 1 <= len(sample["de"]) < 40
+    models = language_id.Models(sample)
+    assert models.predict(["quizas no si", "nein ja nein"])[0] == ["xx", "de"]
+
+
+def test_pipeline_stage_of_languages_on_odd_rows(spark, odd, empty):  # noqa: F811
+    models = language_id.Models(language_id.training_sample(spark.read.parquet(f"{SMALL}/documents.parquet")))
+    kept = language_id.keep_identified(odd, models)
+    rejected = {(r.doc_id, r.lang_pred) for r in language_id.identify(odd, models).collect() if r.rejected}
+    assert kept.columns == odd.columns and kept.count() == odd.count() - sum(r.rejected for r in language_id.identify(odd, models).collect())
+    assert {(2, "und"), (3, "und"), (4, "und"), (10, "und")} <= rejected  # null, empty, blank
+    assert language_id.keep_identified(empty, models).count() == 0
+    assert language_id.keep_identified(odd, language_id.Models({})).count() == 0
