@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 from conftest import SMALL, same_rows
@@ -405,59 +406,101 @@ def test_long_lines_are_held_to_the_same_rule(spark):
     assert len(a) > 2000 and line_similarity(a, b) > 0.95 and r.ok
 
 
-@pytest.mark.parametrize("hot", [64, 3])
-def test_line_pairs_where_keys_are_crowded(spark, hot):
-    rng = random.Random(5)
-    base = rng.getrandbits(63)
-    fps = sorted({base ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 3))) for _ in range(150)})
-    fps += sorted({base ^ (b << 40) for b in range(1, 90)} - set(fps))  # crowded again at the second split
-    got = [(r.a, r.b) for r in line_dedup.fingerprint_pairs(spark.createDataFrame([(f,) for f in fps], "fp long"), hot).collect()]
-    want = {(min(a, b), max(a, b)) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2}
-    assert set(got) == want and len(got) == len(want)
+def blocks_by_hand(hashes):
+    """What the words of a line are cut into: (level, class) -> the words' exclusive or."""
+    n, out = len(hashes), {}
+    for h in hashes:
+        if n < 20:
+            out[0, h & 3] = out.get((0, h & 3), 0) ^ h
+        if 12 <= n < 80:
+            out[1, h & 7] = out.get((1, h & 7), 0) ^ h
+        if n >= 51 and not h & 24:
+            out[2, h & 7] = out.get((2, h & 7), 0) ^ h
+    return {k: x for k, x in out.items() if x}
 
 
-def test_hashes_of_lines_by_hand(spark):
+def test_blocks_of_lines_by_hand(spark):
     rng = random.Random(1)
-    texts = ["\n".join(" ".join(rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(n)) for n in ns) for ns in ([1, 2, 5], [119, 300, 0], [900])]
+    texts = ["\n".join(" ".join(rng.choice("abcdefghij") * rng.randint(1, 9) for _ in range(n)) for n in ns) for ns in ([1, 2, 5], [12, 19, 20, 0], [50, 51, 79, 80], [900])]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    want = {(r.doc_id, r.line_no): (r.h, r.norm) for r in line_dedup.lines_of(df).withColumn("h", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).collect()}
-    for many in (line_dedup.MANY_WORDS, 250):  # the longer lines go the other way
-        rows = line_dedup.hashed_lines(df, "text", "doc_id", None, 2, many).collect()
-        assert {(r.doc_id, r.line_no) for r in rows} == set(want) and len(rows) == len(want)
-        for r in rows:
-            h, norm = want[r.doc_id, r.line_no]
-            assert r.blank == (norm == "")
-            assert r.fp is None if len(h) < 2 else r.fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-
-def test_groups_of_lines_against_all_pairs(spark):
-    """On the small table: lines whose fingerprints are within two bits and that are similar enough are one group."""
+    lines = {(r.doc_id, r.line_no): r for r in line_dedup.lines_of(df).withColumn("h", F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))).collect()}
+    rows = line_dedup.hashed_lines(df, "text", "doc_id", None, 2).collect()
+    assert {(r.doc_id, r.line_no) for r in rows} == set(lines) and len(rows) == len(lines)
+    want = {k: blocks_by_hand(r.h) if len(r.h) > 1 else {} for k, r in lines.items()}
+    flat = [(8 * level + c, x) for w in want.values() for (level, c), x in w.items()]
+    hashed = {(r.a, r.b): r.h for r in spark.createDataFrame(flat, "a int, b long").withColumn("h", F.xxhash64("a", "b")).collect()}
+    for r in rows:
+        k = (r.doc_id, r.line_no)
+        assert r.blank == (lines[k].norm == "")
+        assert sorted(r.blocks) == sorted(hashed[8 * level + c, x] for (level, c), x in want[k].items())
+
+
+def grouped_lines(docs, rows):
+    """The group of each different normalised line, and the lines."""
+    first = {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in rows}
+    out = {}
+    for r in line_dedup.lines_of(docs).collect():
+        if r.norm:
+            assert out.setdefault(r.norm, first[r.doc_id, r.line_no]) == first[r.doc_id, r.line_no]
+        else:
+            assert first[r.doc_id, r.line_no] == (r.doc_id, r.line_no)
+    return out
+
+
+def similar_pairs(duck, norms, least=0.8):
+    """Of all pairs of lines those of that edit similarity; letters beyond ASCII stand for themselves as one byte each."""
+    odd = sorted({c for x in norms for c in x if ord(c) > 126})
+    spare = [c for c in map(chr, range(33, 127)) if not c.isalnum() or c.isupper()]
+    assert len(odd) <= len(spare)
+    table = str.maketrans(dict(zip(odd, spare)))
+    plain = pd.DataFrame({"i": range(len(norms)), "x": [n.translate(table) for n in norms]})  # noqa: F841  (read by name)
+    sql = f"""SELECT a.i, b.i FROM plain a JOIN plain b ON a.i < b.i AND least(length(a.x), length(b.x)) >= {least} * greatest(length(a.x), length(b.x))
+              WHERE levenshtein(a.x, b.x) <= floor((1 - {least}) * greatest(length(a.x), length(b.x)) + 1e-9)"""
+    return duck.sql(sql).fetchall()
+
+
+def test_groups_of_lines_against_all_pairs(spark, duck):
+    """On the small table: of all pairs of different lines that are similar, nine of ten at least are in one group, and no group holds others."""
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
     rows = line_dedup.line_groups(docs).collect()
-    hashed = {(r.doc_id, r.line_no): r for r in line_dedup.with_simhash(line_dedup.lines_of(docs), "norm", 1).collect()}
-    lines = {}
-    for k, r in sorted(hashed.items()):
-        if r.norm:
-            lines.setdefault(r.norm, (k, r.fp))
-    norms = list(lines)
-    fps = np.array([lines[x][1] for x in norms], np.int64).view(np.uint64)
-    alike = []
-    for i in range(len(norms)):
-        for j in np.flatnonzero(np.bitwise_count(fps[:i] ^ fps[i]) <= 2).tolist():
-            if line_similarity(norms[i], norms[j]) >= 0.8:
-                alike.append((j, i))
-    root = components.star_forest(iter(alike))
-    top, place = {}, {x: i for i, x in enumerate(norms)}
-    for i, x in enumerate(norms):
-        k = root.get(i, i)
-        top[k] = min(top.get(k, lines[x][0]), lines[x][0])
-    want = {k: top[root.get(place[r.norm], place[r.norm])] if r.norm else k for k, r in hashed.items()}
-    assert {(r.doc_id, r.line_no): (r.first_doc_id, r.first_line_no) for r in rows} == want
-    assert all(r.kept == (want[r.doc_id, r.line_no] == (r.doc_id, r.line_no)) for r in rows)
+    groups = grouped_lines(docs, rows)
+    norms = sorted(groups)
+    pairs = similar_pairs(duck, norms)
+    assert len(pairs) > 25
+    together = [groups[norms[a]] == groups[norms[b]] for a, b in pairs]
+    assert sum(together) >= 0.9 * len(together)
+    root, seen = components.star_forest(iter(pairs)), {}
+    for i, x in enumerate(norms):  # a group lies within one component of similar lines
+        assert seen.setdefault(groups[x], root.get(i, i)) == root.get(i, i)
     sizes = {}
-    for k, w in want.items():
-        sizes[w] = sizes.get(w, 0) + 1
-    assert all(r.group_size == sizes[want[r.doc_id, r.line_no]] for r in rows)
+    for r in rows:
+        sizes[r.first_doc_id, r.first_line_no] = sizes.get((r.first_doc_id, r.first_line_no), 0) + 1
+    assert all(r.group_size == sizes[r.first_doc_id, r.first_line_no] for r in rows)
+    assert all(r.kept == ((r.first_doc_id, r.first_line_no) == (r.doc_id, r.line_no)) for r in rows)
+
+
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 2])
+def test_changed_words_at_every_length(spark, duck, hot):
+    """Lines of 5 to 300 words, variants with one to some of their words changed, and blocks that many lines share."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9)))
+    common = [word() for _ in range(3)]
+    lines = []
+    for n in (5, 8, 13, 18, 22, 40, 55, 75, 90, 300):
+        for _ in range(4):
+            words = [rng.choice(common) if rng.random() < 0.3 else word() for _ in range(n)]
+            lines.append(words)
+            for changed in {1, max(1, n // 20), max(1, n // 8)}:
+                new = [*words]
+                for at in rng.sample(range(n), changed):
+                    new[at] = word()
+                lines.append(new)
+    norms = sorted({" ".join(x) for x in lines})
+    docs = spark.createDataFrame(list(enumerate(norms)), "doc_id long, text string")
+    groups = grouped_lines(docs, line_dedup.line_groups(docs, hot=hot).collect())
+    pairs = similar_pairs(duck, norms)
+    together = [groups[norms[a]] == groups[norms[b]] for a, b in pairs]
+    assert len(pairs) > 100 and sum(together) >= 0.9 * len(together)
 
 
 def test_language_models(spark, odd, empty):
