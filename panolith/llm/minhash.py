@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panolith.llm.bounds import bitmapped, lists, may_share, shareable
 from panolith.llm.components import connected_components
 from panolith.llm.simhash import SMALL_ROWS, _portions, _shingle_sets
 from panolith.session import Scratch, arrow_batches
@@ -34,7 +35,6 @@ PLANES = 4  # hashed bits of each coordinate that are kept to rule out pairs
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 VALUE_BITS = np.uint64(44)
 THROWS = 1 << 20  # elements thrown at once
-BITMAP = 4096
 TURNS = 12  # of stars, at most, before what is left is compared in full
 
 
@@ -113,17 +113,11 @@ def sketched(docs: DataFrame, words: int, size: int = SIZE, rows: int = ROWS) ->
                     f[some[lo:hi]], bands[some[lo:hi]] = bit_planes(made), band_keys(made, rows)
                     lo = hi
                 keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
-                yield pa.RecordBatch.from_arrays([uids, pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[_lists(x, n > 0) for x in (f, bands)]], names=["uid", "n", "k0", "k1", "f", "bands"])
+                yield pa.RecordBatch.from_arrays([uids, pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), *[lists(x, n > 0) for x in (f, bands)]], names=["uid", "n", "k0", "k1", "f", "bands"])
 
     return docs.select("uid", "text").mapInArrow(run, "uid long, n long, k0 long, k1 long, f array<long>, bands array<long>")
 
 
-def _lists(rows: np.ndarray, some: np.ndarray) -> pa.Array:
-    """Rows as lists; an empty list where ``some`` is false."""
-    size = np.where(some, rows.shape[1], 0)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(rows[some].reshape(-1).view(np.int64)))
-
-
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     """uid, s: the different shingle hashes of ``docs`` (uid, text), in order."""
 
@@ -187,43 +181,17 @@ def near_links(heads: DataFrame, docs: DataFrame, words: int, least: Fraction, s
     sizes = held(marked.groupBy("h", "c").agg(F.count("*").alias("m")), "minhash-sizes")
     open_ = held(sizes.groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", "top"), "minhash-open")
     left = held(marked.join(open_, "h"), "minhash-left")
-    shareable = held(_shareable(left.select("uid", "n").distinct(), sets), "minhash-shareable").where(f"r * {least.denominator} >= n * {least.numerator}").drop("n")
-    bitmaps = bitmapped(sets.join(shareable.select("uid"), "uid", "left_semi"))
-    whole = held(left.join(shareable, "uid").join(heads.select("uid", "bands"), "uid").join(bitmaps, "uid"), "minhash-whole")
+    bound = held(shareable(left.select("uid", "n").distinct(), sets), "minhash-shareable").where(f"r * {least.denominator} >= n * {least.numerator}").drop("n")
+    bitmaps = bitmapped(sets.join(bound.select("uid"), "uid", "left_semi"))
+    whole = held(left.join(bound, "uid").join(heads.select("uid", "bands"), "uid").join(bitmaps, "uid"), "minhash-whole")
     x, y = whole.where("c <> top").alias("x"), whole.alias("y")
-    enough = f"least(x.r, y.r) * {least.denominator + least.numerator} >= (x.n + y.n) * {least.numerator}"
-    # Bits that differ are at most the shingles that only one of both has.
-    bits = "aggregate(zip_with(x.bits, y.bits, (p, q) -> bit_count(p ^ q)), 0, (p, q) -> p + q)"
-    enough = f"{enough} AND {bits} * {least.denominator + least.numerator} <= (x.n + y.n) * {least.denominator - least.numerator}"
+    enough = may_share(least)
     once = "x.h = array_min(array_intersect(x.bands, y.bands))"  # a pair counts in one of its bands
     rest = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND NOT ({far}) AND {enough} AND {once}")).select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b"))
     pairs = held(rest.distinct(), "minhash-left-pairs")
     return links.unionByName(held(_verified(pairs, sets, least), "minhash-rest"))
 
 
-def bitmapped(sets: DataFrame) -> DataFrame:
-    """uid, bits: a bitmap of BITMAP bits in which each shingle of the set sets the one it hashes to."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column(1)
-            owner = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-            at = _mixed(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) & np.uint64(BITMAP - 1)
-            grid = np.zeros((batch.num_rows, BITMAP), bool)
-            grid[owner, at.astype(np.int64)] = True
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(np.packbits(grid, axis=1, bitorder="little").view("<u8"), np.ones(batch.num_rows, bool))], names=["uid", "bits"])
-
-    return sets.mapInArrow(run, "uid long, bits array<long>")
-
-
-def _shareable(some: DataFrame, sets: DataFrame) -> DataFrame:
-    """uid, n, r: how many of a document's shingles any other of ``some`` (uid, n) has, which bounds
-    what it can have in common with one of them."""
-    rows = sets.join(some.select("uid"), "uid", "left_semi").select("uid", F.explode("s").alias("s"))
-    alone = rows.groupBy("s").agg(F.count("*").alias("m"), F.min("uid").alias("uid")).where("m = 1").groupBy("uid").agg(F.count("*").alias("u"))
-    return some.join(alone, "uid", "left").select("uid", "n", (F.col("n") - F.coalesce("u", F.lit(0))).alias("r"))
-
-
 def near_dedup(docs: DataFrame, words: int = 3, percent: int = 85, size: int = SIZE, rows: int = ROWS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept; one row per row of ``docs``.
 

@@ -15,6 +15,7 @@ neighbour, and a bucket there is never larger than the number of such neighbours
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 from math import ceil
 
@@ -25,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from panolith.llm.bounds import bitmapped, may_share, shareable
 from panolith.llm.bpe import slices
 from panolith.llm.components import connected_components, star_forest
-from panolith.session import forget, spill
+from panolith.session import Scratch, forget, spill
 
 ONE = np.uint64(1)
 LANES = np.uint64(0x0101010101010101)
@@ -359,6 +361,27 @@ def _contract(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
     return out
 
 
+def _apart_still(shared: DataFrame, docs: DataFrame, words: int, least: float, held: Scratch) -> DataFrame:
+    """a, b: documents of different components that share a shingle and can be similar enough.
+
+    Of each shingle all but its largest component meet everything, unless the shingles that a
+    document shares with no other, or the bitmaps of both sets, say that it cannot be.
+    """
+    limit = Fraction(least).limit_denominator(1000)
+    sizes = shared.groupBy("h", "c").agg(F.count("*").alias("m"))
+    open_ = held(sizes.groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", "top"), "copy-open")
+    left = held(shared.join(open_, "h"), "copy-left")
+    some = held(left.select("uid", "n").distinct(), "copy-some")
+    few = F.broadcast(some.select("uid")) if some.count() <= SMALL_ROWS else some.select("uid")
+    sets = held(shingle_sets(docs.join(few, "uid", "left_semi"), words), "copy-bound-sets")
+    bound = held(shareable(some, sets).where(f"r * {limit.denominator} >= n * {limit.numerator}").drop("n"), "copy-bound")
+    bitmaps = bitmapped(sets.join(bound.select("uid"), "uid", "left_semi"))
+    whole = held(left.join(bound.join(bitmaps, "uid"), "uid"), "copy-whole")
+    x, y = whole.where("c <> top").alias("x"), whole.alias("y")
+    met = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND {_possible(least)} AND {may_share(limit)}"))
+    return held(met.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct(), "copy-apart")
+
+
 def copy_links(heads: DataFrame, docs: DataFrame, words: int, least: float, at_once: int, links: DataFrame) -> DataFrame:
     """Links (a, b) that with ``links`` connect every two documents so similar, directly or by others.
 
@@ -385,8 +408,9 @@ def copy_links(heads: DataFrame, docs: DataFrame, words: int, least: float, at_o
         if not rows:
             return links
         if turn and not many and (rows <= at_once or rows > 0.9 * was):
-            pairs = shared.alias("x").join(shared.alias("y"), F.expr(f"x.h = y.h AND x.uid < y.uid AND x.c <> y.c AND {_possible(least)}")).select(F.col("x.uid").alias("a"), F.col("y.uid").alias("b"))
-            return links.unionByName(_verified(pairs, docs, words, least))
+            with Scratch(docs.sparkSession) as held:
+                pairs = _apart_still(shared, docs, words, least, held)
+                return links.unionByName(_verified(pairs, docs, words, least))
         head = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), "uid", "n", "i", "fp", "fq", "c")).alias("y")).select("h", "y.*").drop("o")
         met = shared.alias("x").join(head.alias("y"), F.expr(f"x.h = y.h AND x.c <> y.c AND {_possible(least)}"))
         nearest = met.groupBy(F.col("x.uid").alias("uid")).agg(F.min(F.struct(F.expr("bit_count(x.fp ^ y.fp) + bit_count(x.fq ^ y.fq)").alias("d"), F.col("y.uid").alias("to")))["to"].alias("to"))
