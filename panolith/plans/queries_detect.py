@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panolith.operators import catalog, detect, diagnose, metrics, subset
+from panolith.operators import catalog, detect, diagnose, metrics, retries, subset
 from panolith.plans import derive as D
 from panolith.plans.register import query
 
@@ -104,6 +104,40 @@ def crowded_hallucinations(spark, d):
     return detect.outside_signs(crowded(D.detections(spark, d)), crowded(D.ground_truth(spark, d)).where("cat < 3")).select("pid", "cat", "ord")
 
 
+#: A stand-in for a model: what it finds on the tile of an attempt are some of a run's detections.
+TRIES = 3
+_ATTEMPTS = " UNION ALL ".join(f"SELECT {a} AS a, pid, cx, cy FROM dets{a} WHERE ord % 97 < 2 + {a}" for a in range(TRIES))
+RETRIED = f"""WITH {D.OBJECTS}, {D.GTS}, {', '.join(D.dets_sql(a, f'dets{a}') for a in range(TRIES))}, seen AS ({_ATTEMPTS}),
+  fired AS (SELECT DISTINCT a, pid FROM seen e WHERE NOT EXISTS (SELECT 1 FROM gts g WHERE g.cat < 12 AND g.pid = e.pid AND e.cx BETWEEN g.cx - g.w / 2 AND g.cx + g.w / 2 AND e.cy BETWEEN g.cy - g.h / 2 AND g.cy + g.h / 2)),
+  tiles AS (SELECT DISTINCT pid FROM gts),
+  passed AS (SELECT pid, min(a) AS a FROM tiles, range({TRIES}) t(a) WHERE (a, pid) NOT IN (SELECT a, pid FROM fired) GROUP BY pid),
+  told AS (SELECT tiles.pid, a, coalesce(a + 1, {TRIES}) AS tries FROM tiles LEFT JOIN passed USING (pid))"""
+
+
+def retried(spark, d):
+    signs = D.ground_truth(spark, d).where("cat < 12")
+    boxes = signs.select(F.col("pid").alias("tile"), (F.col("cx") - F.col("w") / 2).alias("x1"), (F.col("cy") - F.col("h") / 2).alias("y1"), (F.col("cx") + F.col("w") / 2).alias("x2"), (F.col("cy") + F.col("h") / 2).alias("y2"))
+
+    def scan(made, attempt):
+        seen = D.detections(spark, d, attempt).where(F.col("ord") % 97 < 2 + attempt).select(F.col("pid").alias("tile"), "cx", "cy")
+        return made.select("tile").join(seen, "tile")
+
+    items = D.ground_truth(spark, d).select(F.col("pid").alias("tile")).distinct()
+    return retries.retry_rounds(items, boxes, lambda pending, attempt: pending.withColumn("seed", F.col("tile") * 31 + attempt), scan, tries=TRIES)
+
+
+@query(f"{RETRIED} SELECT pid AS tile, pid * 31 + a AS seed, CAST(a + 1 AS INTEGER) AS tries FROM told WHERE a IS NOT NULL")
+def retried_tiles(spark, d):
+    return retried(spark, d)[0]
+
+
+@query(f"""{RETRIED} SELECT count(*) AS tiles, CAST(sum(tries) AS BIGINT) AS attempts, count(*) FILTER (WHERE a > 0) AS regenerated, count(*) FILTER (WHERE a IS NULL) AS rejected,
+  (SELECT count(*) FROM fired JOIN told USING (pid) WHERE fired.a < told.tries) AS scan_fired, (SELECT count(*) FROM seen JOIN told USING (pid) WHERE seen.a < told.tries) AS scan_detections FROM told""")
+def retry_telemetry(spark, d):
+    counters = retried(spark, d)[1]
+    return spark.range(1).select(*[F.lit(v).cast("long").alias(k) for k, v in counters.items()])
+
+
 COUNTS = "counts AS (SELECT name, any_value(cat) AS cat, count(*) AS instances FROM objects GROUP BY name)"
 #: The subset of these queries keeps class ids as they are: every third class, in three tiers.
 TIERS = "subset AS (SELECT DISTINCT cat, CASE WHEN cat < 6 THEN 'tail' WHEN cat < 15 THEN 'mid' ELSE 'head' END AS tier FROM objects WHERE cat % 3 <> 1)"

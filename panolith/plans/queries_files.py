@@ -11,7 +11,7 @@ from panolith.plans import derive as D
 from panolith.plans.queries_catalog import OC
 from panolith.plans.register import query
 from panolith.session import shared_dir
-from panolith.sources import readers, sinks
+from panolith.sources import keyed, readers, sinks
 
 O = f"WITH {D.OBJECTS}"
 
@@ -113,13 +113,31 @@ def json_without_nan(spark, d):
     return sinks.nan_safe_json(rows).select(F.from_json("json", "s_suppkey long, x double, y double").alias("r")).select("r.*")
 
 
-@query("SELECT o_custkey, max(o_orderkey) - max(o_orderkey) + 1 AS n FROM orders GROUP BY o_custkey")
+@query("""SELECT o_custkey, CASE WHEN o_custkey % 2 = 0 THEN 1 ELSE 2 END AS run, count(*) AS n, max(o_orderkey) AS last FROM orders GROUP BY o_custkey""")
 def resumed_writes(spark, d):
-    rows, path = D.table(spark, d, "orders").select("o_custkey", "o_orderkey"), _folder(spark, "resumed")
-    sinks.append_missing(rows.where("o_custkey % 2 = 0"), path, ["o_custkey"])
-    sinks.append_missing(rows, path, ["o_custkey"])
-    sinks.append_missing(rows, path, ["o_custkey"])
-    return spark.read.parquet(path).groupBy("o_custkey").agg(F.count("*").alias("n"))
+    """The first run is cut short after half of its customers; the second does the rest, the third finds nothing to do."""
+    per, path = D.table(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last")), _folder(spark, "resumed")
+    sinks.append_missing(per.where("o_custkey % 2 = 0").withColumn("run", F.lit(1)), path, ["o_custkey"])
+    sinks.append_missing(per.withColumn("run", F.lit(2)), path, ["o_custkey"])
+    sinks.append_missing(per.withColumn("run", F.lit(3)), path, ["o_custkey"])
+    return spark.read.parquet(path)
+
+
+@query("""WITH s AS (SELECT o_orderkey AS run_id, o_orderstatus AS status, CAST(o_orderkey % 4 AS INTEGER) AS tries FROM orders)
+  SELECT run_id, CASE WHEN run_id % 10 = 0 THEN 'done' ELSE status END AS status, tries + CASE WHEN run_id % 10 = 0 THEN 1 ELSE 0 END AS tries,
+    (SELECT sum(tries) + count(*) FILTER (WHERE run_id % 10 = 0) FROM s) AS carried FROM s""")
+def merged_statuses(spark, d):
+    """Two runs into a table by key, news on top of them, the news once more as after a failure; the tries of all runs are carried over."""
+    k = F.col("o_orderkey")
+    rows = D.table(spark, d, "orders").select(k.alias("run_id"), F.col("o_orderstatus").alias("status"), (k % 4).cast("int").alias("tries"))
+    table = keyed.KeyedTable(spark, _folder(spark, "statuses"), "run_id", 16)
+    for name, part in (("first", rows.where("run_id % 3 = 0")), ("rest", rows)):
+        todo = table.missing(part)
+        table.merge(todo, {"tries": todo.agg(F.coalesce(F.sum("tries"), F.lit(0))).first()[0]}, name)
+    news = rows.where("run_id % 10 = 0").select("run_id", F.lit("done").alias("status"), (F.col("tries") + 1).alias("tries"))
+    for _ in range(2):
+        table.merge(news, {"tries": news.count()}, "news")
+    return table.read().withColumn("carried", F.lit(table.counters()["tries"]).cast("long"))
 
 
 @query("SELECT r_regionkey, r_name FROM region")
