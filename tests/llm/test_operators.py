@@ -410,12 +410,13 @@ def blocks_by_hand(hashes):
     """What the words of a line are cut into: (level, class) -> the words' exclusive or."""
     n, out = len(hashes), {}
     for h in hashes:
+        half = h % 2**64 >> 32
         if n < 20:
-            out[0, h & 3] = out.get((0, h & 3), 0) ^ h
+            out[0, h & 3] = out.get((0, h & 3), 0) ^ half
         if 12 <= n < 80:
-            out[1, h & 7] = out.get((1, h & 7), 0) ^ h
+            out[1, h & 7] = out.get((1, h & 7), 0) ^ half
         if n >= 51 and not h & 24:
-            out[2, h & 7] = out.get((2, h & 7), 0) ^ h
+            out[2, h & 7] = out.get((2, h & 7), 0) ^ half
     return {k: x for k, x in out.items() if x}
 
 
@@ -427,12 +428,12 @@ def test_blocks_of_lines_by_hand(spark):
     rows = line_dedup.hashed_lines(df, "text", "doc_id", None, 2).collect()
     assert {(r.doc_id, r.line_no) for r in rows} == set(lines) and len(rows) == len(lines)
     want = {k: blocks_by_hand(r.h) if len(r.h) > 1 else {} for k, r in lines.items()}
-    flat = [(8 * level + c, x) for w in want.values() for (level, c), x in w.items()]
-    hashed = {(r.a, r.b): r.h for r in spark.createDataFrame(flat, "a int, b long").withColumn("h", F.xxhash64("a", "b")).collect()}
     for r in rows:
         k = (r.doc_id, r.line_no)
         assert r.blank == (lines[k].norm == "")
-        assert sorted(r.blocks) == sorted(hashed[8 * level + c, x] for (level, c), x in want[k].items())
+        assert sorted(r.blocks) == sorted((8 * level + c) << 32 | x for (level, c), x in want[k].items())
+        h = lines[k].h
+        assert r.fp % 2**64 == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
 def grouped_lines(docs, rows):
