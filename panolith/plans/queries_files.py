@@ -11,7 +11,7 @@ from panolith.plans import derive as D
 from panolith.plans.queries_catalog import OC
 from panolith.plans.register import query
 from panolith.session import shared_dir
-from panolith.sources import keyed, readers, sinks
+from panolith.sources import keyed, readers, sinks, zips
 
 O = f"WITH {D.OBJECTS}"
 
@@ -163,3 +163,14 @@ def training_rows(spark, d):
     o = D.objects(spark, d)
     both = sinks.training_union(o.where("cat < 12").select(F.lit("real").alias("source"), "ord"), o.where("cat >= 6").select("ord", F.lit("synthetic").alias("source")))
     return both.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'pages/' || page_id || '.html' AS name, octet_length(encode(html)) AS size, sha256(html) AS sha256 FROM pages WHERE page_id % 3 = 0 AND html IS NOT NULL AND page_id % 2 = 0")
+def zipped_pages(spark, d):
+    """Pages in archives; of these every third, as a run wants them that has fetched the odd ones before."""
+    k = F.col("page_id")
+    pages = D.table(spark, d, "pages").where("html IS NOT NULL").select(k, F.format_string("pages/%d.html", k).alias("name"), F.col("html").cast("binary").alias("content"))
+    paths = zips.write_archives(pages, _folder(spark, "archives"))
+    names = [r[0] for r in pages.where(k % 3 == 0).select("name").collect()]
+    got = zips.members(spark, paths, names, done=pages.where(k % 2 == 1), partition_bytes=1 << 20)
+    return got.select("name", "size", F.sha2("content", 256).alias("sha256"))
