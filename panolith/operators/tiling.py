@@ -62,6 +62,13 @@ def labelable(objects: DataFrame, keep: float = G.KEEP_VISIBLE, **grid) -> DataF
     return objects.where(F.exists(grid_array(**grid), lambda t: G.clip(box, t)["vf"] >= keep))
 
 
+def labelable_counts(objects: DataFrame, keep: float = G.KEEP_VISIBLE, **grid) -> DataFrame:
+    """n and n_excluded: the objects that evaluation counts, and those that no tile shows well enough."""
+    box = F.struct("x1", "y1", "x2", "y2")
+    shown = F.exists(grid_array(**grid), lambda t: G.clip(box, t)["vf"] >= keep)
+    return objects.agg(F.count_if(shown).alias("n"), F.count_if(~shown).alias("n_excluded"))
+
+
 def lookalikes(objects: DataFrame, subset: DataFrame) -> DataFrame:
     """Categories outside the subset that share their leading letters with a tail class."""
     families = subset.where("tier = 'tail'").select(N.letters(F.col("name")).alias("letters")).distinct()

@@ -200,20 +200,28 @@ def background_clusters(spark, d):
     return runs.cluster(D.table(spark, d, "embeddings"), 10, rounds=20).withColumn("distance", F.round("distance", 6))
 
 
-@query("SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN 'rejected' ELSE 'ok' END AS status, len(embedding) AS n FROM embeddings WHERE vec_id % 4 < 2")
+_POSITIVE = "len(list_filter(embedding[{0}:{1}], lambda e: e > 0))"
+
+
+@query(f"""WITH s AS (SELECT vec_id, greatest(1, least(30, {_POSITIVE.format(1, 32)})) AS h, greatest(1, least(29, {_POSITIVE.format(33, 64)})) AS w FROM embeddings WHERE embedding IS NOT NULL)
+  SELECT vec_id, CASE WHEN h * w < 0.20 * 1024 THEN 'rejected' ELSE 'ok' END AS status, round_even(h * w / 1024.0::DOUBLE, 4) AS area_ratio, CAST(1.0 AS DOUBLE) AS solidity FROM s""")
 def filtered_masks(spark, d):
-    """A solid block or a cross, as large as the number of a vector says, through the mask filter."""
-    @F.pandas_udf("string")
-    def status(ids: pd.Series) -> pd.Series:
-        out = []
-        for i in ids:
+    """Masks drawn from all vectors: a block as high and wide as halves of a vector have positive
+    components, with a hole in it, and a speck beside it that is not of the largest region."""
+    @F.pandas_udf("status string, area_ratio double, solidity double")
+    def told(high: pd.Series, wide: pd.Series) -> pd.DataFrame:
+        found = []
+        for h, w in zip(high, wide):
             m = np.zeros((32, 32), bool)
-            if i % 4 == 0:
-                m[11:21, :] = m[:, 11:21] = True
-            else:
-                m[4 : 24 + i % 8, 4:28] = True
-            out.append(kernels.filter_mask(m)["status"])
-        return pd.Series(out)
-
-    e = D.table(spark, d, "embeddings").where("vec_id % 4 < 2")
-    return e.select("vec_id", status("vec_id").alias("status"), F.size("embedding").cast("long").alias("n"))
+            m[1 : 1 + h, 1 : 1 + w] = True
+            if h > 4 and w > 4:
+                m[1 + h // 2, 1 + w // 2] = False
+            m[31, 31] = True
+            found.append(kernels.filter_mask(m))
+        return pd.DataFrame(found, columns=["status", "area_ratio", "solidity"])
+
+    def positive(first: int):
+        return F.size(F.filter(F.slice("embedding", first, 32), lambda v: v > 0))
+
+    e = D.table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    return e.select("vec_id", told(F.greatest(F.lit(1), F.least(F.lit(30), positive(1))), F.greatest(F.lit(1), F.least(F.lit(29), positive(33)))).alias("t")).select("vec_id", "t.*")

@@ -131,6 +131,15 @@ def labelable_objects(spark, d):
     return tiling.labelable(D.objects(spark, d)).select("ord")
 
 
+@query(f"""WITH {D.OBJECTS}, wide AS (SELECT x1, y1, x1 + 3 * (x2 - x1) AS x2, y1 + 3 * (y2 - y1) AS y2 FROM objects), {GRID},
+  seen AS (SELECT EXISTS (SELECT 1 FROM grid WHERE greatest(0, least(x2, tx + 640) - greatest(x1, tx)) * greatest(0, least(y2, ty + 640) - greatest(y1, ty)) / ((x2 - x1) * (y2 - y1)) >= 0.6) AS shown FROM wide)
+  SELECT count(*) FILTER (WHERE shown) AS n, count(*) FILTER (WHERE NOT shown) AS n_excluded FROM seen""")
+def excluded_objects(spark, d):
+    """Objects three times as large, of which some are cut by the border beyond use."""
+    wide = D.objects(spark, d).withColumns({"x2": F.col("x1") + 3 * (F.col("x2") - F.col("x1")), "y2": F.col("y1") + 3 * (F.col("y2") - F.col("y1"))})
+    return tiling.labelable_counts(wide)
+
+
 @query(f"""{OC}, a AS (SELECT DISTINCT name FROM objects WHERE pid % 2 = 0), b AS (SELECT DISTINCT name FROM objects WHERE pid % 3 = 0 AND cat > 4)
   SELECT 'both' AS op, name FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'any', name FROM (SELECT * FROM a UNION SELECT * FROM b)
   UNION ALL SELECT 'only', name FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""")
