@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panolith.llm.bounds import bitmapped, may_share, shareable
+from panolith.llm.bounds import bitmaps, lists, may_share
 from panolith.llm.bpe import slices
 from panolith.llm.components import connected_components, star_forest
 from panolith.session import Scratch, forget, spill
@@ -254,6 +254,7 @@ def _component_of(prints: DataFrame, radius: int, hot: int) -> DataFrame:
 
 COMMON = 1 << 17  # common shingles that are put last
 SAMPLE_DOCS = 20_000
+BITS = 1024  # of a bitmap of a set
 AT_ONCE = 1 << 24  # pairs of postings that are held against each other without thinning by stars first
 FAR = 38  # bits of 128: fingerprints further apart are not of texts 0.8 alike (1 in 10**5 at 0.8, fewer above)
 FEW = 64  # shingles of both texts together, below which fingerprints are too rough to rule a pair out
@@ -364,21 +365,25 @@ def _contract(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
 def _apart_still(shared: DataFrame, docs: DataFrame, words: int, least: float, held: Scratch) -> DataFrame:
     """a, b: documents of different components that share a shingle and can be similar enough.
 
-    Of each shingle all but its largest component meet everything, unless the shingles that a
-    document shares with no other, or the bitmaps of both sets, say that it cannot be.
+    Of each shingle all but its largest component meet everything, unless the bitmaps of both sets
+    say that it cannot be.
     """
     limit = Fraction(least).limit_denominator(1000)
     sizes = shared.groupBy("h", "c").agg(F.count("*").alias("m"))
     open_ = held(sizes.groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", "top"), "copy-open")
     left = held(shared.join(open_, "h"), "copy-left")
-    some = held(left.select("uid", "n").distinct(), "copy-some")
-    few = F.broadcast(some.select("uid")) if some.count() <= SMALL_ROWS else some.select("uid")
-    sets = held(shingle_sets(docs.join(few, "uid", "left_semi"), words), "copy-bound-sets")
-    bound = held(shareable(some, sets).where(f"r * {limit.denominator} >= n * {limit.numerator}").drop("n"), "copy-bound")
-    bitmaps = bitmapped(sets.join(bound.select("uid"), "uid", "left_semi"))
-    whole = held(left.join(bound.join(bitmaps, "uid"), "uid"), "copy-whole")
+    some = held(left.select("uid").distinct(), "copy-some")
+    few = F.broadcast(some) if some.count() <= SMALL_ROWS else some
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uids, texts in _portions(batch):
+                yield pa.RecordBatch.from_arrays([uids, lists(bitmaps(_shingle_sets(texts, words), BITS), np.ones(len(texts), bool))], names=["uid", "bits"])
+
+    marks = held(docs.join(few, "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, bits array<long>"), "copy-bitmaps")
+    whole = left.join(marks, "uid")
     x, y = whole.where("c <> top").alias("x"), whole.alias("y")
-    met = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND {_possible(least)} AND {may_share(limit)}"))
+    met = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND {_possible(least)} AND {may_share(limit, False)}"))
     return held(met.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct(), "copy-apart")
 
 
