@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panolith.functions import geometry as G
-from panolith.operators.cells import BOX, outside, overlaps
+from panolith.operators.cells import BOX, dealt_once, meet, outside, units
 from panolith.session import Scratch
 
 
@@ -29,18 +29,25 @@ def nms(dets: DataFrame, threshold: float = 0.5) -> DataFrame:
     if threshold <= 0:
         raise ValueError("threshold must be positive")
     extra = [c for c in dets.columns if c not in ("pid", "cat", "conf", "ord", *BOX)]
-    with Scratch(dets.sparkSession) as held:
+    spark = dets.sparkSession
+    with Scratch(spark) as held, dealt_once(spark):
+        parts = units(dets)
         own = held(dets.select("pid", "cat", "ord", "conf", *BOX, *extra).withColumn("_uid", F.monotonically_increasing_id()), "nms-boxes")
         lean = own.select("pid", "cat", "_uid", "ord", "conf", *BOX)
-        rank = lambda s: F.struct(-F.col(f"{s}.conf"), F.col(f"{s}.ord"), F.col(f"{s}._uid"))
-        pairs = overlaps(lean, lean, ("pid", "cat"), ("_uid", "ord", "conf"), ("_uid", "ord", "conf")).where(rank("a") < rank("b"))
-        edges = held(pairs.where(G.iou_xyxy(G.to_xyxy(F.col("a")), G.to_xyxy(F.col("b"))) >= threshold).select(F.col("a._uid").alias("hi"), F.col("b._uid").alias("lo")), "nms-edges")
+        met = meet(lean, lean.withColumnRenamed("_uid", "uid"), threshold, parts, ("pid", "cat"), ("uid", "ord", "conf"), corners=True).where("iou IS NOT NULL")
+        rank = lambda *c: F.struct(-F.col(c[0]), F.col(c[1]), F.col(c[2]))
+        pairs = met.where(rank("b.conf", "b.ord", "b.uid") < rank("conf", "ord", "_uid"))
+        edges = held(pairs.select("pid", F.col("b.uid").alias("hi"), F.col("_uid").alias("lo")), "nms-edges")
         gone = edges.select(F.col("lo").alias("_uid")).limit(0)
         while not edges.isEmpty():
-            first = edges.join(edges.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
-            now = held(first.select(F.col("lo").alias("_uid")).distinct(), "nms-gone")
-            gone = gone.unionByName(now)
-            edges = held(edges.join(now, F.col("lo") == F.col("_uid"), "left_anti").join(now, F.col("hi") == F.col("_uid"), "left_anti"), "nms-edges")
+            # An edge holds if no edge leads to its upper box; what it leads to goes. Boxes of a
+            # panorama are in one task where panoramas are not crowded.
+            dealt = edges.repartition("pid") if parts == 1 else edges
+            first = dealt.join(dealt.select("pid", F.col("lo").alias("hi")).distinct(), ["pid", "hi"], "left_anti")
+            now = held(first.select("pid", F.col("lo").alias("_uid")).distinct(), "nms-gone")
+            gone = gone.unionByName(now.select("_uid"))
+            low, high = (now.select("pid", F.col("_uid").alias(c)) for c in ("lo", "hi"))
+            edges = held(edges.join(low, ["pid", "lo"], "left_anti").join(high, ["pid", "hi"], "left_anti").select("pid", "hi", "lo"), "nms-edges")
         return held.result(own.join(gone, "_uid", "left_anti").drop("_uid"), "nms")
 
 

@@ -4,7 +4,9 @@ import random
 
 import pytest
 
-from panolith.operators import cells, diagnose, metrics
+from panolith.operators import cells, detect, diagnose, metrics
+from panolith.plans import derive as D
+from panolith.plans import queries_detect
 from test_domain import DET, _iou, _one_after_another
 
 GT = "pid long, cat long, ord long, cx double, cy double, w double, h double"
@@ -44,3 +46,19 @@ def test_dealt_panoramas_match_as_one_after_another(spark, monkeypatch, last):
     told = {(r.pid, r.cat, r.ord): r.outcome for r in diagnose.classify_objects(g, d).collect()}
     hits = {(p, c, o) for (p, c, _), o in want.items() if o is not None}
     assert len(told) == len(gts) and all(told[k] == "HIT" for k in hits)
+
+
+def test_crowded_panoramas_are_the_orders_remainders(spark, tmp_path):
+    spark.createDataFrame([(7, 1_190_000, 59_000, 7, 3.0)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert [r.pid for r in D.ground_truth(spark, str(tmp_path), queries_detect.CROWD).collect()] == [7]
+
+
+def test_dealt_panoramas_suppress_as_one_after_another(spark, monkeypatch):
+    monkeypatch.setattr(cells, "UNIT_BOXES", 10)
+    dets = [x for x in _boxes(9)[1] if x[2] < 990]
+    kept = []
+    for x in sorted(dets, key=lambda x: (-x[3], x[2])):
+        if all(x[:2] != k[:2] or _iou(x[4:], k[4:]) < 0.5 for k in kept):
+            kept.append(x)
+    got = detect.nms(spark.createDataFrame(dets, DET)).collect()
+    assert sorted((r.pid, r.cat, r.ord) for r in got) == sorted(x[:3] for x in kept) and len(kept) < len(dets)
