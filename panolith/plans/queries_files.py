@@ -16,6 +16,14 @@ from panolith.sources import keyed, readers, sinks, zips
 O = f"WITH {D.OBJECTS}"
 
 
+#: Panoramas of one nested file: a reader parses a file in one task, so files grow in number and not in size.
+PER_FILE = 256
+
+
+def _file_of(pid: str):
+    return F.floor(F.col(pid) / PER_FILE)
+
+
 def _folder(spark, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
@@ -31,7 +39,7 @@ def scanned_annotations(spark, d):
     box = F.struct(F.col("x1").alias("xmin"), F.col("y1").alias("ymin"), F.col("x2").alias("xmax"), F.col("y2").alias("ymax"))
     per = _marked(spark, d).groupBy("pid").agg(F.collect_list(F.struct(box.alias("bbox"), "category")).alias("objects"))
     img = F.struct(F.format_string("train/%d.jpg", "pid").alias("path"), F.when(F.col("pid") % 2 == 0, F.col("pid").cast("string")).alias("id"), "objects")
-    files = per.groupBy((F.col("pid") % 16).alias("file")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("pid").cast("string"), img))).alias("imgs"))
+    files = per.groupBy(_file_of("pid").alias("file")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("pid").cast("string"), img))).alias("imgs"))
     path = _folder(spark, "annotations")
     files.select("file", F.to_json(F.struct("imgs")).alias("value")).write.partitionBy("file").text(path)
     b = F.col("bbox")
@@ -48,7 +56,7 @@ def scanned_json_lines(spark, d):
 
 @query(f"{O} SELECT cat AS category_id, name, pid AS image_id, x1 AS x, x2 - x1 AS w, pid || '.jpg' AS file_name FROM objects WHERE ord % 13 <> 0")
 def scanned_coco(spark, d):
-    o = D.objects(spark, d).withColumn("file", F.col("pid") % 16)
+    o = D.objects(spark, d).withColumn("file", _file_of("pid"))
     notes = o.groupBy("file").agg(F.collect_list(F.struct(F.col("pid").alias("image_id"), F.col("cat").alias("category_id"), F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"), F.when(F.col("ord") % 13 == 0, True).alias("ignore"))).alias("annotations"))
     pictures = o.select("file", "pid").distinct().groupBy("file").agg(F.collect_list(F.struct(F.col("pid").alias("id"), F.lit(2048).alias("width"), F.lit(2048).alias("height"), F.format_string("%d.jpg", "pid").alias("file_name"))).alias("images"))
     kinds = o.select("file", "cat", "name").distinct().groupBy("file").agg(F.collect_list(F.struct(F.col("cat").alias("id"), "name")).alias("categories"))

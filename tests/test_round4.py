@@ -6,7 +6,8 @@ import pytest
 
 from panolith.operators import cells, detect, diagnose, metrics
 from panolith.plans import derive as D
-from panolith.plans import queries_detect
+from panolith.plans import queries_detect, queries_files
+from panolith.sources import readers
 from test_domain import DET, _iou, _one_after_another
 
 GT = "pid long, cat long, ord long, cx double, cy double, w double, h double"
@@ -62,3 +63,12 @@ def test_dealt_panoramas_suppress_as_one_after_another(spark, monkeypatch):
             kept.append(x)
     got = detect.nms(spark.createDataFrame(dets, DET)).collect()
     assert sorted((r.pid, r.cat, r.ord) for r in got) == sorted(x[:3] for x in kept) and len(kept) < len(dets)
+
+
+@pytest.mark.parametrize("name,reader", [("scanned_annotations", "annotations"), ("scanned_coco", "coco")])
+def test_nested_files_grow_in_number(spark, monkeypatch, name, reader):
+    seen, read = [], getattr(readers, reader)
+    monkeypatch.setattr(readers, reader, lambda s, path: seen.append(path) or read(s, path))
+    getattr(queries_files, name)(spark, "/root/testdata/sf0.1")
+    files = spark.read.text(seen[0]).select("_metadata.file_path").distinct().count()
+    assert files == -(-10_000 // queries_files.PER_FILE)
