@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from panolith.functions import geometry as G
 from panolith.operators.manifests import numbered
 from panolith.operators.metrics import STEPS, average_precision, scored
-from panolith.session import Scratch
+from panolith.session import Scratch, spill
 
 #: Two-sided 95 % points of Student's t for 1 to 12 degrees of freedom, then the normal's.
 T95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179)
@@ -270,7 +270,7 @@ def class_report(report: DataFrame, baseline: str) -> DataFrame:
 def area_bucket_ap(dets: DataFrame, gts: DataFrame, size: int = G.PANORAMA) -> DataFrame:
     """AP of each size bucket over all classes at once."""
     rows = scored(dets, gts, size=size)
-    truth = gts.groupBy(G.size_bucket(G.px_area("w", "h", size)).alias("bucket")).agg(F.count("*").alias("n_gt"))
+    truth, _ = spill(gts.groupBy(G.size_bucket(G.px_area("w", "h", size)).alias("bucket")).agg(F.count("*").alias("n_gt")), "truth")
     return average_precision(rows, truth, ["bucket"])
 
 
