@@ -108,7 +108,8 @@ def bootstrap_weights(pids: DataFrame, replicas: int, seed: int = 0, block: int
     blocks = -(-replicas // block)
     tasks = spark.range(blocks).crossJoin(spark.range(-(-n // PANORAMAS)).select((F.col("id") * PANORAMAS).alias("lo"))).select(F.col("id").alias("block"), "lo")
     counted = tasks.repartition(max(1, min(blocks * -(-n // PANORAMAS), 4096)), "block", "lo").mapInArrow(run, "i long, block long, w binary")
-    return counted.join(own, "i").select("pid", "block", "w")
+    # Sizes are guessed from the few rows that go into the kernel: unhinted, all weights would be broadcast.
+    return counted.hint("merge").join(own, "i").select("pid", "block", "w")
 
 
 def _weights_of(column: pa.Array, block: int) -> np.ndarray:
@@ -214,13 +215,13 @@ def bootstrap_aps(rows: DataFrame, gts: DataFrame, replicas: int = 1000, seed: i
     with Scratch(gts.sparkSession) as held:
         weights = held(bootstrap_weights(gts.select("pid"), replicas, seed, block), "bootstrap-weights")
         counts = gts.groupBy("pid", "cat").agg(F.count("*").alias("n"))
-        partial = counts.join(weights, "pid").select(F.col("cat").cast("long").alias("cat"), "block", "n", "w").mapInArrow(_summed_weights(block), "cat long, block long, n_gt array<long>")
+        partial = counts.join(weights.hint("merge"), "pid").select(F.col("cat").cast("long").alias("cat"), "block", "n", "w").mapInArrow(_summed_weights(block), "cat long, block long, n_gt array<long>")
         whole = partial.select("cat", "block", F.posexplode("n_gt")).groupBy("cat", "block", "pos").agg(F.sum("col").alias("n"))
         truth = held(whole.groupBy("cat", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("n_gt")), "bootstrap-truth")
         runs = held(rows.select("arm", F.col("seed").cast("long").alias("seed")).distinct(), "bootstrap-runs")
         heads = truth.join(F.broadcast(runs)).select("arm", "seed", "cat", "block", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("pid"), "n_gt", F.lit(None).cast("boolean").alias("tp"), F.lit(None).cast("binary").alias("w"))
         known = rows.join(F.broadcast(truth.select("cat").distinct()), "cat", "left_semi")
-        drawn_rows = known.join(weights, "pid").select("arm", F.col("seed").cast("long").alias("seed"), F.col("cat").cast("long").alias("cat"), "block", F.lit(1).alias("kind"), "conf", "ord", "pid", F.lit(None).cast("array<long>").alias("n_gt"), "tp", "w")
+        drawn_rows = known.join(weights.hint("merge"), "pid").select("arm", F.col("seed").cast("long").alias("seed"), F.col("cat").cast("long").alias("cat"), "block", F.lit(1).alias("kind"), "conf", "ord", "pid", F.lit(None).cast("array<long>").alias("n_gt"), "tp", "w")
         group = ["arm", "seed", "cat", "block"]
         ordered = heads.unionByName(drawn_rows).repartition(*group).sortWithinPartitions(*group, "kind", F.desc("conf"), "ord", "pid")
         ap = ordered.select(*group, "n_gt", "tp", "w").mapInArrow(_replica_ap(block), "arm string, seed long, cat long, block long, ap array<double>")
