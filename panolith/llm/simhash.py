@@ -255,6 +255,7 @@ def _component_of(prints: DataFrame, radius: int, hot: int) -> DataFrame:
 COMMON = 1 << 17  # common shingles that are put last
 SAMPLE_DOCS = 20_000
 BITS = 1024  # of a bitmap of a set
+FIRST = 64  # of the shared shingles of a document, in their order, that tell where a pair counts
 AT_ONCE = 1 << 24  # pairs of postings that are held against each other without thinning by stars first
 FAR = 38  # bits of 128: fingerprints further apart are not of texts 0.8 alike (1 in 10**5 at 0.8, fewer above)
 FEW = 64  # shingles of both texts together, below which fingerprints are too rough to rule a pair out
@@ -366,14 +367,16 @@ def _apart_still(shared: DataFrame, docs: DataFrame, words: int, least: float, h
     """a, b: documents of different components that share a shingle and can be similar enough.
 
     Of each shingle all but its largest component meet everything, unless the bitmaps of both sets
-    say that it cannot be.
+    say that it cannot be. A pair counts in the first shingle that both have, not in each; that is also where
+    positions rule out least. All sets are in one order: if the first ones of both have any in common, the
+    first of those is it; if they have none, each counts.
     """
     limit = Fraction(least).limit_denominator(1000)
     sizes = shared.groupBy("h", "c").agg(F.count("*").alias("m"))
     open_ = held(sizes.groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", "top"), "copy-open")
     left = held(shared.join(open_, "h"), "copy-left")
-    some = held(left.select("uid").distinct(), "copy-some")
-    few = F.broadcast(some) if some.count() <= SMALL_ROWS else some
+    some = held(left.groupBy("uid").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), 1, FIRST).alias("hs")), "copy-some")
+    few = F.broadcast(some.select("uid")) if some.count() <= SMALL_ROWS else some.select("uid")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -381,9 +384,9 @@ def _apart_still(shared: DataFrame, docs: DataFrame, words: int, least: float, h
                 yield pa.RecordBatch.from_arrays([uids, lists(bitmaps(_shingle_sets(texts, words), BITS), np.ones(len(texts), bool))], names=["uid", "bits"])
 
     marks = held(docs.join(few, "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, bits array<long>"), "copy-bitmaps")
-    whole = left.join(marks, "uid")
+    whole = left.join(marks.join(some, "uid"), "uid")
     x, y = whole.where("c <> top").alias("x"), whole.alias("y")
-    met = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND {_possible(least)} AND {may_share(limit, False)}"))
+    met = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND {_possible(least)} AND {may_share(limit, False)} AND coalesce(x.h = try_element_at(array_intersect(x.hs, y.hs), 1), true)"))
     return held(met.select(F.least("x.uid", "y.uid").alias("a"), F.greatest("x.uid", "y.uid").alias("b")).distinct(), "copy-apart")
 
 
