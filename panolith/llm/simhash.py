@@ -255,7 +255,7 @@ def _component_of(prints: DataFrame, radius: int, hot: int) -> DataFrame:
 COMMON = 1 << 17  # common shingles that are put last
 SAMPLE_DOCS = 20_000
 BITS = 1024  # of a bitmap of a set
-FIRST = 64  # of the shared shingles of a document, in their order, that tell where a pair counts
+FIRST = 16  # of the shared shingles of a document, in their order, that tell where a pair counts; each row of a document carries them
 AT_ONCE = 1 << 24  # pairs of postings that are held against each other without thinning by stars first
 FAR = 38  # bits of 128: fingerprints further apart are not of texts 0.8 alike (1 in 10**5 at 0.8, fewer above)
 FEW = 64  # shingles of both texts together, below which fingerprints are too rough to rule a pair out
@@ -295,9 +295,13 @@ def _common(docs: DataFrame, words: int) -> np.ndarray:
     return np.array([r.h for r in found.orderBy(F.desc("n"), "h").limit(COMMON).collect()][::-1], np.int64).view(np.uint64)
 
 
+def _marks(sets: list[np.ndarray]) -> pa.Array:
+    return lists(bitmaps(sets, BITS), np.ones(len(sets), bool))
+
+
 def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> DataFrame:
     """uid, n (different shingles), fp, fq (128 bits of SimHash of the set), k0, k1 (128 bits that
-    tell the set), p (its first shingles).
+    tell the set), p (its first shingles), bits (a bitmap of the set).
 
     Sets of a Jaccard similarity of ``least`` share at least ceil(least n) shingles of each, so
     in any order of all shingles they share one among the first n - ceil(least n) + 1 of both.
@@ -319,10 +323,10 @@ def prefixes(docs: DataFrame, words: int, least: float, common: np.ndarray) -> D
                 fp, fq = (majority([x.astype(">u8").tobytes() for x in some]) for some in (sets, [(s ^ (s >> np.uint64(29))) * MIX for s in sets]))
                 keys = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets])
                 first = [ordered(s)[: len(s) - ceil(least * len(s) - 1e-9) + 1].view(np.int64) for s in sets]
-                columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(fp.view(np.int64)), pa.array(fq.view(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([uids, *columns], names=["uid", "n", "fp", "fq", "k0", "k1", "p"])
+                columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array(fp.view(np.int64)), pa.array(fq.view(np.int64)), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(first, pa.list_(pa.int64())), _marks(sets)]
+                yield pa.RecordBatch.from_arrays([uids, *columns], names=["uid", "n", "fp", "fq", "k0", "k1", "p", "bits"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, n int, fp long, fq long, k0 long, k1 long, p array<long>")
+    return docs.select("uid", "text").mapInArrow(run, "uid long, n int, fp long, fq long, k0 long, k1 long, p array<long>, bits array<long>")
 
 
 def _possible(least: float) -> str:
@@ -363,27 +367,33 @@ def _contract(shared: DataFrame, links: DataFrame) -> tuple[DataFrame, str]:
     return out
 
 
-def _apart_still(shared: DataFrame, docs: DataFrame, words: int, least: float, held: Scratch) -> DataFrame:
+def _bitmaps(docs: DataFrame, words: int) -> DataFrame:
+    """uid, bits of ``docs`` (uid, text), as :func:`prefixes` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for uids, texts in _portions(batch):
+                yield pa.RecordBatch.from_arrays([uids, _marks(_shingle_sets(texts, words))], names=["uid", "bits"])
+
+    return docs.select("uid", "text").mapInArrow(run, "uid long, bits array<long>")
+
+
+def _apart_still(shared: DataFrame, docs: DataFrame, words: int, least: float, held: Scratch, marks: DataFrame | None = None) -> DataFrame:
     """a, b: documents of different components that share a shingle and can be similar enough.
 
     Of each shingle all but its largest component meet everything, unless the bitmaps of both sets
     say that it cannot be. A pair counts in the first shingle that both have, not in each; that is also where
     positions rule out least. All sets are in one order: if the first ones of both have any in common, the
-    first of those is it; if they have none, each counts.
+    first of those is it; if they have none, each counts. ``marks`` (uid, bits) are the bitmaps of
+    all documents, where they are known: then no text is read, and none is shuffled.
     """
     limit = Fraction(least).limit_denominator(1000)
     sizes = shared.groupBy("h", "c").agg(F.count("*").alias("m"))
     open_ = held(sizes.groupBy("h").agg(F.max(F.struct("m", "c"))["c"].alias("top"), F.count("*").alias("parts")).where("parts > 1").select("h", "top"), "copy-open")
     left = held(shared.join(open_, "h"), "copy-left")
     some = held(left.groupBy("uid").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("i", "h"))), lambda x: x["h"]), 1, FIRST).alias("hs")), "copy-some")
-    few = F.broadcast(some.select("uid")) if some.count() <= SMALL_ROWS else some.select("uid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for uids, texts in _portions(batch):
-                yield pa.RecordBatch.from_arrays([uids, lists(bitmaps(_shingle_sets(texts, words), BITS), np.ones(len(texts), bool))], names=["uid", "bits"])
-
-    marks = held(docs.join(few, "uid", "left_semi").select("uid", "text").mapInArrow(run, "uid long, bits array<long>"), "copy-bitmaps")
+    if marks is None:
+        marks = held(_bitmaps(docs.join(some.select("uid"), "uid", "left_semi"), words), "copy-bitmaps")
     whole = left.join(marks.join(some, "uid"), "uid")
     x, y = whole.where("c <> top").alias("x"), whole.alias("y")
     met = x.join(y, F.expr(f"x.h = y.h AND x.c <> y.c AND (y.c = y.top OR x.uid < y.uid) AND {_possible(least)} AND {may_share(limit, False)} AND coalesce(x.h = try_element_at(array_intersect(x.hs, y.hs), 1), true)"))
@@ -399,12 +409,12 @@ def copy_links(heads: DataFrame, docs: DataFrame, words: int, least: float, at_o
     not connected is compared in full.
     """
     postings = heads.select("uid", F.posexplode("p").alias("i", "h"))
-    met, met_path = spill(postings.withColumn("m", F.count("*").over(W.partitionBy("h"))).where("m > 1").drop("m"), "copy-met")
+    of = W.partitionBy("h")
+    met = postings.withColumns({"m": F.count("*").over(of), "lo": F.min("uid").over(of), "hi": F.max("uid").over(of), "z": F.bit_xor("uid").over(of)}).where("m > 1")
     # A shared passage has many shingles with the very same documents, which need to meet once: at the first place.
-    who = met.groupBy("h").agg(F.bit_xor(F.xxhash64("uid")).alias("s"), F.bit_xor(F.xxhash64("uid", F.lit(1))).alias("t"), F.count("*").alias("m"))
-    bundled = met.join(who, "h").groupBy(F.xxhash64("s", "t", "m").alias("h"), "uid").agg(F.min("i").alias("i"))
+    # What else falls under one key meets there as well, and only costs.
+    bundled = met.groupBy(F.xxhash64("m", "lo", "hi", "z").alias("h"), "uid").agg(F.min("i").alias("i"))
     shared, path = spill(bundled.join(heads.select("uid", "n", "fp", "fq"), "uid"), "copy-shared")
-    forget(docs.sparkSession, met_path)
     size, documents = shared.agg(F.count("*"), F.approx_count_distinct("uid")).first()
     at_once = max(at_once, 64 * size) if at_once else 0
     was, turn = None, 0
@@ -417,7 +427,7 @@ def copy_links(heads: DataFrame, docs: DataFrame, words: int, least: float, at_o
             return links
         if turn and not many and (rows <= at_once or rows > 0.9 * was):
             with Scratch(docs.sparkSession) as held:
-                pairs = _apart_still(shared, docs, words, least, held)
+                pairs = _apart_still(shared, docs, words, least, held, heads.select("uid", "bits"))
                 return links.unionByName(_verified(pairs, docs, words, least))
         head = shared.groupBy("h").agg(F.min(F.struct(F.xxhash64("uid", F.lit(turn)).alias("o"), "uid", "n", "i", "fp", "fq", "c")).alias("y")).select("h", "y.*").drop("o")
         met = shared.alias("x").join(head.alias("y"), F.expr(f"x.h = y.h AND x.c <> y.c AND {_possible(least)}"))
