@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from panolith.functions import geometry as G
 from panolith.operators.manifests import numbered
 from panolith.operators.metrics import STEPS, average_precision, scored
-from panolith.session import Scratch, spill
+from panolith.session import Scratch, arrow_batches, spill
 
 #: Two-sided 95 % points of Student's t for 1 to 12 degrees of freedom, then the normal's.
 T95 = (12.706, 4.303, 3.182, 2.776, 2.571, 2.447, 2.365, 2.306, 2.262, 2.228, 2.201, 2.179)
@@ -56,6 +57,8 @@ def percentile(column: str, q: float) -> Column:
 
 
 BLOCK = 100  # replicas that are worked on side by side
+PARTS = 4  # of the replicas, that take a class in different tasks
+TILE = 1 << 18  # weights, or places of rows in replicas, that are worked on at once
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 SLOTS = 1 << 16  # drawn at once
@@ -112,94 +115,103 @@ def bootstrap_weights(pids: DataFrame, replicas: int, seed: int = 0, block: int
     return counted.hint("merge").join(own, "i").select("pid", "block", "w")
 
 
-def _weights_of(column: pa.Array, block: int) -> np.ndarray:
-    offset = column.offset
-    data = np.frombuffer(column.buffers()[2], np.uint8)
-    start = np.frombuffer(column.buffers()[1], np.int32)[offset]
-    return data[start : start + len(column) * block].reshape(len(column), block)
-
-
-class _Curve:
-    """Precision over recall of one run and class, for a block of replicas side by side."""
-
-    THRESHOLDS = np.arange(STEPS) * 0.01
-
-    def __init__(self, n_gt: np.ndarray):
-        self.n_gt = n_gt
-        self.hits = np.zeros(len(n_gt), np.int64)
-        self.all = np.zeros(len(n_gt), np.int64)
-        self.best = np.zeros((STEPS + 1, len(n_gt)))  # by the number of thresholds reached, the best precision at a hit
-
-    def add(self, tp: np.ndarray, weights: np.ndarray) -> None:
-        """Detections by falling confidence, each as often as its panorama was drawn."""
-        seen = np.cumsum(weights, axis=0, dtype=np.int64) + self.all
-        hits = np.cumsum(weights * tp[:, None], axis=0, dtype=np.int64) + self.hits
-        self.all, self.hits = seen[-1], hits[-1]
-        row, lane = np.nonzero(tp[:, None] & (weights > 0) & (self.n_gt > 0))
-        h = hits[row, lane]
-        reached = np.searchsorted(self.THRESHOLDS, h / self.n_gt[lane], side="right")
-        np.maximum.at(self.best, (reached, lane), h / seen[row, lane])
-
-    def ap(self) -> np.ndarray:
-        """The mean over thresholds of the best precision at or beyond each; nan without objects."""
-        beyond = np.maximum.accumulate(self.best[::-1], axis=0)[::-1][1:]
-        return np.where(self.n_gt > 0, beyond.sum(axis=0) / STEPS, np.nan)
-
-
-def _replica_ap(block: int):
-    """arm, seed, cat, block, ap (of each replica) from rows of a partition sorted so that each
-    group's numbers of objects come first and then its detections by falling confidence."""
+def _packed(dtype: str):
+    """cat, arm, seed, conf, ord, pid (of the first row), data from sorted rows (.., code): the codes of rows
+    of one class and run that follow each other in a batch, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, curve, done = None, None, []
-
-        def out() -> pa.RecordBatch:
-            keys = list(zip(*(k for k, _ in done))) or [()] * 4
-            values = pa.array([list(v) for _, v in done], pa.list_(pa.float64()))
-            return pa.RecordBatch.from_arrays([*[pa.array(c, t) for c, t in zip(keys, (pa.string(), pa.int64(), pa.int64(), pa.int64()))], values], names=["arm", "seed", "cat", "block", "ap"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            arm, seed, cat, number, n_gt, tp, w = batch.columns
-            codes = [c.to_numpy(zero_copy_only=False) for c in (arm.dictionary_encode().indices, seed, cat, number)]
+            keys = [batch.column(c).fill_null(x) for c, x in ((0, 0), (1, ""), (2, 0))]
+            codes = [keys[0].to_numpy(), keys[1].dictionary_encode().indices.to_numpy(zero_copy_only=False), keys[2].to_numpy(), batch.column(1).is_null().to_numpy(zero_copy_only=False)]
             begin = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in codes], axis=0)]))
-            for lo, hi in zip(begin.tolist(), [*begin[1:].tolist(), batch.num_rows]):
-                key = tuple(c[lo].as_py() for c in (arm, seed, cat, number))
-                if key != group:
-                    if group is not None:
-                        done.append((group, curve.ap()))
-                    group, curve = key, _Curve(np.array(n_gt[lo].as_py(), np.int64))
-                    lo += 1
-                if hi > lo:
-                    curve.add(tp.slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(bool), _weights_of(w.slice(lo, hi - lo), block))
-            if len(done) >= 100:
-                yield out()
-                done = []
-        if group is not None:
-            done.append((group, curve.ap()))
-        yield out()
+            code = batch.column(6).to_numpy().astype(dtype)
+            first = batch.take(pa.array(begin))
+            data = [code[lo:hi].tobytes() for lo, hi in zip(begin, [*begin[1:], batch.num_rows])]
+            yield pa.RecordBatch.from_arrays([*first.columns[:6], pa.array(data, pa.binary())], names=["cat", "arm", "seed", "conf", "ord", "pid", "data"])
 
     return run
 
 
-def _summed_weights(block: int):
-    """cat, block, n_gt (a partial sum for each replica) from rows (cat, block, n, w)."""
+def replica_weights(replicas: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """(replicas, panoramas): how often each of ``n`` panoramas is drawn in each replica."""
+    at = np.empty((len(replicas), n), np.int64)
+    for lo in range(0, n, SLOTS):
+        at[:, lo : lo + SLOTS] = drawn(replicas, np.arange(lo, min(lo + SLOTS, n)), n, seed)
+    at += np.arange(len(replicas))[:, None] * n
+    counts = np.bincount(at.ravel(), minlength=at.size).reshape(at.shape)
+    return counts.astype(np.min_scalar_type(counts.max(initial=0)))
+
+
+def _aps(codes: np.ndarray, weights: np.ndarray, n_gt: np.ndarray) -> np.ndarray:
+    """The AP of detections by falling confidence (code: panorama * 2 + tp) in each replica; nan without objects.
+
+    Hits never fall along the rows, so the rows at or beyond a recall are those from some place on;
+    precision rises at hits alone, so that other rows take nothing away from its maximum.
+    """
+    lanes = np.arange(len(weights))[:, None]
+    steps = np.arange(STEPS) * 0.01
+    some = np.maximum(n_gt, 1)[:, None]
+    need = np.maximum(np.floor(steps * some).astype(np.int64) - 1, 0)
+    for _ in range(3):  # the least number of hits at each recall, as the division rounds
+        need += need / some < steps
+    far = int(max(need.max(), len(codes) * int(weights.max(initial=0)))) + 1
+    best, hits, seen = np.zeros(need.shape), np.zeros((len(weights), 1), np.int64), np.zeros((len(weights), 1), np.int64)
+    tile = max(1, TILE // len(weights))
+    for lo in range(0, len(codes), tile):
+        part = codes[lo : lo + tile]
+        drawn_ = np.take(weights, part >> 1, axis=1)
+        all_ = np.cumsum(drawn_, axis=1, dtype=np.int64) + seen
+        h = np.cumsum(drawn_ * (part & 1).astype(weights.dtype), axis=1, dtype=np.int64) + hits
+        precision = np.zeros((len(weights), len(part) + 1))
+        np.divide(h, np.maximum(all_, 1), out=precision[:, :-1])
+        place = np.searchsorted((h + lanes * far).ravel(), need + lanes * far) - lanes * len(part)
+        place[:, 0] = 0
+        best = np.maximum(best, np.maximum.reduceat(precision.ravel(), (place + lanes * (len(part) + 1)).ravel()).reshape(best.shape))
+        hits, seen = h[:, -1:], all_[:, -1:]
+    beyond = np.maximum.accumulate(best[:, ::-1], axis=1)
+    return np.where(n_gt > 0, beyond.sum(axis=1) / STEPS, np.nan)
+
+
+def _replica_ap(runs: list[tuple], replicas: int, parts: int, n: int, seed: int, dtype: str):
+    """arm, seed, cat, first (replica), ap (of each replica from there on) from a partition's packed codes, sorted
+    by class and part of the replicas, in these the objects first and then each run's detections by falling confidence.
+
+    Codes of a class wait in a temporary file; weights are drawn again for each class, a few replicas
+    at a time, and are never written or sent.
+    """
+
+    def of_class(cat: int, part: int, file, ends: dict[tuple, tuple]) -> Iterator[pa.RecordBatch]:
+        file.flush()
+        codes = np.memmap(file, dtype, "r")
+        objects = codes[slice(*ends[(None, None)])]
+        last = (part + 1) * replicas // parts
+        side = max(1, TILE // n)
+        for lo in range(part * replicas // parts, last, side):
+            weights = replica_weights(np.arange(lo, min(lo + side, last)), n, seed)
+            n_gt = np.zeros(len(weights), np.int64)
+            tile = max(1, TILE // len(weights))
+            for at in range(0, len(objects), tile):
+                n_gt += np.take(weights, objects[at : at + tile] >> 1, axis=1).sum(axis=1, dtype=np.int64)
+            aps = [list(_aps(codes[slice(*ends.get(r, (0, 0)))], weights, n_gt)) for r in runs]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in (([r[0] for r in runs], pa.string()), ([r[1] for r in runs], pa.int64()), ([cat] * len(runs), pa.int64()), ([lo] * len(runs), pa.int64()), (aps, pa.list_(pa.float64())))], names=["arm", "seed", "cat", "first", "ap"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[tuple, np.ndarray] = {}
+        group, file, ends, at = None, None, {}, 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            cat, number, n, w = batch.columns
-            weighted = _weights_of(w, block).astype(np.int64) * n.to_numpy()[:, None]
-            keys = np.stack([cat.to_numpy(), number.to_numpy()], axis=1)
-            groups, place = np.unique(keys, axis=0, return_inverse=True)
-            part = np.zeros((len(groups), block), np.int64)
-            np.add.at(part, place.ravel(), weighted)
-            for key, x in zip(map(tuple, groups.tolist()), part):
-                sums[key] = sums[key] + x if key in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.int64()))], names=["cat", "block", "n_gt"])
+            for cat, part, arm, s, data in zip(*(batch.column(c).to_pylist() for c in ("cat", "part", "arm", "seed")), batch.column("data")):
+                if (cat, part) != group:
+                    if group is not None:
+                        yield from of_class(*group, file, ends)
+                        file.close()
+                    group, file, ends, at = (cat, part), tempfile.TemporaryFile(), {}, 0
+                got = file.write(data.as_buffer()) // np.dtype(dtype).itemsize
+                ends[arm, s] = (ends.get((arm, s), (at,))[0], at + got)
+                at += got
+        if group is not None:
+            yield from of_class(*group, file, ends)
+            file.close()
 
     return run
 
@@ -208,26 +220,32 @@ def bootstrap_aps(rows: DataFrame, gts: DataFrame, replicas: int = 1000, seed: i
     """arm, seed, cat, replica, ap50 (null without objects): every run's AP in every replica.
 
     ``rows`` (arm, seed, pid, cat, ord, conf, tp) are matched once: matches never cross
-    panoramas, so a replica only weighs rows. Rows meet their panorama's weights a block of
-    replicas at a time and are sorted once; a kernel then adds up hits for the whole block, in
-    one pass that holds a few rows and the best precision for each threshold.
+    panoramas, so a replica only weighs rows. Rows and objects get their panorama's number, are sorted once
+    and packed to a few bytes each; a task takes a class for a part of the replicas (``block`` of
+    them or more, PARTS parts at most), draws the weights by itself and adds up hits. What is shuffled
+    grows with the rows and not with rows times replicas.
     """
-    with Scratch(gts.sparkSession) as held:
-        weights = held(bootstrap_weights(gts.select("pid"), replicas, seed, block), "bootstrap-weights")
-        counts = gts.groupBy("pid", "cat").agg(F.count("*").alias("n"))
-        partial = counts.join(weights.hint("merge"), "pid").select(F.col("cat").cast("long").alias("cat"), "block", "n", "w").mapInArrow(_summed_weights(block), "cat long, block long, n_gt array<long>")
-        whole = partial.select("cat", "block", F.posexplode("n_gt")).groupBy("cat", "block", "pos").agg(F.sum("col").alias("n"))
-        truth = held(whole.groupBy("cat", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda x: x["n"]).alias("n_gt")), "bootstrap-truth")
-        runs = held(rows.select("arm", F.col("seed").cast("long").alias("seed")).distinct(), "bootstrap-runs")
-        heads = truth.join(F.broadcast(runs)).select("arm", "seed", "cat", "block", F.lit(0).alias("kind"), F.lit(None).cast("double").alias("conf"), F.lit(None).cast("long").alias("ord"), F.lit(None).cast("long").alias("pid"), "n_gt", F.lit(None).cast("boolean").alias("tp"), F.lit(None).cast("binary").alias("w"))
-        known = rows.join(F.broadcast(truth.select("cat").distinct()), "cat", "left_semi")
-        drawn_rows = known.join(weights.hint("merge"), "pid").select("arm", F.col("seed").cast("long").alias("seed"), F.col("cat").cast("long").alias("cat"), "block", F.lit(1).alias("kind"), "conf", "ord", "pid", F.lit(None).cast("array<long>").alias("n_gt"), "tp", "w")
-        group = ["arm", "seed", "cat", "block"]
-        ordered = heads.unionByName(drawn_rows).repartition(*group).sortWithinPartitions(*group, "kind", F.desc("conf"), "ord", "pid")
-        ap = ordered.select(*group, "n_gt", "tp", "w").mapInArrow(_replica_ap(block), "arm string, seed long, cat long, block long, ap array<double>")
-        flat = ap.select("arm", "seed", "cat", "block", F.posexplode("ap").alias("lane", "ap50"))
-        out = flat.select("arm", "seed", "cat", (F.col("block") * block + F.col("lane")).alias("replica"), F.when(~F.isnan("ap50"), F.col("ap50")).alias("ap50"))
-        return held.result(out.where(F.col("replica") < replicas), "bootstrap-ap")
+    spark = gts.sparkSession
+    with Scratch(spark) as held:
+        own = held(numbered(gts.select("pid").distinct(), ["pid"], "i"), "bootstrap-panoramas")
+        n = own.count()
+        cat, none = F.col("cat").cast("long").alias("cat"), F.lit(None)
+        objects = held(gts.select("pid", cat).join(own.hint("merge"), "pid").select("cat", none.cast("string").alias("arm"), none.cast("long").alias("seed"), none.cast("double").alias("conf"), F.col("i").alias("ord"), "pid", (F.col("i") * 2).alias("code")), "bootstrap-objects")
+        runs = [tuple(r) for r in rows.select("arm", F.col("seed").cast("long")).distinct().collect()]  # a row for each run
+        known = rows.select("arm", F.col("seed").cast("long").alias("seed"), cat, "conf", "ord", "pid", "tp").join(F.broadcast(objects.select("cat").distinct()), "cat", "left_semi")
+        found = held(known.join(own.hint("merge"), "pid").select("cat", "arm", "seed", "conf", "ord", "pid", (F.col("i") * 2 + F.col("tp").cast("long")).alias("code")), "bootstrap-found")
+        order = ["cat", "arm", "seed", F.desc("conf"), "ord", "pid"]
+        dtype = "<i4" if n < 1 << 30 else "<i8"
+        schema = "cat long, arm string, seed long, conf double, ord long, pid long, data binary"
+        packed = held(objects.unionByName(found).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_packed(dtype), schema), "bootstrap-packed")
+        parts = min(PARTS, -(-replicas // block))
+        tasks = min(2 * parts * max(1, packed.select("cat").distinct().count()), 400)  # by number: few bytes are much work here
+        dealt = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, "cat", "part").sortWithinPartitions("cat", "part", *order[1:])
+        ap = dealt.select("cat", "part", "arm", "seed", "data").mapInArrow(_replica_ap(runs, replicas, parts, n, seed, dtype), "arm string, seed long, cat long, first long, ap array<double>")
+        flat = ap.select("arm", "seed", "cat", "first", F.posexplode("ap").alias("lane", "ap50"))
+        out = flat.select("arm", "seed", "cat", (F.col("first") + F.col("lane")).alias("replica"), F.when(~F.isnan("ap50"), F.col("ap50")).alias("ap50"))
+        with arrow_batches(spark, 256):
+            return held.result(out, "bootstrap-ap")
 
 
 def bootstrap_deltas(treatment: DataFrame, baseline: DataFrame, gts: DataFrame, tail: list[int] | None = None, replicas: int = 200, seed: int = 0, block: int = BLOCK) -> DataFrame:
