@@ -48,15 +48,35 @@ def overlaps(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("pid",), own_a:
     return met.select(*keys, "a", "b", G.iou(F.col("a"), F.col("b")).alias("iou"))
 
 
-def units(*boxes: DataFrame) -> int:
-    """Into how many parts along its side a panorama is dealt: one, unless some panorama holds over UNIT_BOXES."""
+def most_boxes(*boxes: DataFrame) -> int:
+    """How many boxes the fullest panorama holds."""
     pids = boxes[0].select("pid")
     for more in boxes[1:]:
         pids = pids.unionByName(more.select("pid"))
-    most = pids.groupBy("pid").count().agg(F.max("count")).first()[0] or 0
+    return pids.groupBy("pid").count().agg(F.max("count")).first()[0] or 0
+
+
+def units_of(most: int) -> int:
     return 1 if most <= UNIT_BOXES else min(FINE, 1 << math.ceil(math.log2(math.sqrt(most / UNIT_BOXES))))
 
 
+def units(*boxes: DataFrame) -> int:
+    """Into how many parts along its side a panorama is dealt: one, unless some panorama holds over UNIT_BOXES."""
+    return units_of(most_boxes(*boxes))
+
+
+def by_confidence(dets: DataFrame, shares: Sequence[float]) -> list[DataFrame]:
+    """The rows in slices of falling confidence, cut near these shares of all (from the top), equal confidences together."""
+    bounds = dets.approxQuantile("conf", [1 - s for s in shares], 0.001) if shares else []
+    falling, slices, above = -F.col("conf"), [], None
+    for bound in sorted(set(bounds), reverse=True):
+        upto = falling <= -bound
+        slices.append(upto | falling.isNull() if above is None else upto & (falling > -above))
+        above = bound
+    slices.append(F.lit(True) if above is None else falling > -above)
+    return [dets.where(s) for s in slices]
+
+
 @contextmanager
 def dealt_once(spark: SparkSession) -> Iterator[None]:
     """Joins of the actions run inside take sides as they are dealt, if that is by some of the join's keys."""

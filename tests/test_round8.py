@@ -5,7 +5,7 @@ import random
 
 import pytest
 from panolith import session
-from panolith.operators import metrics, stats
+from panolith.operators import cells, detect, metrics, stats
 from pyspark.sql import functions as F
 
 
@@ -41,3 +41,30 @@ def test_what_the_bootstrap_writes_does_not_grow_with_the_replicas(spark, monkey
         sizes.append(0)
         assert stats.bootstrap_aps(rows, gts, replicas=replicas).count() == 2 * replicas
     assert 0 < sizes[1] < 1.2 * sizes[0]
+
+
+@pytest.fixture
+def written(spark, monkeypatch):
+    """Rows of every table that is written, by its tag."""
+    write, rows = session.spill, {}
+
+    def seen(df, tag):
+        out, path = write(df, tag)
+        rows.setdefault(tag, []).append(out.count())
+        return out, path
+
+    monkeypatch.setattr(session, "spill", seen)
+    return rows
+
+
+def _stack(spark, n, **more):
+    """Boxes in one place that all overlap, each its own twin's best."""
+    at = spark.range(n).select(F.lit(0).cast("long").alias("pid"), F.lit(0).cast("long").alias("cat"), F.col("id").alias("ord"), (0.5 + F.col("id") * 0.0001).alias("cx"), F.lit(0.5).alias("cy"), F.lit(0.3).alias("w"), F.lit(0.3).alias("h"))
+    return at.withColumns(more)
+
+
+def test_a_crowd_is_suppressed_by_what_is_kept_before(spark, monkeypatch, written):
+    monkeypatch.setattr(cells, "UNIT_BOXES", 25)
+    got = detect.nms(_stack(spark, 200, conf=F.col("ord") / 200))
+    assert [r.ord for r in got.collect()] == [199]
+    assert sum(written["nms-edges"]) < 200 * 200 / 2 / 10
