@@ -63,6 +63,13 @@ def _stack(spark, n, **more):
     return at.withColumns(more)
 
 
+def test_a_crowd_is_matched_by_slices_of_the_detections(spark, monkeypatch, written):
+    monkeypatch.setattr(cells, "UNIT_BOXES", 1)
+    got = metrics.match(_stack(spark, 8, conf=F.col("ord") / 8), _stack(spark, 8)).collect()
+    assert len(got) == 8 and all(r.gi == r.ord for r in got)
+    assert max(written["match-told"]) < 8 * 8 / 2 and sum(written["match-told"]) < 8 * 8 * 0.7
+
+
 def test_a_crowd_is_suppressed_by_what_is_kept_before(spark, monkeypatch, written):
     monkeypatch.setattr(cells, "UNIT_BOXES", 25)
     got = detect.nms(_stack(spark, 200, conf=F.col("ord") / 200))
